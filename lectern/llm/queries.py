@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, ring
+from . import mixing, ring, token_counts, token_files
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
     "op3_ring_sharding": ring.query,
+    "op7_token_counts": token_counts.query,
+    "op9_token_files": token_files.query,
 }
 
 ORACLE_SQL = {
