@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import mixing, ring, token_counts, token_files
+from . import decontaminate, mixing, near_dup, quality_model, quality_rules, ring, token_counts, token_files
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
+    "op2_robust_outliers": quality_rules.query,
     "op3_ring_sharding": ring.query,
+    "op4_decontamination": decontaminate.query,
+    "op5_bottom_k_near_dup": near_dup.query,
     "op7_token_counts": token_counts.query,
+    "op8_site_quality": quality_model.query,
     "op9_token_files": token_files.query,
 }
 
 ORACLE_SQL = {
     "op1_source_mixing": mixing.SQL,
+    "op4_decontamination": decontaminate.SQL,
+    "op5_bottom_k_near_dup": near_dup.SQL,
 }
