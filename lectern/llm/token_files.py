@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Written, shared_dir, table, text_or_empty
 
 END = 0
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 SEEK_MAGIC, IDS_MAGIC, SEEK_FOOTER = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 #: White space that the word-by-word path does not take.
 _ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -57,6 +57,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.older_stems: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(x)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,29 +70,42 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Remember the ids of words, each behind a space."""
-        parts: dict[str, list[str]] = {}
+        parts: dict[str, tuple[str, ...]] = {}
+        older, plain = self.older, _PLAIN.match
         for word in words:
-            if (got := self.older.get(word)) is not None:
-                self.known[word] = got
+            if word in older:
+                self.known[word] = older[word]
+            elif match := plain(word):
+                parts[word] = (" " + match[1], match[2]) if match[2] else (" " + word,)
             else:
-                parts[word] = cut = []
-                space = " "
-                for piece in _NEWLINE.split(word):
-                    if match := _PLAIN.match(piece):
-                        cut += [space + match[1], match[2]] if match[2] else [space + match[1]]
-                    else:
-                        cut.append(space + piece)
-                    space = ""
-        new = list({x for cut in parts.values() for x in cut}.difference(self.stems))
-        self.stems.update(zip(new, self.ids(new), strict=True))
-        stem = self.stems.__getitem__
-        self.known.update((word, b"".join(map(stem, cut))) for word, cut in parts.items())
+                parts[word] = tuple(self.cut(word))
+        stems = self.stems
+        new = {x for cut in parts.values() for x in cut}.difference(stems)
+        for x in new.intersection(self.older_stems):
+            stems[x] = self.older_stems[x]
+        todo = list(new.difference(stems))
+        stems.update(zip(todo, self.ids(todo), strict=True))
+        for word, cut in parts.items():
+            self.known[word] = stems[cut[0]] if len(cut) == 1 else b"".join([stems[x] for x in cut])
+
+    @staticmethod
+    def cut(word: str) -> Iterator[str]:
+        """What the pattern keeps apart in a word with newlines or marks in it."""
+        space = " "
+        for piece in _NEWLINE.split(word):
+            if match := _PLAIN.match(piece):
+                yield space + match[1]
+                if match[2]:
+                    yield match[2]
+            else:
+                yield space + piece
+            space = ""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         if len(self.stems) > REMEMBERED:
-            self.stems = {}
+            self.stems, self.older_stems = {}, self.stems
         split = [self.words(x) for x in texts]
         needed: set[str] = set()
         for words in split:
