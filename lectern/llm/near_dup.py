@@ -214,7 +214,7 @@ def _compare(k: int, threshold: float, best: int | None):
 
 
 def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; the rest is not read).
+    """doc_id, n_shingles, component_id, kept, node for every row of docs (doc_id, text; the rest is not read).
 
     Rows are linked where 100 times the intersection of their sets is at least 100 * threshold times
     the union. component_id is the least doc_id reachable; kept says that the row has that id.
@@ -278,7 +278,31 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, k:
     every = keep(classes.select("node", "rep").join(reach, F.col("node") == F.col("_n"), "left").select(F.col("node").alias("_n"), F.coalesce("component", "rep").alias("component_id")))
     out = rows.join(every, F.col("node") == F.col("_n"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "node")
+
+
+def distinct_documents(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
+    """docs without near duplicates: one row of each component stays, with all its columns.
+
+    Rows are told apart by id. Where an id is null or occurs twice, the row's set decides, and of
+    rows equal in both, one stays; rows with empty sets all stay.
+    """
+    keep = Written(docs.sparkSession, "distinct").keep
+    linked = keep(link(docs, size, threshold, k))
+    several = keep(linked.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").select(F.col("doc_id").alias("_id")))
+    gone = keep(linked.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if several.isEmpty():
+        return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    plain = docs.join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    odd = docs.withColumn("_row", F.struct(*docs.columns)).join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    odd = sketch_nodes(odd.select("doc_id", "text", "_row"), size)
+    verdict = linked.join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").where("kept and node is not null").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
+    full = odd.join(verdict, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")))
+    # A component of rows without ids has no least id; its least set stays for it.
+    one = full.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "node").orderBy("text"))).where("_n = 1")
+    empty = odd.join(linked.where("node is not null").select(F.col("node").alias("_node")).distinct(), F.col("node") == F.col("_node"), "left_anti")
+    return plain.unionByName(one.select("_row.*")).unionByName(empty.select("_row.*"))
 
 
 def sketch_nodes(docs: DataFrame, size: int) -> DataFrame:
@@ -295,7 +319,7 @@ def sketch_nodes(docs: DataFrame, size: int) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "documents"))
+    return link(table(spark, sf_dir, "documents")).drop("node")
 
 
 SQL = r"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dup, quality_model, quality_rules, ring, token_counts, token_files
+from . import decontaminate, html_text, mixing, near_dup, quality_model, quality_rules, ring, token_counts, token_files
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_token_counts": token_counts.query,
     "op8_site_quality": quality_model.query,
     "op9_token_files": token_files.query,
+    "op10_main_text": html_text.query,
 }
 
 ORACLE_SQL = {
