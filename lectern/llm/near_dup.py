@@ -8,9 +8,11 @@
    than R values found elsewhere have any. Passages that many documents share stay out that way.
 3. In every list all members are compared with its hub, the member whose values are most common.
    Union sketches filter the pairs, full sets confirm them, and the links give components.
-4. Lists whose members are still in different components are compared exhaustively, in blocks: the
-   members outside the list's largest component meet every block of the list. A block yields pairs
-   whose union sketches pass, the best of each first; once those are confirmed, all the others.
+4. Lists whose members are still in different components go to the largest of these, their home.
+   At a home, in blocks, every node from outside is held against every node, on full sets, by one
+   pass over an inverted index of the block; one link to each component it reaches is enough.
+
+Full sets are those of 63-bit shingle hashes; they are made only for classes that share a list.
 
 No list is emitted as pairs, and no group is held by one task beyond a block. Links, components and
 sketches stay in tables in the shared folder.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Written, table
 
 SHINGLE, THRESHOLD, K = 5, 0.75, 64
-#: Members of a list that one task compares at a time.
+#: Nodes of a home that one task holds at a time.
 BLOCK = 2000
 #: Ids are broadcast to filter texts up to this many; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -136,26 +138,27 @@ def components(edges: DataFrame, keep) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets are at the threshold; texts is (node, text), b the hubs."""
+def _confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose full sets are at the threshold; sets is (node, hashes)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, kept = None, set()
         for batch in batches:
             rows = []
-            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True):
-                if b != name:
-                    name, kept = b, shingles(tb, size)
-                other = shingles(ta, size)
-                both = len(kept & other)
-                if 100 * both >= round(100 * threshold) * (len(kept) + len(other) - both):
+            for a, b, x, y in zip(batch["a"], batch["b"], batch["ha"], batch["hb"], strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if at_threshold(both, len(x), len(y), threshold):
                     rows.append((a, b))
             yield pd.DataFrame(rows, columns=["a", "b"], dtype="object")
 
-    one = texts.select(F.col("node").alias("_a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("node").alias("_b"), F.col("text").alias("tb"))
+    one = sets.select(F.col("node").alias("_a"), F.col("hashes").alias("ha"))
+    two = sets.select(F.col("node").alias("_b"), F.col("hashes").alias("hb"))
     full = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
-    return full.select("a", "b", "ta", "tb").mapInPandas(run, "a string, b string")
+    return full.select("a", "b", "ha", "hb").mapInPandas(run, "a string, b string")
+
+
+def at_threshold(both, na, nb, threshold: float):
+    """Whether the Jaccard similarity is at the threshold, in whole numbers; takes arrays as well."""
+    return 100 * both >= round(100 * threshold) * (na + nb - both)
 
 
 def _passing(pairs: DataFrame, classes: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -171,43 +174,40 @@ def _passing(pairs: DataFrame, classes: DataFrame, k: int, threshold: float) ->
     return full.where(ok("sa", "sb", "na", "nb")).select("a", "b")
 
 
-def _compare(k: int, threshold: float, best: int | None):
-    """Pairs of a block of a list: probes meet members of other components."""
-
-    def run(key, probes: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        value = key[0]
+def _reach(threshold: float):
+    """Links of a task's blocks: for each probe, one to every component it reaches."""
+
+    def block(probes: pd.DataFrame, members: pd.DataFrame) -> list[tuple[str, str]]:
+        rows = []
+        hashes = [np.asarray(x) for x in members["hashes"]]
+        n = np.array([len(x) for x in hashes])
+        flat, owner = np.concatenate(hashes), np.repeat(np.arange(len(hashes)), n)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        values, first = np.unique(flat, return_index=True)
+        last = np.append(first[1:], len(flat))
+        node, comp = members["node"].to_numpy(), members["comp"].to_numpy()
+        for name, own, mine in zip(probes["p_node"], probes["p_comp"], probes["p_hashes"], strict=True):
+            mine = np.asarray(mine)
+            at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
+            at = at[values[at] == mine]
+            if not len(at):
+                continue
+            both = np.bincount(np.concatenate([owner[first[i] : last[i]] for i in at.tolist()]), minlength=len(n))
+            found = np.flatnonzero(at_threshold(both, n, len(mine), threshold) & (comp != own))
+            seen: set[str] = set()
+            for i in found.tolist():
+                if comp[i] not in seen:
+                    seen.add(comp[i])
+                    rows.append((name, node[i]))
+        return rows
+
+    def run(probes: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple[str, str]] = []
         if len(probes) and len(members):
-            post: dict[int, list[int]] = {}
-            heads: dict[int, list[int]] = {}
-            for i, (sketch, lists) in enumerate(zip(members["sketch"], members["lists"], strict=True)):
-                for v in sketch:
-                    post.setdefault(v, []).append(i)
-                for v in lists:
-                    if v < value:
-                        heads.setdefault(v, []).append(i)
-            post = {v: np.array(x) for v, x in post.items()}
-            node, comp, n = members["node"].to_numpy(), members["comp"].to_numpy(), members["n"].to_numpy()
-            sketches_ = [np.asarray(x) for x in members["sketch"]]
-            for name, own, size, sketch, lists in zip(*[probes[f"p_{c}"] for c in ("node", "comp", "n", "sketch", "lists")], strict=True):
-                got = [post[v] for v in sketch if v in post]
-                if not got:
-                    continue
-                shared = np.bincount(np.concatenate(got), minlength=len(members))
-                # A pair is compared in the first list that both are in; of two probes, the smaller meets the larger.
-                for v in lists:
-                    if v < value and v in heads:
-                        shared[heads[v]] = 0
-                need = np.minimum(required(int(size), k, threshold), [required(int(x), k, threshold) for x in n])
-                able = np.flatnonzero((comp != own) & (shared >= need))
-                able = able[np.argsort(-shared[able], kind="stable")]
-                mine, count = np.asarray(sketch), {}
-                for i in able.tolist():
-                    if best is not None and count.get(comp[i], 0) >= best:
-                        continue
-                    if passes(mine, sketches_[i], int(size), int(n[i]), k, threshold):
-                        count[comp[i]] = count.get(comp[i], 0) + 1
-                        rows.append((name, node[i]))
+            there = dict(list(members.groupby("home")))
+            for home, some in probes.groupby("p_home"):
+                rows += block(some, there[home])
         return pd.DataFrame(rows, columns=["a", "b"], dtype="object")
 
     return run
@@ -236,42 +236,32 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, k:
     held = held.withColumns({"rank": F.row_number().over(by.orderBy("df", "value")), "m": F.count("*").over(by), "weight": F.sum("df").over(by)})
     lists = keep(held.where("rank <= kn - need + 1 - (kn - m)").select("value", "node", "weight"))
     hubs = lists.groupBy("value").agg(F.max_by("node", F.struct("weight", "node")).alias("b"), F.count("*").alias("c")).where("c > 1")
-    pairs = keep(lists.join(hubs.withColumnRenamed("value", "_v"), F.col("value") == F.col("_v")).where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    lists = keep(lists.join(hubs.withColumnRenamed("value", "_v"), F.col("value") == F.col("_v")).select("value", "node", "b"))
+    pairs = keep(lists.where("node <> b").select(F.col("node").alias("a"), "b").distinct())
     wanted = keep(lists.select("node").distinct().join(classes.select(F.col("node").alias("_n"), "rep"), F.col("node") == F.col("_n")).select("node", "rep"))
-    # Texts of the classes in lists, one row each: the ids are broadcast only while they are few.
-    ids = wanted.select(F.col("rep").alias("_rep"))
-    ids = F.broadcast(ids) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
-    near = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    near = sketch_nodes(near, size).join(wanted.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("node", "text")
-    texts = keep(near.dropDuplicates(["node"]))
-    links = keep(_confirm(_passing(pairs, classes, k, threshold), texts, size, threshold))
-    tested = pairs
+    sets = keep(_full_sets(docs, wanted, size))
+    links = keep(_confirm(_passing(pairs, classes, k, threshold), sets, threshold))
     found = keep(components(links, keep))
-    for best in (4, None):
-        member = lists.select("value", "node").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("value", "node", F.coalesce("comp", "node").alias("comp"))
-        member = keep(member)
-        # Lists of several components, each with its largest.
-        sizes = member.groupBy("value", "comp").agg(F.count("*").alias("c"))
-        mixed = keep(sizes.groupBy("value").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("comps > 1").select(F.col("value").alias("_v"), "size", "main"))
-        if mixed.isEmpty():
-            break
-        member = member.join(mixed, F.col("value") == F.col("_v")).drop("_v")
-        own = keep(member.groupBy("node").agg(F.collect_set("value").alias("lists")))  # k values at most
-        info = classes.select(F.col("node").alias("_n"), "n", "sketch")
-        member = member.join(info, F.col("node") == F.col("_n")).drop("_n").join(own.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        member = keep(member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-        probes = member.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Lists of several components meet at the largest of them.
+    member = keep(lists.select("value", "node").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("value", "node", F.coalesce("comp", "node").alias("comp")))
+    sizes = member.groupBy("value", "comp").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("value").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("home")).where("comps > 1").select(F.col("value").alias("_v"), "home")
+    at_home = keep(member.join(mixed, F.col("value") == F.col("_v")).select("node", "comp", "home").distinct())
+    total = at_home.count()
+    if total:
+        homes = at_home.groupBy("home").agg(F.count("*").alias("size")).select(F.col("home").alias("_h"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        spread = max(1, total // BLOCK)
+        at_home = at_home.join(homes, F.col("home") == F.col("_h")).drop("_h")
+        # Small homes share tasks; a large one has a task for every block.
+        task = lambda block: F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("home"), F.lit(spread)).cast("string")).otherwise(F.concat("home", F.lit(":"), block.cast("string")))
+        at_home = keep(at_home.join(sets.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n"))
+        members = at_home.withColumn("task", task(F.pmod(F.xxhash64("node"), F.col("blocks")))).select("task", "home", "node", "comp", "hashes")
+        probes = at_home.where("comp <> home").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("task", task(F.col("_block")))
         # New attributes: a cogroup of a table with itself would mistake one side's columns for the other's.
-        probes = probes.select(*[F.col(c).alias(f"p_{c}") for c in ("value", "block", "node", "comp", "n", "sketch", "lists")])
-        some = probes.groupBy("p_value", "p_block").cogroup(member.groupBy("value", "block")).applyInPandas(_compare(k, threshold, best), "a string, b string")
-        some = some.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        done = tested.select(F.greatest("a", "b").alias("_a"), F.least("a", "b").alias("_b"))
-        some = keep(some.join(done, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"))
-        more = keep(_confirm(some, texts, size, threshold))
-        tested = tested.union(some)
-        links = links.union(more)
-        found = keep(components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), keep))
+        probes = probes.select(*[F.col(c).alias(f"p_{c}") for c in ("task", "home", "node", "comp", "hashes")])
+        more = keep(probes.groupBy("p_task").cogroup(members.groupBy("task")).applyInPandas(_reach(threshold), "a string, b string"))
+        if not more.isEmpty():
+            found = keep(components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), keep))
     least = classes.select("node", "rep").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
     least = least.groupBy("comp").agg(F.min("rep").alias("component")).withColumnRenamed("comp", "_c")
     reach = found.join(least, F.col("comp") == F.col("_c")).select(F.col("node").alias("_n"), "component")
@@ -318,6 +308,26 @@ def sketch_nodes(docs: DataFrame, size: int) -> DataFrame:
     return docs.withColumn("node", F.pandas_udf(run, "string")(F.col("text")))
 
 
+def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, hashes) of the wanted classes, from the texts of their representatives."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        hasher = Hasher(size)
+        for batch in batches:
+            hashes = [hasher.hashes(x) for x in batch["text"]]
+            yield pd.DataFrame({"node": [xxhash.xxh3_128_hexdigest(h.tobytes()) for h in hashes], "hashes": [h.tolist() for h in hashes]})
+
+    # The ids are broadcast only while they are few.
+    ids = wanted.select(F.col("rep").alias("_rep"))
+    ids = F.broadcast(ids) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    near = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+    full = near.select("text").mapInPandas(run, "node string, hashes array<long>")
+    full = full.join(wanted.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_semi")
+    return full.dropDuplicates(["node"])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents")).drop("node")
 
