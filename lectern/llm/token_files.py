@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Written, shared_dir, table, text_or_empty
 
 END = 0
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 SEEK_MAGIC, IDS_MAGIC, SEEK_FOOTER = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 #: White space that the word-by-word path does not take.
 _ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -107,15 +107,17 @@ class Encoder:
         if len(self.stems) > REMEMBERED:
             self.stems, self.older_stems = {}, self.stems
         split = [self.words(x) for x in texts]
-        needed: set[str] = set()
-        for words in split:
-            if words:
-                needed.update(words[1:])
-        if new := needed.difference(self.known):
-            self.learn(new)
         whole = self.ids([t if words is None else words[0] for t, words in zip(texts, split, strict=True)])
-        get = self.known.__getitem__
-        return [first if words is None else first + b"".join(map(get, words[1:])) for first, words in zip(whole, split, strict=True)]
+        get, missing, found = self.known.get, set(), []
+        for words in split:
+            parts = None if words is None else list(map(get, words[1:]))
+            found.append(parts)
+            if parts:
+                missing.update([w for w, part in zip(words[1:], parts, strict=True) if part is None])
+        if missing:
+            self.learn(missing)
+        known = self.known
+        return [first if parts is None else first + b"".join([known[w] if part is None else part for w, part in zip(words[1:], parts, strict=True)]) for first, words, parts in zip(whole, split, found, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
