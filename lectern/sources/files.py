@@ -35,7 +35,7 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_markdown(files: DataFrame) -> DataFrame:
     """Strict UTF-8, newlines made one kind, reasoning blocks removed."""
-    return files.select("source", T.strip_thinking_paged(T.newlines(F.decode("content", F.lit("UTF-8")))).alias("text"))
+    return files.select("source", T.strip_thinking_paged(T.newlines(F.decode("content", "UTF-8"))).alias("text"))
 
 
 def read_text(files: DataFrame) -> DataFrame:
