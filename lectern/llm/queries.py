@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, mixing, near_dup, quality_model, quality_rules, ring, token_counts, token_files
+from . import decontaminate, html_text, line_dedup, mixing, near_dup, quality_model, quality_rules, ring, token_counts, token_files
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_ring_sharding": ring.query,
     "op4_decontamination": decontaminate.query,
     "op5_bottom_k_near_dup": near_dup.query,
+    "op6_line_chunks": line_dedup.query,
     "op7_token_counts": token_counts.query,
     "op8_site_quality": quality_model.query,
     "op9_token_files": token_files.query,
