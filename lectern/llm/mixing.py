@@ -58,19 +58,19 @@ def _keyed(docs: DataFrame, seed: int, buckets: int, weight: Column | None) -> D
 
 
 def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, cap: float = 3.0, seed: int = 7, buckets: int = 4096, weight: Column | None = None, slim: bool = False) -> DataFrame:
-    """Documents with ``size``, ``source_size``, ``target`` and ``taken``.
+    """doc_id, source, size, source_size, target, taken and row for every document.
 
-    docs has doc_id, text and source; other columns pass through (slim: only doc_id, source).
+    docs has doc_id, text and source; row is the document with all its columns, so that none can
+    clash with a result (slim: no row, and texts are read once).
     size counts words; a null or empty text has 0 and takes 0. Sources in code point order, null
     last, weigh ``weights`` repeating and share ``share`` of all words; no target is above ``cap``
     times its source. A document counts to the budget where its middle lies within it, so a source
     misses its target by half a document at most. Rows equal in id and size tie and go together;
     null ids share a key. An empty table gives an empty result.
     """
-    own = {c.lower() for c in docs.columns}
-    clash = [c for c in ("size", "source_size", "target", "taken") if c in own]
-    docs = docs.drop(*clash)
-    keyed = _keyed(docs.select("doc_id", "text", "source") if slim else docs, seed, buckets, weight)
+    row = [] if slim else [F.struct(*[F.col(c) for c in docs.columns]).alias("row")]
+    given = [] if weight is None else [weight.cast("double").alias("_weight")]
+    keyed = _keyed(docs.select("doc_id", "text", "source", *given, *row), seed, buckets, None if weight is None else F.col("_weight")).drop("text", "_weight")
     facts = keyed.select("doc_id", "source", "_size", "_key", "_bucket")
     facts = Written(docs.sparkSession, "mix").keep(facts)
     if slim:
@@ -99,9 +99,8 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, cap: float
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    columns = docs.columns
     taken = mix(docs, **options).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -77,7 +77,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("quality", "own_quality", "path_quality", "kept")])
     columns = docs.columns
     keep = Written(docs.sparkSession, "quality").keep
-    rows = keep(docs.withColumn("_s", text_statistics("text")))
+    # A document's own columns stay together in _row, out of the way of what is joined to it.
+    rows = keep(docs.select("doc_id", "source", "lang", F.struct(*[F.col(c) for c in columns]).alias("_row"), text_statistics("text").alias("_s")))
     marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_label"))
     names = [f"_f{i}" for i in range(len(features()))]
     facts = rows.select("doc_id", "source", "lang", "_s.*").select("doc_id", "source", "lang", *[f.alias(n) for f, n in zip(features(), names, strict=True)])
@@ -105,7 +106,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     flat = flat.withColumn("path_quality", F.least(F.greatest(path, F.lit(0.001)), F.lit(0.999)))
     odds = _logit(F.least(F.greatest(F.col("own_quality"), F.lit(1e-9)), F.lit(1 - 1e-9))) + _logit(F.col("path_quality")) - _logit(F.col("m"))
     flat = flat.withColumn("quality", 1.0 / (1.0 + F.exp(-odds)))
-    return flat.select(*columns, "quality", "own_quality", "path_quality", (F.col("quality") >= threshold).alias("kept"))
+    return flat.select(*[F.col("_row").getField(c).alias(c) for c in columns], "quality", "own_quality", "path_quality", (F.col("quality") >= threshold).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
