@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,17 +41,25 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _clear(spark: SparkSession, path: str) -> None:
+    # At the process's end; a session that has stopped leaves its folder to the cluster.
+    with contextlib.suppress(Py4JError, OSError):
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            remove(spark, path)
+
+
 class Written:
     """Intermediate tables in the shared folder: they cut the lineage and outlive an executor.
 
     ``keep`` writes a table and reads it back, so that the planner knows its real size and
     broadcasts it only below the session's threshold. ``drop`` deletes tables that no later
-    plan reads; the rest go when the session's folder goes.
+    plan reads; the rest go when the driver's process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
+        atexit.register(_clear, spark, self.base)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path, self.n = f"{self.base}/{self.n}", self.n + 1

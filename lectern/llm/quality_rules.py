@@ -85,13 +85,14 @@ def pools(facts: DataFrame, least: int) -> DataFrame:
     return facts.join(named, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_lang", "_source")
 
 
-def judge(docs: DataFrame, least: int = LEAST_ROWS, z: float = 6.0) -> DataFrame:
+def judge(docs: DataFrame, least: int = LEAST_ROWS, z: float = 8.0) -> DataFrame:
     """doc_id, the base statistics, base_failed, distance, cutoff, kept for every row of docs.
 
     docs has doc_id, text, lang, source; the rest is not read. Null and empty texts have no words
     and fail the base rules. Null languages and sources are values of their own. Rows that fail the
     base rules take no part in the estimates. cutoff is the chi-squared quantile at the normal
-    quantile z; distances are scaled so that a pool's median is the chi-squared median. Pools of
+    quantile z, far out as the statistics have longer tails than a normal; distances are scaled so
+    that a pool's median is the chi-squared median. Pools of
     fewer than ``least`` rows reject nothing. Repeated rows count as often as they occur.
     """
     keep = Written(docs.sparkSession, "mcd").keep
