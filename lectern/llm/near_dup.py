@@ -34,7 +34,9 @@ SHINGLE, THRESHOLD, K = 5, 0.75, 64
 BLOCK = 2000
 #: Ids are broadcast to filter texts up to this many; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Rows whose sets are in memory together.
+ROWS = 500
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,22 +100,37 @@ def passes(a, b, na: int, nb: int, k: int = K, threshold: float = THRESHOLD) ->
     return min(na, nb) >= threshold * max(na, nb) and estimate(a, b, na, nb, k) >= threshold - slack - 1e-9
 
 
+def _lists(values: list[np.ndarray]):
+    """An Arrow list array of whole numbers, without a Python object for each."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, dtype=np.int64)]).astype(np.int64)))
+
+
+def _digest(hashes: np.ndarray) -> str | None:
+    import xxhash
+
+    return xxhash.xxh3_128_hexdigest(hashes.tobytes()) if len(hashes) else None
+
+
 def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
     """doc_id, n_shingles, node (a digest of the set; null for the empty set), sketch."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import xxhash
+    def run(batches):
+        import pyarrow as pa
 
         hasher = Hasher(size)
         for batch in batches:
-            rows = []
-            for text in batch:
-                h = hasher.hashes(text)
-                rows.append((len(h), xxhash.xxh3_128_hexdigest(h.tobytes()) if len(h) else None, h[:k].tolist()))
-            yield pd.DataFrame(rows, columns=["n_shingles", "node", "sketch"])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                hashes = [hasher.hashes(x) for x in part.column("text").to_pylist()]
+                n, node = pa.array([len(h) for h in hashes], pa.int64()), pa.array([_digest(h) for h in hashes], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("id"), n, node, _lists([h[:k] for h in hashes])], names=["id", "n_shingles", "node", "sketch"])
 
-    s = F.pandas_udf(run, "n_shingles long, node string, sketch array<long>")
-    return docs.select("doc_id", s(F.col("text")).alias("s")).select("doc_id", "s.*")
+    kind = docs.schema["doc_id"].dataType
+    out = docs.select(F.col("doc_id").cast("string").alias("id"), "text").mapInArrow(run, "id string, n_shingles long, node string, sketch array<long>")
+    return out.select(F.col("id").cast(kind).alias("doc_id"), "n_shingles", "node", "sketch")
 
 
 def components(edges: DataFrame, keep) -> DataFrame:
@@ -141,19 +158,21 @@ def components(edges: DataFrame, keep) -> DataFrame:
 def _confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets are at the threshold; sets is (node, hashes)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
+        import pyarrow as pa
+
         for batch in batches:
             rows = []
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["ha"], batch["hb"], strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if at_threshold(both, len(x), len(y), threshold):
-                    rows.append((a, b))
-            yield pd.DataFrame(rows, columns=["a", "b"], dtype="object")
+            for k in range(batch.num_rows):
+                x, y = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("ha", "hb"))
+                if at_threshold(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), threshold):
+                    rows.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(rows, pa.int64()))
 
     one = sets.select(F.col("node").alias("_a"), F.col("hashes").alias("ha"))
     two = sets.select(F.col("node").alias("_b"), F.col("hashes").alias("hb"))
     full = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
-    return full.select("a", "b", "ha", "hb").mapInPandas(run, "a string, b string")
+    return full.select("a", "b", "ha", "hb").mapInArrow(run, "a string, b string")
 
 
 def at_threshold(both, na, nb, threshold: float):
@@ -311,19 +330,20 @@ def sketch_nodes(docs: DataFrame, size: int) -> DataFrame:
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, hashes) of the wanted classes, from the texts of their representatives."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+    def run(batches):
+        import pyarrow as pa
 
         hasher = Hasher(size)
         for batch in batches:
-            hashes = [hasher.hashes(x) for x in batch["text"]]
-            yield pd.DataFrame({"node": [xxhash.xxh3_128_hexdigest(h.tobytes()) for h in hashes], "hashes": [h.tolist() for h in hashes]})
+            for lo in range(0, batch.num_rows, ROWS):
+                hashes = [hasher.hashes(x) for x in batch.column("text").slice(lo, ROWS).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(h) for h in hashes], pa.string()), _lists(hashes)], names=["node", "hashes"])
 
     # The ids are broadcast only while they are few.
     ids = wanted.select(F.col("rep").alias("_rep"))
     ids = F.broadcast(ids) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
     near = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    full = near.select("text").mapInPandas(run, "node string, hashes array<long>")
+    full = near.select("text").mapInArrow(run, "node string, hashes array<long>")
     full = full.join(wanted.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_semi")
     return full.dropDuplicates(["node"])
 
