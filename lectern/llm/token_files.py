@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Written, shared_dir, table, text_or_empty
 
 END = 0
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 SEEK_MAGIC, IDS_MAGIC, SEEK_FOOTER = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 #: White space that the word-by-word path does not take.
 _ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -56,8 +56,6 @@ class Encoder:
         self.by_word = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.older_stems: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(x)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,43 +67,44 @@ class Encoder:
         return text.split(" ")
 
     def learn(self, words: set[str]) -> None:
-        """Remember the ids of words, each behind a space."""
+        """Remember the ids of words, each behind a space; a key that begins with a newline is a piece behind none."""
+        known, older, plain = self.known, self.older, _PLAIN.match
         parts: dict[str, tuple[str, ...]] = {}
-        older, plain = self.older, _PLAIN.match
+        todo: set[str] = set()
         for word in words:
             if word in older:
-                self.known[word] = older[word]
+                known[word] = older[word]
             elif match := plain(word):
-                parts[word] = (" " + match[1], match[2]) if match[2] else (" " + word,)
+                if match[2]:
+                    parts[word] = (match[1], "\n" + match[2])
+                else:
+                    todo.add(word)
             else:
                 parts[word] = tuple(self.cut(word))
-        stems = self.stems
-        new = {x for cut in parts.values() for x in cut}.difference(stems)
-        for x in new.intersection(self.older_stems):
-            stems[x] = self.older_stems[x]
-        todo = list(new.difference(stems))
-        stems.update(zip(todo, self.ids(todo), strict=True))
-        for word, cut in parts.items():
-            self.known[word] = stems[cut[0]] if len(cut) == 1 else b"".join([stems[x] for x in cut])
+        pieces = {x for cut in parts.values() for x in cut}.difference(known)
+        for x in pieces.intersection(older):
+            known[x] = older[x]
+        new = list(todo.union(pieces.difference(known)))
+        known.update(zip(new, self.ids([x[1:] if x[0] == "\n" else " " + x for x in new]), strict=True))
+        # A word without a cut is its own piece and known by now.
+        known.update((word, b"".join([known[x] for x in cut])) for word, cut in parts.items() if cut != (word,))
 
     @staticmethod
     def cut(word: str) -> Iterator[str]:
         """What the pattern keeps apart in a word with newlines or marks in it."""
-        space = " "
+        behind = ""
         for piece in _NEWLINE.split(word):
             if match := _PLAIN.match(piece):
-                yield space + match[1]
+                yield behind + match[1]
                 if match[2]:
-                    yield match[2]
+                    yield "\n" + match[2]
             else:
-                yield space + piece
-            space = ""
+                yield behind + piece
+            behind = "\n"
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        if len(self.stems) > REMEMBERED:
-            self.stems, self.older_stems = {}, self.stems
         split = [self.words(x) for x in texts]
         whole = self.ids([t if words is None else words[0] for t, words in zip(texts, split, strict=True)])
         get, missing, found = self.known.get, set(), []
