@@ -1,12 +1,19 @@
-"""Line dedup by content-defined chunks of lines.
-
-A rolling hash over the hashes of the last WINDOW lines sets a boundary wherever it falls on one of
-DIVISOR values, so boundaries follow the lines' content: lines put in before a passage do not shift
-the chunks within it. A chunk of two lines or more that occurs again anywhere, byte for byte, is
-removed everywhere but at its first place, by doc_id and position.
-
-Chunks travel as digests. Copies of a digest are found by grouped aggregation, the first place's
-bytes are fetched once per repeated chunk, and a copy goes only if its bytes are equal.
+"""Line dedup: every repeated run of lines goes, but at its first place.
+
+A run is a stretch of lines with two that are not blank at least, or one line of more than LONG
+words. It is repeated where the same bytes occur earlier, by doc_id and position, without
+overlapping it. A longer run is repeated only if each of its pairs of neighbouring lines is, so these
+pairs, and long lines, are the seeds: repeated seeds next to each other, with their first places next
+to each other as well, grow to the whole shared run. What is removed is what brute force over all
+runs would remove; there is no boundary that a passage could miss.
+
+Seeds travel as digests. Copies of a digest are found by grouped aggregation, the first place's
+bytes are fetched once per distinct run, and a line goes only if its bytes are equal.
+
+``dedup`` is the older rule over content-defined chunks: a rolling hash over the hashes of the last
+WINDOW lines sets a boundary wherever it falls on one of DIVISOR values, and a chunk of two lines or
+more that occurs earlier is removed. It leaves what lies in chunks mixed with other text; the
+registered query uses ``dedup_runs``.
 """
 
 from __future__ import annotations
@@ -20,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import Written, table, text_or_empty
 
 WINDOW, DIVISOR, MOST_LINES = 2, 3, 16
+#: A line of more words is a run by itself.
+LONG = 50
 _MASK = (1 << 64) - 1
 
 
@@ -122,6 +131,11 @@ def dedup(docs: DataFrame) -> DataFrame:
                 rows.append(("".join(kept), n, lines, cut))
             yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed_lines", "n_removed_chunks"])
 
+    return _replaced(docs, gone, rewrite)
+
+
+def _replaced(docs: DataFrame, gone: DataFrame, rewrite) -> DataFrame:
+    """docs after rewrite, with the counts; gone has _id and _gone."""
     udf = F.pandas_udf(_typed(rewrite), "text string, n_lines long, n_removed_lines long, n_removed_chunks long")
     out = docs.join(gone, F.col("doc_id").cast("string").eqNullSafe(F.col("_id")), "left")
     out = out.withColumn("_out", udf(F.col("doc_id").cast("string"), text_or_empty(), F.col("_gone")))
@@ -136,6 +150,129 @@ def _typed(f):
     return run
 
 
+def seeds(lines: list[str]) -> list[tuple[int, int]]:
+    """(position, lines) of each two neighbours that are not blank, with what is between, and of each long line."""
+    out, last = [], None
+    for k, line in enumerate(lines):
+        if not line.strip():
+            continue
+        if last is not None:
+            out.append((last, k - last + 1))
+        if len(line) > 2 * LONG and len(line.split()) > LONG:
+            out.append((k, 1))
+        last = k
+    return out
+
+
+def _seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import xxhash
+
+    for batch in batches:
+        rows = []
+        for doc, text in zip(batch["id"], batch["text"], strict=True):
+            key, lines, own = _key(doc, text), text.split("\n"), set()
+            for k, n in seeds(lines):
+                digest = xxhash.xxh3_128_digest("\n".join(lines[k : k + n]).encode("utf-8", "surrogatepass"))
+                if digest not in own:
+                    own.add(digest)
+                    rows.append((doc, key, k, n, digest))
+        yield pd.DataFrame(rows, columns=["id", "key", "pos", "n", "digest"])
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A document's repeated seeds, grown together where they overlap or touch here and at their first places."""
+    for batch in batches:
+        rows = []
+        for doc, key, some in zip(batch["id"], batch["key"], batch["seeds"], strict=True):
+            begin = end = diagonal = None
+            for first, shift, pos, n in sorted((x["first_key"], x["first_pos"] - x["pos"], x["pos"], x["n"]) for x in some):
+                if diagonal == (first, shift) and pos <= end:
+                    end = max(end, pos + n)
+                    continue
+                if diagonal is not None:
+                    rows.append((doc, key, begin, end - begin, diagonal[0], begin + diagonal[1]))
+                begin, end, diagonal = pos, pos + n, (first, shift)
+            rows.append((doc, key, begin, end - begin, diagonal[0], begin + diagonal[1]))
+        yield pd.DataFrame(rows, columns=["id", "key", "pos", "n", "first_key", "first_pos"])
+
+
+def repeated(lines: list[str], runs: list[tuple[int, list[str]]]) -> list[bool]:
+    """Whether each line goes. runs: positions, and the lines that earlier documents have there."""
+    mine = seeds(lines)
+    at: dict[int, list[int]] = {}
+    for k, n in mine:
+        at.setdefault(k, []).append(n)
+    elsewhere = set()
+    for pos, there in runs:
+        equal = [a == b for a, b in zip(lines[pos : pos + len(there)], there)]
+        for k in range(pos, pos + len(equal)):
+            elsewhere |= {(k, n) for n in at.get(k, ()) if k + n <= pos + len(equal) and all(equal[k - pos : k - pos + n])}
+    first: dict[str, int] = {}
+    gone = [False] * len(lines)
+    for k, n in mine:
+        begin = first.setdefault("\n".join(lines[k : k + n]), k)
+        if (begin, n) in elsewhere or k >= begin + n:
+            gone[k : k + n] = [True] * n
+    return gone
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """docs with text replaced, and n_lines, n_removed_lines, n_removed_chunks (stretches removed).
+
+    docs has doc_id and text; other columns stay. Null and empty texts stay as they are and lose
+    nothing. Single lines of LONG words at most are never removed, and the first place of a line
+    always stays. Rows equal in id and text are treated alike; null ids come after all others.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed_lines", "n_removed_chunks")])
+    keep = Written(docs.sparkSession, "runs").keep
+    slim = docs.select(F.col("doc_id").cast("string").alias("id"), text_or_empty().alias("text"))
+    found = keep(slim.mapInPandas(_seeds, "id string, key string, pos int, n int, digest binary"))
+    order = F.struct(F.col("id").isNull().alias("n"), F.col("id").cast("long").alias("i"), "key", "pos")
+    first = found.groupBy("digest").agg(F.min(order).alias("at"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+    first = keep(first.select(F.col("digest").alias("_d"), F.col("at.key").alias("first_key"), F.col("at.pos").alias("first_pos")))
+    copies = found.join(first, F.col("digest") == F.col("_d")).where("key <> first_key")
+    copies = copies.groupBy("id", "key").agg(F.collect_set(F.struct("pos", "n", "first_key", "first_pos")).alias("seeds"))
+    runs = keep(copies.mapInPandas(_runs, "id string, key string, pos int, n int, first_key string, first_pos int"))
+
+    # The bytes at the first places.
+    places = runs.select("first_key", "first_pos", "n").distinct().groupBy("first_key").agg(F.collect_list(F.struct("first_pos", "n")).alias("places"))
+    places = places.withColumn("_id", F.nullif(F.substring_index("first_key", ":", 1), F.lit("")))
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text, key, at in zip(batch["id"], batch["text"], batch["first_key"], batch["places"], strict=True):
+                if _key(doc, text) == key:
+                    lines = text.split("\n")
+                    rows += [(key, p["first_pos"], p["n"], "\n".join(lines[p["first_pos"] : p["first_pos"] + p["n"]])) for p in at]
+            yield pd.DataFrame(rows, columns=["_key", "_pos", "_n", "bytes"])
+
+    bytes_ = slim.join(places, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "first_key", "places").mapInPandas(fetch, "_key string, _pos int, _n int, bytes string")
+    bytes_ = bytes_.dropDuplicates(["_key", "_pos", "_n"])
+    gone = runs.join(bytes_, (F.col("first_key") == F.col("_key")) & (F.col("first_pos") == F.col("_pos")) & (F.col("n") == F.col("_n")))
+    gone = gone.groupBy("id", "key").agg(F.collect_list(F.struct("pos", "bytes")).alias("gone"))
+    gone = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("key", "gone")).alias("_gone"))
+
+    def rewrite(batches):
+        for ids, texts, gones in batches:
+            rows = []
+            for doc, text, gone_ in zip(ids, texts, gones, strict=True):
+                lines, mine = text.split("\n"), []
+                n = len(lines) if text else 0
+                if gone_ is not None and len(gone_):
+                    key = _key(doc, text)
+                    mine = [(p["pos"], p["bytes"].split("\n")) for g in gone_ if g["key"] == key for p in g["gone"]]
+                if not mine and len(set(lines)) == n:
+                    rows.append((text, n, 0, 0))
+                    continue
+                out = repeated(lines, mine)
+                kept = "".join(x + ("\n" if k < len(lines) - 1 else "") for k, x in enumerate(lines) if not out[k])
+                rows.append((kept, n, sum(out), sum(x and not (k and out[k - 1]) for k, x in enumerate(out))))
+            yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed_lines", "n_removed_chunks"])
+
+    return _replaced(docs, gone, rewrite)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.crc32(text_or_empty().cast("binary")).alias("text_crc32"))

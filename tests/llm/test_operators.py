@@ -300,6 +300,51 @@ def test_line_chunks(spark):
     assert sum(passage[4] in (r.text or "").split("\n") for r in got if r.doc_id != 0) <= 3
 
 
+def without_repeated_runs(rows):
+    """Brute force over all runs of lines and all earlier places."""
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, line_dedup._key(r[0], r[1] or "")))
+    places, want = {}, {}
+    for o, (_, t) in enumerate(order):
+        lines = (t or "").split("\n")
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                places.setdefault(tuple(lines[i : j + 1]), []).append((o, i))
+    for o, (d, t) in enumerate(order):
+        lines, gone = (t or "").split("\n"), set()
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                run = lines[i : j + 1]
+                full = sum(bool(x.strip()) for x in run) > 1 or (len(run) == 1 and len(run[0].split()) > line_dedup.LONG)
+                if full and run[0].strip() and run[-1].strip() and any(p < o or (p == o and q + len(run) <= i) for p, q in places[tuple(run)]):
+                    gone |= set(range(i, j + 1))
+        want[d, t] = (None if t is None else "".join(x + "\n" * (k < len(lines) - 1) for k, x in enumerate(lines) if k not in gone), len(gone))
+    return want
+
+
+def test_line_runs_against_brute_force(spark):
+    """Shared passages of 2 lines and up, and long lines, in differing surroundings."""
+    rng = random.Random(21)
+    rows, passage = lines_corpus()
+    shared = [[sentence(rng, 9) for _ in range(n)] for n in (2, 2, 3, 5, 10)] + [[sentence(rng, 60)], [sentence(rng, 7), "", sentence(rng, 7)]]
+    for i in range(200, 260):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            lines += [sentence(rng, 6) for _ in range(rng.randrange(0, 3))] + rng.choice(shared) + [rng.choice(["", " ", "short", sentence(rng, 5)])]
+        rows.append((i, "\n".join(lines) + rng.choice(["", "\n"])))
+    rows += [(300 + i, "\n".join(rng.choice("abc ") for _ in range(rng.randrange(1, 9)))) for i in range(40)] + [(400, "q\nq\nq"), (401, "z\nz\nz\nz\nz")]
+    want = without_repeated_runs(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("old", F.col("text")).withColumn("n_lines", F.lit("x")).repartition(3)
+    got = line_dedup.dedup_runs(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.text, r.n_removed_lines) == want[r.doc_id, r.old]
+        assert (r.n_removed_chunks > 0) == (r.n_removed_lines > 0)
+    # Every line of every shared passage is left once, whatever stands around it.
+    left = [x for r in got for x in (r.text or "").split("\n")]
+    assert all(left.count(x) == 1 for run in shared for x in run if x)
+    assert line_dedup.dedup_runs(df.limit(0)).count() == 0
+
+
 # Tokens
 
 
