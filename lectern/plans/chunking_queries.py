@@ -48,6 +48,20 @@ def strip_thinking_paged(spark, d):
     return table(spark, d, "documents").select("doc_id", T.strip_thinking_paged(text).alias("cleaned"))
 
 
+def _halves():
+    """A text's halves, which together are the whole of it."""
+    return F.expr("substring(text, 1, length(text) div 2)"), F.expr("substring(text, length(text) div 2 + 1)")
+
+
+@Q("""SELECT doc_id, concat('p <!-- Page 2 -->', regexp_replace(concat(substr(text, 1, length(text) // 2), '<think a>', substr(text, length(text) // 2 + 1), CASE WHEN doc_id % 2 = 0 THEN '</think>' ELSE '' END), '(?is)<think\\b[^>]*>.*?(?:</think\\s*>|\\z)', '', 'g'),
+  '<!-- Page 3 -->', text) AS cleaned FROM documents""")
+def strip_thinking_paged_whole(spark, d):
+    """strip_thinking_paged over whole texts."""
+    one, two = _halves()
+    text = F.concat(F.lit("p <think>secret<!-- Page 2 -->"), one, F.lit("<think a>"), two, F.when(F.col("doc_id") % 2 == 0, F.lit("</think>")).otherwise(F.lit("")), F.lit("<!-- Page 3 -->"), "text")
+    return table(spark, d, "documents").select("doc_id", T.strip_thinking_paged(text).alias("cleaned"))
+
+
 @Q(f"WITH {_LINES} SELECT doc_id, section_pos, section FROM sections")
 def heading_split(spark, d):
     return manual(spark, d).select("doc_id", F.posexplode(C.nonblank(C.heading_split("text", BOILERPLATE))).alias("section_pos", "section")).withColumn("section_pos", F.col("section_pos").cast("long"))

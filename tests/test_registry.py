@@ -49,3 +49,12 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_texts(spark):
+    """Page markers and questions over whole texts: no character of a document is left out of the input."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert max(map(len, texts.values())) > 10_000
+    queries = entry.queries()
+    for r in queries["strip_thinking_paged_whole"](spark, SF).collect():
+        assert r.cleaned.endswith("<!-- Page 3 -->" + texts[r.doc_id]) and texts[r.doc_id][: len(texts[r.doc_id]) // 2] in r.cleaned
