@@ -104,6 +104,36 @@ def faq_detect(spark, d):
     return _faq(spark, d).select("doc_id", T.is_faq("text").alias("looks_like_faq"))
 
 
+def _faq_whole(spark, d):
+    """Question lists of whole texts: the first half asks and the second answers, then the other way round."""
+    one, two = _halves()
+    part = lambda k, ask, answer: F.concat(F.lit(f"\n\n{k}. What is "), ask, F.lit(" then?\n"), answer)
+    docs = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[?\n]", " "))
+    return docs.select("doc_id", "source", F.concat(F.lit("Intro"), part(1, one, two), F.when(F.col("doc_id") % 2 == 0, part(2, two, one)).otherwise(F.lit("")), F.lit("\n3. no question here\nand more"), F.lit("\n4. Last one of these?\nyes")).alias("text"))
+
+
+_FAQ_WHOLE = r"""src AS (SELECT doc_id, source, regexp_replace(text, '[?\n]', ' ', 'g') AS t FROM documents),
+half AS (SELECT doc_id, source, substr(t, 1, length(t) // 2) AS one, substr(t, length(t) // 2 + 1) AS two FROM src),
+faq AS (SELECT doc_id, source, concat('Intro', chr(10), chr(10), '1. What is ', one, ' then?', chr(10), two,
+  CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), chr(10), '2. What is ', two, ' then?', chr(10), one) ELSE '' END,
+  chr(10), '3. no question here', chr(10), 'and more', chr(10), '4. Last one of these?', chr(10), 'yes') AS text FROM half),
+""" + _FAQ[_FAQ.index("fl AS") :]
+
+
+@Q(f"WITH {_FAQ_WHOLE} SELECT doc_id, block_pos, block, nullif(regexp_replace(regexp_replace(regexp_extract(block, '(?ms)^\\s*\\d+\\.\\s+(.+?\\?)', 1), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), '') AS question FROM blocks")
+def faq_split_whole(spark, d):
+    """faq_split over whole texts."""
+    out = _faq_whole(spark, d).select("doc_id", F.posexplode(C.faq_split("text")).alias("block_pos", "block"))
+    return out.select("doc_id", F.col("block_pos").cast("long").alias("block_pos"), "block", T.faq_question("block").alias("question"))
+
+
+@Q(f"""WITH {_FAQ_WHOLE}, pv AS (SELECT *, CASE WHEN q = 1 AND lag(line) OVER (PARTITION BY doc_id ORDER BY pos) = '' THEN 2 ELSE q END AS n FROM ff)
+SELECT doc_id, sum(n) >= 3 AS looks_like_faq FROM pv GROUP BY doc_id""")
+def faq_detect_whole(spark, d):
+    """faq_detect over whole texts."""
+    return _faq_whole(spark, d).select("doc_id", T.is_faq("text").alias("looks_like_faq"))
+
+
 @Q(f"WITH {_PAGES} SELECT doc_id, section_pos, piece_pos, part FROM parts")
 def page_marker_refine(spark, d):
     sections = manual(spark, d).select("doc_id", F.posexplode(C.nonblank(C.heading_split("text", BOILERPLATE))).alias("section_pos", "section"))
