@@ -499,6 +499,27 @@ def test_tree_on_held_out_blocks():
     assert right >= 0.9 * len(html_text.LABELLED)
 
 
+def test_html_words_and_links_decide():
+    """Place is one feature: inside an article links go by density, inside furniture long text stays."""
+    menu = "<ul><li><a href=a>More about this</a><li><a href=b>Read that as well</a><li><a href=c>And this one</a></ul>"
+    text = "word " * 40
+    assert html_text.main_text(f"<article><p>{text}</p><div>{menu}</div><p>{text}</p></article>") == f"{text.strip()}\n\n{text.strip()}"
+    assert html_text.main_text(f"<article><p>{text}</p><p><a href=x>See the source</a></p><p>{text}</p></article>").count("\n\n") == 2
+    # An article inside a wrapper of any name is an article; names are whole class names.
+    assert html_text.main_text(f"<div class='sidebar'><article><p>One line.</p><p>{text}</p></article></div>") == f"One line.\n\n{text.strip()}"
+    assert html_text.main_text(f"<div class='long-form share-price'><p>{text}</p></div>") == text.strip()
+    long = "word " * 150
+    assert html_text.main_text(f"<div class='promotion'><p>{long}</p><p>Buy it now</p></div>") == long.strip()
+    assert html_text.main_text(f"<div class='site-footer'><p>{text}</p></div>") == ""
+    assert html_text.main_text(f"<article hidden><p>{text}</p></article>") == html_text.main_text(f"<div style='display:none'><article><p>{long}</p></article></div>") == ""
+    used, nodes = set(), [html_text.tree()]
+    while nodes:
+        if isinstance(node := nodes.pop(), tuple):
+            used.add(node[0])
+            nodes += node[2:]
+    assert {0, 1, 3, 5, 6} <= used
+
+
 # Empty tables
 
 
