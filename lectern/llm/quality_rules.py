@@ -29,7 +29,7 @@ FLOORS = [0.3, 0.05, 0.3, 0.3, 0.3, 0.3]
 P = len(FLOORS)
 COVERAGE = 0.75
 STEPS = 3
-#: Pools of fewer rows join those of their language, then a common pool; a smaller one gives no verdict.
+#: Groups of fewer rows are judged with the like groups of their language, then by all rows of it, then by all rows.
 LEAST_ROWS = 100
 
 
@@ -76,13 +76,19 @@ def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def pools(facts: DataFrame, least: int) -> DataFrame:
-    """facts with pool: language and source, or less where too few rows share both."""
+    """_lang, _source, pool, wide for the groups of facts.
+
+    pool says by whose estimate the group's rows are judged: 2 the group's, 1 that of its language's
+    groups of fewer than ``least`` rows, 3 that of all rows of its language, 0 that of all rows, each
+    where those before have too few. wide says that its language needs an estimate over all its rows.
+    """
     own = facts.groupBy("lang", "source").agg(F.count("*").alias("_n"))
     key = lambda *c: F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("-")) for x in c])
-    sparse = own.where(F.col("_n") < least).groupBy("lang").agg(F.sum("_n").alias("_m"))
-    named = own.join(sparse.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    named = named.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.when(F.col("_n") >= least, F.concat(F.lit("2"), key("lang", "source"))).when(F.col("_m") >= least, F.concat(F.lit("1"), key("lang"))).otherwise(F.lit("0")).alias("pool"))
-    return facts.join(named, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_lang", "_source")
+    sparse = own.groupBy(F.col("lang").alias("_lang")).agg(F.coalesce(F.sum(F.when(F.col("_n") < least, F.col("_n"))), F.lit(0)).alias("_m"), F.sum("_n").alias("_all"))
+    named = own.join(sparse, F.col("lang").eqNullSafe(F.col("_lang")))
+    pool = F.when(F.col("_n") >= least, F.concat(F.lit("2"), key("lang", "source"))).when(F.col("_m") >= least, F.concat(F.lit("1"), key("lang"))).when(F.col("_all") >= least, F.concat(F.lit("3"), key("lang"))).otherwise(F.lit("0"))
+    wide = F.when((F.col("_m") > 0) & (F.col("_m") < least) & (F.col("_all") >= least), F.concat(F.lit("3"), key("lang")))
+    return named.select("_lang", F.col("source").alias("_source"), pool.alias("pool"), wide.alias("wide"))
 
 
 def judge(docs: DataFrame, least: int = LEAST_ROWS, z: float = 8.0) -> DataFrame:
@@ -92,16 +98,22 @@ def judge(docs: DataFrame, least: int = LEAST_ROWS, z: float = 8.0) -> DataFrame
     and fail the base rules. Null languages and sources are values of their own. Rows that fail the
     base rules take no part in the estimates. cutoff is the chi-squared quantile at the normal
     quantile z, far out as the statistics have longer tails than a normal; distances are scaled so
-    that a pool's median is the chi-squared median. Pools of
-    fewer than ``least`` rows reject nothing. Repeated rows count as often as they occur.
+    that a pool's median is the chi-squared median. Groups of fewer than ``least`` rows are judged by
+    a wider pool, at the widest by all rows however few; every row that passes the base rules has a
+    distance. Repeated rows count as often as they occur.
     """
     keep = Written(docs.sparkSession, "mcd").keep
     stats = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text_statistics("text").alias("_s")).select("doc_id", "lang", "source", "_s.*")
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     facts = keep(stats.select("doc_id", "lang", "source", *BASE, base_failed.alias("base_failed"), *[x.alias(f"x{i}") for i, x in enumerate(vector())]))
-    rows = keep(pools(facts.where(~F.col("base_failed")), least).select("pool", *[f"x{i}" for i in range(P)]))
+    named = keep(pools(facts.where(~F.col("base_failed")), least))
+    # The pools that a row counts in: its own, and wider ones where some group is judged by them.
+    every = F.lit(None).cast("string") if named.where("pool = '0'").isEmpty() else F.lit("0")
+    counts = F.array_distinct(F.array_compact(F.array(F.col("pool"), F.col("wide"), every)))
+    rows = facts.where(~F.col("base_failed")).join(named, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
+    rows = keep(rows.select(F.explode(counts).alias("pool"), *[f"x{i}" for i in range(P)]))
     cuts = [0.05, 0.25, 0.5, 0.75, 0.95]
-    marks = rows.groupBy("pool").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", cuts, 1000).alias(f"q{i}") for i in range(P)]).where(F.col("n") >= least)
+    marks = rows.groupBy("pool").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", cuts, 1000).alias(f"q{i}") for i in range(P)])
     scale = lambda i, a, b, k: F.greatest((F.col(f"q{i}")[b] - F.col(f"q{i}")[a]) / k, F.lit(FLOORS[i]))
     diagonal = lambda a, b, k: F.array(*[F.lit(1.0) / (scale(i, a, b, k) * scale(i, a, b, k)) if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
     starts = F.array(*[F.struct(F.lit(s).alias("start"), F.array(*[F.col(f"q{i}")[2] for i in range(P)]).alias("mu"), diagonal(*span).alias("inv")) for s, span in enumerate(((1, 3, 1.349), (0, 4, 3.29)))])
@@ -117,8 +129,7 @@ def judge(docs: DataFrame, least: int = LEAST_ROWS, z: float = 8.0) -> DataFrame
     best = keep(best)
     middle = rows.join(best, "pool").withColumn("d2", _distance()).groupBy("pool").agg((F.percentile_approx("d2", 0.5, 1000) / chi2_quantile(P, 0.0)).alias("unit"))
     best = keep(best.join(middle, "pool"))
-    named = keep(pools(facts.where(~F.col("base_failed")), least).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "pool").distinct())
-    model = keep(named.join(best, "pool"))
+    model = keep(named.select("_lang", "_source", "pool").join(best, "pool"))
     out = facts.join(model, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     distance = _distance() / F.greatest(F.col("unit"), F.lit(1.0))
     out = out.withColumn("distance", distance).withColumn("cutoff", F.lit(chi2_quantile(P, z)))

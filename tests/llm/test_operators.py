@@ -453,6 +453,19 @@ def test_robust_outliers(spark, docs, clashing):
     assert base[503].n_words == 2 and base[503].base_failed and not base[505].base_failed
 
 
+def test_robust_outliers_of_small_pools(spark):
+    """Rows of small groups are judged by their language, then by all rows, however few these are."""
+    plain = [r for r in quality_rows() if r[0] % 10]
+    odd = [r for r in quality_rows() if r[0] % 20 == 10]  # full of symbols; the base rules pass them
+    rows = [(i, t, "en", "s0", 1) for i, t, *_ in plain[:300]] + [(odd[0][0], odd[0][1], "en", "rare", 1), (odd[1][0], odd[1][1], "xx", "s0", 1), (odd[2][0], odd[2][1], None, None, 1)]
+    rows += [(plain[k][0], plain[k][1], lang, source, 1) for k, (lang, source) in enumerate([("en", "rare"), ("xx", "s0"), (None, None), ("yy", None)], 300)]
+    for some in (rows, rows[230:]):
+        out = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(some, DOCS)).collect()}
+        assert len(out) == len(some) and all(r.distance is not None and not r.base_failed for r in out.values())
+        assert not any(out[r[0]].kept for r in odd[:3])
+        assert all(out[plain[k][0]].kept for k in range(300, 304)) and sum(r.kept for r in out.values()) > 0.97 * (len(some) - 3)
+
+
 def test_quality_model(spark, docs, clashing):
     rows = quality_rows()
     df = spark.createDataFrame(rows, DOCS)
