@@ -9,8 +9,9 @@
 3. In every list all members are compared with its hub, the member whose values are most common.
    Union sketches filter the pairs, full sets confirm them, and the links give components.
 4. Lists whose members are still in different components go to the largest of these, their home.
-   At a home, in blocks, every node from outside is held against every node, on full sets, by one
-   pass over an inverted index of the block; one link to each component it reaches is enough.
+   At a home, in blocks on both sides, every node from outside is held against every node, on full
+   sets, by one pass over an inverted index of the block; one link to each component it reaches is
+   enough.
 
 Full sets are those of 63-bit shingle hashes; they are made only for classes that share a list.
 
@@ -232,6 +233,23 @@ def _reach(threshold: float):
     return run
 
 
+def _homes(at_home: DataFrame) -> DataFrame:
+    """at_home with blocks, those of the home's members, and p_blocks, those of its nodes from outside."""
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    homes = at_home.groupBy("home").agg(parts(F.count("*")).alias("blocks"), parts(F.count(F.when(F.col("comp") != F.col("home"), 1))).alias("p_blocks")).withColumnRenamed("home", "_h")
+    return at_home.join(homes, F.col("home") == F.col("_h")).drop("_h")
+
+
+def _dealt(at_home: DataFrame, spread: int) -> tuple[DataFrame, DataFrame]:
+    """Probes and members by task: small homes share ``spread`` tasks, a large one has a task for every pair of a block of probes and a block of members."""
+    task = lambda block, p_block: F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("home"), F.lit(spread)).cast("string")).otherwise(F.concat_ws(":", "home", block.cast("string"), p_block.cast("string")))
+    at, every = lambda n: F.pmod(F.xxhash64("node"), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = at_home.withColumn("_block", every("p_blocks")).withColumn("task", task(at("blocks"), F.col("_block"))).select("task", "home", "node", "comp", "hashes")
+    probes = at_home.where("comp <> home").withColumn("_block", every("blocks")).withColumn("task", task(F.col("_block"), at("p_blocks")))
+    # New attributes: a cogroup of a table with itself would mistake one side's columns for the other's.
+    return probes.select(*[F.col(c).alias(f"p_{c}") for c in ("task", "home", "node", "comp", "hashes")]), members
+
+
 def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, node for every row of docs (doc_id, text; the rest is not read).
 
@@ -268,16 +286,9 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, k:
     at_home = keep(member.join(mixed, F.col("value") == F.col("_v")).select("node", "comp", "home").distinct())
     total = at_home.count()
     if total:
-        homes = at_home.groupBy("home").agg(F.count("*").alias("size")).select(F.col("home").alias("_h"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        spread = max(1, total // BLOCK)
-        at_home = at_home.join(homes, F.col("home") == F.col("_h")).drop("_h")
-        # Small homes share tasks; a large one has a task for every block.
-        task = lambda block: F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("home"), F.lit(spread)).cast("string")).otherwise(F.concat("home", F.lit(":"), block.cast("string")))
+        at_home = _homes(at_home)
         at_home = keep(at_home.join(sets.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n"))
-        members = at_home.withColumn("task", task(F.pmod(F.xxhash64("node"), F.col("blocks")))).select("task", "home", "node", "comp", "hashes")
-        probes = at_home.where("comp <> home").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("task", task(F.col("_block")))
-        # New attributes: a cogroup of a table with itself would mistake one side's columns for the other's.
-        probes = probes.select(*[F.col(c).alias(f"p_{c}") for c in ("task", "home", "node", "comp", "hashes")])
+        probes, members = _dealt(at_home, max(1, total // BLOCK))
         more = keep(probes.groupBy("p_task").cogroup(members.groupBy("task")).applyInPandas(_reach(threshold), "a string, b string"))
         if not more.isEmpty():
             found = keep(components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), keep))

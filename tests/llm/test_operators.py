@@ -252,6 +252,18 @@ def test_near_dup_large_group(spark, monkeypatch):
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted((d, c) for d, _, c in groups(rows))
 
 
+def test_near_dup_blocks_on_both_sides(spark, monkeypatch):
+    """No task holds many more probes or members of a home than a block; every pair meets in one task."""
+    monkeypatch.setattr(near_dup, "BLOCK", 40)
+    rows = [("h", f"n{i}", "h" if i < 50 else f"c{i}", [i]) for i in range(400)] + [(f"s{i}", f"m{i}{k}", f"s{i}" if k else "x", [i]) for i in range(9) for k in range(3)]
+    at_home = spark.createDataFrame(rows, "home string, node string, comp string, hashes array<long>")
+    probes, members = near_dup._dealt(near_dup._homes(at_home), 5)
+    for held, c in ((probes, "p_"), (members, "")):
+        assert held.where(f"{c}home = 'h'").groupBy(f"{c}task").count().agg(F.max("count")).first()[0] <= 80
+    pairs = [tuple(r) for r in probes.join(members, (F.col("p_task") == F.col("task")) & (F.col("p_home") == F.col("home"))).select("home", "p_node", "node").collect()]
+    assert sorted(pairs) == sorted((h, a, b) for h, a, comp, _ in rows if comp != h for g, b, *_ in rows if g == h)
+
+
 def test_distinct_documents(docs, clashing):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     out = near_dup.distinct_documents(clashing)
