@@ -26,25 +26,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, shared_dir, table, text_or_empty
+from .common import Written, only, shared_dir, table, text_or_empty, whole_ids
 
 END = 0
-REMEMBERED = 600_000
+#: Rows that are encoded and framed together.
+ROWS = 500
 SEEK_MAGIC, IDS_MAGIC, SEEK_FOOTER = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
-#: White space that the word-by-word path does not take.
-_ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_NEWLINE = re.compile(r"((?<=[^\n])\n(?=[^\n]))")
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)\Z")
+#: How the tokenizer's byte-level step cuts text, as its own format names no pattern: a fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Code points tried at start: Latin, Greek, Cyrillic, dashes and quotes, two signs.
+TRIED = [*range(0x530), *range(0x2010, 0x2028), 0x20AC, 0x2122]
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-in of each byte in a byte-level vocabulary: itself where visible, else one from U+0100 on."""
+    seen = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {chr(b): b for b in seen} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
 
 
 class Encoder:
     """Ids of whole texts under a byte-level tokenizer, as bytes, equal to the library's own.
 
-    The tokenizer's pattern always cuts before a single space between two other characters, on both
-    sides of a newline between two such, and between a letter and the point or comma that ends a
-    word. Texts whose spaces are all of that kind are encoded word by word; the library encodes each
-    distinct word once. Other texts go to it whole. Words are remembered in two generations, so
-    that those in use outlive the rest within a fixed memory.
+    Where that is proved at start, a second merge loop over the same vocabulary, tiktoken's, takes the
+    text: it merges the neighbours that form the vocabulary string of least id, the library those of
+    the least merge. Both are the same if ids ascend with the merges and every string of the vocabulary,
+    merged alone, becomes itself: neighbours that form a string are then always its own merge.
+    Characters are cut alike if the library's ids of a probe of each are the same. Texts with other
+    characters or the tokenizer's added strings go to the library, as do all if the proof fails.
     """
 
     def __init__(self, path: str):
@@ -53,79 +62,46 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        self.by_word = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"])
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(x)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, text: str) -> list[str] | None:
-        """The words, or None if the text has to be encoded whole."""
-        if not self.by_word or "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD_SPACE.search(text):
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        self.merged = self._merge_loop(spec)
+        self.unproved = None
+        if self.merged:
+            probes = [f"x{c}x 1{c}1 !{c}! {c}{c}  {c} \n{c}\n" for c in map(chr, TRIED)]
+            proved = [chr(c) for c, probe, ids in zip(TRIED, probes, self._library(probes), strict=True) if self._loop(probe) == ids]
+            self.unproved = re.compile("[^" + "".join(map(re.escape, proved)) + "]")
+
+    def _merge_loop(self, spec: dict):
+        """tiktoken's encoding of the same vocabulary, or None where it is not proved equal."""
+        import tiktoken
+
+        model = spec["model"]
+        plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        plain = plain and model["type"] == "BPE" and not any([model["dropout"], model["unk_token"], model["continuing_subword_prefix"], model["end_of_word_suffix"], model["byte_fallback"], model["ignore_merges"]])
+        vocab = {k: v for k, v in model["vocab"].items() if k not in self.added} if plain else {}
+        made = [vocab.get("".join(x), -1) for x in model["merges"]] if plain else []
+        if not plain or any(a >= b for a, b in zip([len(vocab) - len(made) - 1, *made], made)) or any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"]):
             return None
-        return text.split(" ")
-
-    def learn(self, words: set[str]) -> None:
-        """Remember the ids of words, each behind a space; a key that begins with a newline is a piece behind none."""
-        known, older, plain = self.known, self.older, _PLAIN.match
-        parts: dict[str, tuple[str, ...]] = {}
-        todo: set[str] = set()
-        for word in words:
-            if word in older:
-                known[word] = older[word]
-            elif match := plain(word):
-                if match[2]:
-                    parts[word] = (match[1], "\n" + match[2])
-                else:
-                    todo.add(word)
-            else:
-                parts[word] = tuple(self.cut(word))
-        pieces = {x for cut in parts.values() for x in cut}.difference(known)
-        for x in pieces.intersection(older):
-            known[x] = older[x]
-        new = list(todo.union(pieces.difference(known)))
-        known.update(zip(new, self.ids([x[1:] if x[0] == "\n" else " " + x for x in new]), strict=True))
-        # A word without a cut is its own piece and known by now.
-        known.update((word, b"".join([known[x] for x in cut])) for word, cut in parts.items() if cut != (word,))
-
-    @staticmethod
-    def cut(word: str) -> Iterator[str]:
-        """What the pattern keeps apart in a word with newlines or marks in it."""
-        behind = ""
-        for piece in _NEWLINE.split(word):
-            if match := _PLAIN.match(piece):
-                yield behind + match[1]
-                if match[2]:
-                    yield "\n" + match[2]
-            else:
-                yield behind + piece
-            behind = "\n"
+        if any([x.id for x in self.tokenizer.model.tokenize(k)] != [v] for k, v in vocab.items()):
+            return None
+        byte = byte_alphabet()
+        return tiktoken.Encoding("proved", pat_str=PATTERN, mergeable_ranks={bytes(map(byte.__getitem__, k)): v for k, v in vocab.items()}, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        split = [self.words(x) for x in texts]
-        whole = self.ids([t if words is None else words[0] for t, words in zip(texts, split, strict=True)])
-        get, missing, found = self.known.get, set(), []
-        for words in split:
-            parts = None if words is None else list(map(get, words[1:]))
-            found.append(parts)
-            if parts:
-                missing.update([w for w, part in zip(words[1:], parts, strict=True) if part is None])
-        if missing:
-            self.learn(missing)
-        known = self.known
-        return [first if parts is None else first + b"".join([known[w] if part is None else part for w, part in zip(words[1:], parts, strict=True)]) for first, words, parts in zip(whole, split, found, strict=True)]
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _loop(self, text: str) -> bytes:
+        return self.merged.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
-_ENCODERS: dict[str, Encoder] = {}
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for text in texts:
+            if self.merged and not self.unproved.search(text) and not any(x in text for x in self.added):
+                yield self._loop(text)
+            else:
+                yield self._library([text])[0]
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return only("encoder:" + path, lambda: Encoder(path))
 
 
 def skippable(magic: int, content: bytes) -> bytes:
@@ -181,12 +157,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, level: int = 1) -
     """Write docs' ids (doc_id, text; the rest is not read) in ascending doc_id order; the manifest.
 
     The manifest has a row per file in order: part, file, n_docs, n_tokens, first_token. Null ids
-    come first; rows equal in id are ordered by text. A null or empty text is its end id alone. An
-    empty table writes no file. tokenizer is a path that every executor has.
+    come first; rows equal in id are ordered by text, and files may part them where their texts
+    differ. A null or empty text is its end id alone; very long texts are encoded whole. Ids are
+    whole numbers, as the format has them (TypeError else). An empty table writes no file. Columns
+    beside the two cannot clash. tokenizer is a path that every executor has.
     """
-    spark = docs.sparkSession
+    whole_ids(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
+        import pyarrow as pa
         import xxhash
         import zstandard
         from pyspark import TaskContext
@@ -199,15 +178,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, level: int = 1) -
         end, out = struct.pack("<I", END), None
         store, path = _store(folder)
         for batch in batches:
-            if not len(batch):
-                continue
-            if out is None:
-                store.create_dir(path, recursive=True)
-                out = store.open_output_stream(f"{path}/{name}", compression=None)
-            texts = batch["text"].tolist()
-            ids += [None if x is None else int(x) for x in batch["doc_id"]]
-            for lo in range(0, len(texts), 1000):
-                for content in encode(texts[lo : lo + 1000]):
+            for lo in range(0, batch.num_rows, ROWS):
+                if out is None:
+                    store.create_dir(path, recursive=True)
+                    out = store.open_output_stream(f"{path}/{name}", compression=None)
+                some = batch.slice(lo, ROWS)
+                ids += some.column("key").to_pylist()
+                for content in encode(some.column("text").to_pylist()):
                     content += end
                     frame = compressor.compress(content)
                     out.write(frame)
@@ -215,13 +192,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, level: int = 1) -
         if out is not None:
             out.write(trailer(ids, entries))
             out.close()
-            yield pd.DataFrame({"part": [part], "file": [name], "n_docs": [len(ids)], "n_tokens": [sum(x[1] for x in entries) // 4]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [len(ids)], "n_tokens": [sum(x[1] for x in entries) // 4]})
 
+    order = [F.col("key").asc_nulls_first(), "text"]
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), text_or_empty().alias("text"))
-    rows = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
-    done = rows.select(F.col("key").cast("string").alias("doc_id"), "text").mapInPandas(run, "part int, file string, n_docs long, n_tokens long")
+    # A text's start parts the rows of one id in the order of whole texts.
+    rows = rows.repartitionByRange(F.col("key").asc_nulls_first(), F.substring("text", 1, 40)).sortWithinPartitions(*order)
+    done = rows.mapInArrow(run, "part int, file string, n_docs long, n_tokens long")
     # Written before anything reads it: the files are made once, and the names that count are fixed here.
-    done = Written(spark, "manifest").keep(done)
+    done = Written(docs.sparkSession, "manifest").keep(done)
     before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return done.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
