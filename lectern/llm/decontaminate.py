@@ -5,9 +5,10 @@ digits and of anything beyond ASCII. A window is ten consecutive words of an ite
 a shorter one. The automaton holds every window as a sequence of word numbers, and a document is
 scanned once; hits are kept by word and mapped back to offsets in the original text.
 
-The benchmark is the query set: it goes to the workers in blocks of at most ``BLOCK`` windows, one
-automaton a block and one block in memory at a time, so its size is bounded whatever the table's.
-Documents are never shuffled.
+The benchmark is the query set. Up to ``BLOCK`` windows are one automaton, and a text is read once,
+one text's words in memory at a time. A larger benchmark goes to the workers in blocks of about that
+many windows, each an automaton; a worker holds one, and texts are gathered up to ``GATHER``
+characters, over which the automata pass in turn. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import free_name, only, small_batches, table, text_or_empty
 
 WINDOW = 10
 BLOCK = 100_000
+#: Characters of texts that a worker holds where there are several blocks.
+GATHER = 16_000_000
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ORIGINAL = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -82,9 +85,6 @@ def spans(text: str, hit: set[int]) -> list[dict]:
     return out
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The benchmark in blocks of about ``block`` windows; one block is on the driver at a time."""
     rows, size = [], 0
@@ -101,37 +101,53 @@ def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[str, list[b
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans array<struct<start:int,end:int>>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs with the struct column ``_leak``: n_words, n_hit, n_items, items_sha256, items, spans.
+def scan(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, result: str = "_leak") -> DataFrame:
+    """docs with the struct column ``result``: n_words, n_hit, n_items, items_sha256, items, spans.
 
-    docs has text, benchmark item_id and text; all rows and other columns of docs stay. Null, empty
-    and word-less texts and items match nothing. Repeated item ids count once; items without an id
-    count as one, named null. Overlapping windows hit a word once.
+    docs has text, benchmark item_id and text; all rows and other columns of docs stay, but one named
+    like the result gives way. Null, empty and word-less texts and items match nothing; an empty
+    benchmark matches nothing, an empty docs gives no rows. Very long texts are read whole, alone.
+    Repeated item ids count once; items without an id count as one, named null. Overlapping windows
+    hit a word once. Repeated rows get equal results.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     blocks = [(uuid.uuid4().hex, spark.sparkContext.broadcast(rows)) for rows in _blocks(benchmark, block)]
 
+    def found(texts: list[str | None]) -> list[tuple]:
+        hits: list[set[int]] = [set() for _ in texts]
+        items: list[set[str]] = [set() for _ in texts]
+        counts = [0] * len(texts)
+        for name, part in blocks:
+            matcher = only(name, lambda part=part: Matcher(part.value))
+            for k, text in enumerate(texts):
+                split = words(text)
+                counts[k] = len(split)
+                matcher.scan(split, hits[k], items[k])
+        rows = []
+        for text, n, hit, some in zip(texts, counts, hits, items, strict=True):
+            ids = sorted(some, key=lambda x: x.encode())
+            rows.append((n, len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), ids, spans(text, hit) if hit else []))
+        return rows
+
     @F.pandas_udf(RESULT)
     def leak(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch.tolist()
-            split = [words(x) for x in texts]
-            hits: list[set[int]] = [set() for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
-            for name, part in blocks:
-                if name not in _MATCHERS:
-                    _MATCHERS.clear()
-                    _MATCHERS[name] = Matcher(part.value)
-                matcher = _MATCHERS[name]
-                for k, text in enumerate(split):
-                    matcher.scan(text, hits[k], items[k])
-            rows = []
-            for text, w, hit, found in zip(texts, split, hits, items, strict=True):
-                ids = sorted(found, key=lambda x: x.encode())
-                rows.append((len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), ids, spans(text, hit) if hit else []))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "items", "spans"])
-
-    return docs.withColumn("_leak", leak(F.col("text")))
+        held, size = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                size += int(batch.str.len().sum())
+            if held and (batch is None or len(blocks) == 1 or size >= GATHER):
+                yield pd.DataFrame(found([x for one in held for x in one]), columns=["n_words", "n_hit", "n_items", "items_sha256", "items", "spans"])
+                held, size = [], 0
+
+    return docs.withColumn(result, leak(F.col("text")))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of docs, whatever their columns, in which no window of the benchmark occurs."""
+    result = free_name(docs, "_leak")
+    return scan(docs, benchmark, block, result).where(F.col(result).getField("n_hit") == 0).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
