@@ -28,11 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, table
+from .common import Written, free_name, hot_join, table
 
 SHINGLE, THRESHOLD, K = 5, 0.75, 64
-#: Nodes of a home that one task holds at a time.
-BLOCK = 2000
+#: Values of the full sets that a task holds at a time, of a home's members and of its nodes from outside.
+BLOCK = 600_000
 #: Ids are broadcast to filter texts up to this many; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 REMEMBERED = 200_000
@@ -197,23 +197,25 @@ def _passing(pairs: DataFrame, classes: DataFrame, k: int, threshold: float) ->
 def _reach(threshold: float):
     """Links of a task's blocks: for each probe, one to every component it reaches."""
 
-    def block(probes: pd.DataFrame, members: pd.DataFrame) -> list[tuple[str, str]]:
+    def block(probes, members) -> list[tuple[str, str]]:
+        import pyarrow as pa
+
         rows = []
-        hashes = [np.asarray(x) for x in members["hashes"]]
-        n = np.array([len(x) for x in hashes])
-        flat, owner = np.concatenate(hashes), np.repeat(np.arange(len(hashes)), n)
+        flat = pa.concat_arrays(members.column("hashes").chunks)
+        n = np.diff(flat.offsets.to_numpy())
+        flat, owner = flat.flatten().to_numpy(), np.repeat(np.arange(len(n), dtype=np.int32), n)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        values, first = np.unique(flat, return_index=True)
-        last = np.append(first[1:], len(flat))
-        node, comp = members["node"].to_numpy(), members["comp"].to_numpy()
-        for name, own, mine in zip(probes["p_node"], probes["p_comp"], probes["p_hashes"], strict=True):
-            mine = np.asarray(mine)
-            at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
-            at = at[values[at] == mine]
-            if not len(at):
+        del order
+        node, comp = members.column("node").to_numpy(), members.column("comp").to_numpy()
+        hashes = probes.column("p_hashes")
+        for k, (name, own) in enumerate(zip(probes.column("p_node").to_pylist(), probes.column("p_comp").to_pylist(), strict=True)):
+            mine = hashes[k].values.to_numpy()
+            first, last = np.searchsorted(flat, mine), np.searchsorted(flat, mine, side="right")
+            held = last > first
+            if not held.any():
                 continue
-            both = np.bincount(np.concatenate([owner[first[i] : last[i]] for i in at.tolist()]), minlength=len(n))
+            both = np.bincount(np.concatenate([owner[i:j] for i, j in zip(first[held].tolist(), last[held].tolist(), strict=True)]), minlength=len(n))
             found = np.flatnonzero(at_threshold(both, n, len(mine), threshold) & (comp != own))
             seen: set[str] = set()
             for i in found.tolist():
@@ -222,22 +224,25 @@ def _reach(threshold: float):
                     rows.append((name, node[i]))
         return rows
 
-    def run(probes: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    def run(probes, members):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         rows: list[tuple[str, str]] = []
-        if len(probes) and len(members):
-            there = dict(list(members.groupby("home")))
-            for home, some in probes.groupby("p_home"):
-                rows += block(some, there[home])
-        return pd.DataFrame(rows, columns=["a", "b"], dtype="object")
+        if probes.num_rows and members.num_rows:
+            for home in pc.unique(probes.column("p_home")):
+                rows += block(probes.filter(pc.equal(probes.column("p_home"), home)), members.filter(pc.equal(members.column("home"), home)))
+        return pa.table({"a": pa.array([a for a, _ in rows], pa.string()), "b": pa.array([b for _, b in rows], pa.string())})
 
     return run
 
 
 def _homes(at_home: DataFrame) -> DataFrame:
-    """at_home with blocks, those of the home's members, and p_blocks, those of its nodes from outside."""
+    """at_home (home, comp, node, n values of its set) with blocks, those of the home's members, and p_blocks, those of its nodes from outside."""
     parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    homes = at_home.groupBy("home").agg(parts(F.count("*")).alias("blocks"), parts(F.count(F.when(F.col("comp") != F.col("home"), 1))).alias("p_blocks")).withColumnRenamed("home", "_h")
-    return at_home.join(homes, F.col("home") == F.col("_h")).drop("_h")
+    homes = at_home.groupBy("home").agg(parts(F.sum("n")).alias("blocks"), parts(F.sum(F.when(F.col("comp") != F.col("home"), F.col("n")))).alias("p_blocks"))
+    homes = homes.select(F.col("home").alias("_h"), "blocks", F.coalesce("p_blocks", F.lit(1)).alias("p_blocks"))
+    return hot_join(at_home, ["home"], homes, ["_h"], at_home.count()).drop("_h")
 
 
 def _dealt(at_home: DataFrame, spread: int) -> tuple[DataFrame, DataFrame]:
@@ -284,17 +289,18 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, k:
     sizes = member.groupBy("value", "comp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("value").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("home")).where("comps > 1").select(F.col("value").alias("_v"), "home")
     at_home = keep(member.join(mixed, F.col("value") == F.col("_v")).select("node", "comp", "home").distinct())
-    total = at_home.count()
-    if total:
-        at_home = _homes(at_home)
-        at_home = keep(at_home.join(sets.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n"))
+    if not at_home.isEmpty():
+        at_home = keep(at_home.join(sets.select(F.col("node").alias("_n"), "n"), F.col("node") == F.col("_n")).drop("_n"))
+        total = at_home.agg(F.sum("n")).first()[0]
+        at_home = keep(_homes(at_home).drop("n").join(sets.select(F.col("node").alias("_n"), "hashes"), F.col("node") == F.col("_n")).drop("_n"))
         probes, members = _dealt(at_home, max(1, total // BLOCK))
-        more = keep(probes.groupBy("p_task").cogroup(members.groupBy("task")).applyInPandas(_reach(threshold), "a string, b string"))
+        more = keep(probes.groupBy("p_task").cogroup(members.groupBy("task")).applyInArrow(_reach(threshold), "a string, b string"))
         if not more.isEmpty():
             found = keep(components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), keep))
     least = classes.select("node", "rep").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
     least = least.groupBy("comp").agg(F.min("rep").alias("component")).withColumnRenamed("comp", "_c")
-    reach = found.join(least, F.col("comp") == F.col("_c")).select(F.col("node").alias("_n"), "component")
+    found = keep(found)
+    reach = hot_join(found, ["comp"], least, ["_c"], found.count()).select(F.col("node").alias("_n"), "component")
     every = keep(classes.select("node", "rep").join(reach, F.col("node") == F.col("_n"), "left").select(F.col("node").alias("_n"), F.coalesce("component", "rep").alias("component_id")))
     out = rows.join(every, F.col("node") == F.col("_n"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -302,27 +308,33 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, k:
 
 
 def distinct_documents(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
-    """docs without near duplicates: one row of each component stays, with all its columns.
+    """docs without near duplicates: one row of each component stays, with all its columns, whatever their names.
 
     Rows are told apart by id. Where an id is null or occurs twice, the row's set decides, and of
-    rows equal in both, one stays; rows with empty sets all stay.
+    rows equal in both, one stays, that of the least text; rows with empty sets all stay. Very long
+    texts are hashed whole. An empty table gives an empty result.
     """
     keep = Written(docs.sparkSession, "distinct").keep
+    id_, gone_, row_, node_ = (free_name(docs, x) for x in ("_id", "_gone", "_row", "_node"))
     linked = keep(link(docs, size, threshold, k))
-    several = keep(linked.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").select(F.col("doc_id").alias("_id")))
-    gone = keep(linked.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
+    several = keep(linked.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").select(F.col("doc_id").alias(id_)))
+    gone = keep(linked.where("not kept and doc_id is not null").select(F.col("doc_id").alias(gone_)).distinct())
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col(gone_), "left_anti")
     if several.isEmpty():
-        return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    plain = docs.join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    odd = docs.withColumn("_row", F.struct(*docs.columns)).join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    odd = sketch_nodes(odd.select("doc_id", "text", "_row"), size)
-    verdict = linked.join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").where("kept and node is not null").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    full = odd.join(verdict, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")))
-    # A component of rows without ids has no least id; its least set stays for it.
-    one = full.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "node").orderBy("text"))).where("_n = 1")
-    empty = odd.join(linked.where("node is not null").select(F.col("node").alias("_node")).distinct(), F.col("node") == F.col("_node"), "left_anti")
-    return plain.unionByName(one.select("_row.*")).unionByName(empty.select("_row.*"))
+        return left
+    plain = left.join(several, left["doc_id"].eqNullSafe(F.col(id_)), "left_anti")
+    odd = docs.join(several, docs["doc_id"].eqNullSafe(F.col(id_)), "left_semi")
+    odd = sketch_nodes(odd.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias(row_)), size)
+    verdict = linked.join(several, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi").where("kept and node is not null").select(F.col("doc_id").alias(id_), F.col("node").alias(node_)).distinct()
+    full = odd.join(verdict, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col("node") == F.col(node_)))
+    # A component of rows without ids has no least id; its least set stays for it. Copies are folded, not gathered.
+    one = full.groupBy("doc_id", "node").agg(F.min("text").alias("_t")).withColumnRenamed("doc_id", id_).withColumnRenamed("node", node_)
+    one = full.drop(id_, node_).join(one, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col("node") == F.col(node_)) & (F.col("text") == F.col("_t")))
+    one = one.groupBy("doc_id", "node").agg(F.first(row_).alias(row_))
+    empty = odd.join(linked.where("node is not null").select(F.col("node").alias(node_)).distinct(), F.col("node") == F.col(node_), "left_anti")
+    unpack = [F.col(row_).getField(c).alias(c) for c in docs.columns]
+    return plain.unionByName(one.select(*unpack)).unionByName(empty.select(*unpack))
 
 
 def sketch_nodes(docs: DataFrame, size: int) -> DataFrame:
@@ -339,7 +351,7 @@ def sketch_nodes(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, hashes) of the wanted classes, from the texts of their representatives."""
+    """(node, n, hashes) of the wanted classes, from the texts of their representatives."""
 
     def run(batches):
         import pyarrow as pa
@@ -348,13 +360,13 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 hashes = [hasher.hashes(x) for x in batch.column("text").slice(lo, ROWS).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(h) for h in hashes], pa.string()), _lists(hashes)], names=["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(h) for h in hashes], pa.string()), pa.array([len(h) for h in hashes], pa.int64()), _lists(hashes)], names=["node", "n", "hashes"])
 
     # The ids are broadcast only while they are few.
     ids = wanted.select(F.col("rep").alias("_rep"))
     ids = F.broadcast(ids) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
     near = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    full = near.select("text").mapInArrow(run, "node string, hashes array<long>")
+    full = near.select("text").mapInArrow(run, "node string, n long, hashes array<long>")
     full = full.join(wanted.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_semi")
     return full.dropDuplicates(["node"])
 
