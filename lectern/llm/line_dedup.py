@@ -5,15 +5,12 @@ words. It is repeated where the same bytes occur earlier, by doc_id and position
 overlapping it. A longer run is repeated only if each of its pairs of neighbouring lines is, so these
 pairs, and long lines, are the seeds: repeated seeds next to each other, with their first places next
 to each other as well, grow to the whole shared run. What is removed is what brute force over all
-runs would remove; there is no boundary that a passage could miss.
+runs would remove; there is no boundary that a passage could miss, as there is with chunks that a
+rolling hash over the lines' hashes cuts.
 
 Seeds travel as digests. Copies of a digest are found by grouped aggregation, the first place's
-bytes are fetched once per distinct run, and a line goes only if its bytes are equal.
-
-``dedup`` is the older rule over content-defined chunks: a rolling hash over the hashes of the last
-WINDOW lines sets a boundary wherever it falls on one of DIVISOR values, and a chunk of two lines or
-more that occurs earlier is removed. It leaves what lies in chunks mixed with other text; the
-registered query uses ``dedup_runs``.
+bytes are fetched once per distinct run, and a line goes only if its bytes are equal. A digest or
+run with a large share of all rows is dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -24,130 +21,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, table, text_or_empty
+from .common import Written, hot_join, packed, text_or_empty
 
-WINDOW, DIVISOR, MOST_LINES = 2, 3, 16
 #: A line of more words is a run by itself.
 LONG = 50
-_MASK = (1 << 64) - 1
-
-
-def chunks(text: str) -> list[str]:
-    """The text cut after the newlines at boundaries; joined, they give the text again."""
-    import xxhash
-
-    lines = text.split("\n")
-    out, begin, last = [], 0, [0] * WINDOW
-    for k, line in enumerate(lines):
-        last = [*last[1:], xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))]
-        rolling = 0
-        for h in last:
-            rolling = (rolling * 0x9E3779B97F4A7C15 + h) & _MASK
-        if (rolling >> 32) % DIVISOR == 0 or k - begin + 1 == MOST_LINES or k == len(lines) - 1:
-            out.append("\n".join(lines[begin : k + 1]) + ("\n" if k < len(lines) - 1 else ""))
-            begin = k + 1
-    return out
-
-
-def body(chunk: str) -> str:
-    """What is compared: a chunk without its last newline, which its text's end may lack."""
-    return chunk.removesuffix("\n")
-
-
-def is_multi(chunk: str) -> bool:
-    """Two lines at least, one of them not blank."""
-    return "\n" in body(chunk) and bool(chunk.strip())
-
-
-def _key(doc_id, text: str) -> str:
-    import xxhash
-
-    return f"{'' if doc_id is None or doc_id != doc_id else doc_id}:{xxhash.xxh3_128_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
-
-
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import xxhash
-
-    for batch in batches:
-        rows = []
-        for doc, text in zip(batch["id"], batch["text"], strict=True):
-            key = _key(doc, text)
-            rows += [(doc, key, k, xxhash.xxh3_128_hexdigest(body(c).encode("utf-8", "surrogatepass"))) for k, c in enumerate(chunks(text)) if is_multi(c)]
-        yield pd.DataFrame(rows, columns=["id", "key", "pos", "digest"])
+#: Keys are broadcast to filter texts up to this many; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
+#: Rows whose lines are in memory together.
+ROWS = 500
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with text replaced, and n_lines, n_removed_lines, n_removed_chunks.
+def _key(doc_id, text: str) -> bytes:
+    """What tells documents apart: rows equal in id and text are one."""
+    import hashlib
 
-    docs has doc_id and text; other columns stay. Null and empty texts stay as they are and lose
-    nothing. Single lines are never removed. Rows equal in id and text are treated alike; null ids
-    come after all others. A text all of whose chunks occur earlier becomes empty.
-    """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed_lines", "n_removed_chunks")])
-    keep = Written(docs.sparkSession, "lines").keep
-    slim = docs.select(F.col("doc_id").cast("string").alias("id"), text_or_empty().alias("text"))
-    found = keep(slim.mapInPandas(_digests, "id string, key string, pos int, digest string"))
-    order = F.struct(F.col("id").isNull().alias("n"), F.col("id").cast("long").alias("i"), "key", "pos")
-    first = found.groupBy("digest").agg(F.min(order).alias("at"), F.count("*").alias("c")).where("c > 1").select(F.col("digest").alias("_d"), F.col("at.key").alias("first_key"), F.col("at.pos").alias("first_pos"))
-    first = keep(first)
-    copies = keep(found.join(first, F.col("digest") == F.col("_d")).where("key <> first_key or pos <> first_pos").select("id", "key", "pos", "digest").distinct())
+    return hashlib.md5(f"{'' if doc_id is None else doc_id}:{text}".encode()).digest()
 
-    # The bytes at the first places.
-    places = first.groupBy("first_key").agg(F.collect_list(F.struct(F.col("first_pos").alias("pos"), F.col("_d").alias("digest"))).alias("places"))
-    places = places.withColumn("_id", F.nullif(F.substring_index("first_key", ":", 1), F.lit("")))
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, text, key, at in zip(batch["id"], batch["text"], batch["first_key"], batch["places"], strict=True):
-                if _key(doc, text) == key:
-                    cut = chunks(text)
-                    rows += [(p["digest"], body(cut[p["pos"]])) for p in at]
-            yield pd.DataFrame(rows, columns=["_d", "bytes"], dtype="object")
-
-    bytes_ = slim.join(places, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "first_key", "places").mapInPandas(fetch, "_d string, bytes string")
-    bytes_ = keep(bytes_.dropDuplicates(["_d"]))
-    gone = copies.join(bytes_, F.col("digest") == F.col("_d")).groupBy("id", "key").agg(F.collect_list(F.struct("pos", "bytes")).alias("gone"))
-    gone = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("key", "gone")).alias("_gone"))
-
-    def rewrite(batches):
-        for ids, texts, gones in batches:
-            rows = []
-            for doc, text, gone_ in zip(ids, texts, gones, strict=True):
-                n = text.count("\n") + 1 if text else 0
-                mine = {}
-                if gone_ is not None and len(gone_):
-                    key = _key(doc, text)
-                    mine = {p["pos"]: p["bytes"] for g in gone_ if g["key"] == key for p in g["gone"]}
-                if not mine:
-                    rows.append((text, n, 0, 0))
-                    continue
-                kept, lines, cut = [], 0, 0
-                for k, c in enumerate(chunks(text)):
-                    if k in mine and body(c) == mine[k]:
-                        lines, cut = lines + body(c).count("\n") + 1, cut + 1
-                    else:
-                        kept.append(c)
-                rows.append(("".join(kept), n, lines, cut))
-            yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed_lines", "n_removed_chunks"])
-
-    return _replaced(docs, gone, rewrite)
-
-
-def _replaced(docs: DataFrame, gone: DataFrame, rewrite) -> DataFrame:
-    """docs after rewrite, with the counts; gone has _id and _gone."""
-    udf = F.pandas_udf(_typed(rewrite), "text string, n_lines long, n_removed_lines long, n_removed_chunks long")
-    out = docs.join(gone, F.col("doc_id").cast("string").eqNullSafe(F.col("_id")), "left")
-    out = out.withColumn("_out", udf(F.col("doc_id").cast("string"), text_or_empty(), F.col("_gone")))
-    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("_out.text"))
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], "_out.n_lines", "_out.n_removed_lines", "_out.n_removed_chunks")
-
-
-def _typed(f):
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        yield from f(batches)
-
-    return run
+def _key_column():
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_or_empty()).cast("binary")))
 
 
 def seeds(lines: list[str]) -> list[tuple[int, int]]:
@@ -164,36 +56,49 @@ def seeds(lines: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _seeds(batches):
+    import pyarrow as pa
     import xxhash
 
     for batch in batches:
-        rows = []
-        for doc, text in zip(batch["id"], batch["text"], strict=True):
-            key, lines, own = _key(doc, text), text.split("\n"), set()
-            for k, n in seeds(lines):
-                digest = xxhash.xxh3_128_digest("\n".join(lines[k : k + n]).encode("utf-8", "surrogatepass"))
-                if digest not in own:
-                    own.add(digest)
-                    rows.append((doc, key, k, n, digest))
-        yield pd.DataFrame(rows, columns=["id", "key", "pos", "n", "digest"])
+        for lo in range(0, batch.num_rows, ROWS):
+            some, rows = batch.slice(lo, ROWS), []
+            for i, text in enumerate(some.column("text").to_pylist()):
+                lines, own = text.split("\n"), set()
+                for k, n in seeds(lines):
+                    digest = xxhash.xxh3_128_digest("\n".join(lines[k : k + n]).encode("utf-8", "surrogatepass"))
+                    if digest not in own:
+                        own.add(digest)
+                        rows.append((i, k, n, digest))
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([some.column("doc").take(at), some.column("key").take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())], names=["doc", "key", "pos", "n", "digest"])
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A document's repeated seeds, grown together where they overlap or touch here and at their first places."""
     for batch in batches:
         rows = []
-        for doc, key, some in zip(batch["id"], batch["key"], batch["seeds"], strict=True):
+        for key, some in zip(batch["key"], batch["seeds"], strict=True):
             begin = end = diagonal = None
             for first, shift, pos, n in sorted((x["first_key"], x["first_pos"] - x["pos"], x["pos"], x["n"]) for x in some):
                 if diagonal == (first, shift) and pos <= end:
                     end = max(end, pos + n)
                     continue
                 if diagonal is not None:
-                    rows.append((doc, key, begin, end - begin, diagonal[0], begin + diagonal[1]))
+                    rows.append((key, begin, end - begin, diagonal[0], begin + diagonal[1]))
                 begin, end, diagonal = pos, pos + n, (first, shift)
-            rows.append((doc, key, begin, end - begin, diagonal[0], begin + diagonal[1]))
-        yield pd.DataFrame(rows, columns=["id", "key", "pos", "n", "first_key", "first_pos"])
+            rows.append((key, begin, end - begin, diagonal[0], begin + diagonal[1]))
+        yield pd.DataFrame(rows, columns=["key", "pos", "n", "first_key", "first_pos"])
+
+
+def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines of the places in each text."""
+    for batch in batches:
+        rows = []
+        for text, key, at in zip(batch["text"], batch["key"], batch["places"], strict=True):
+            lines = text.split("\n")
+            rows += [(key, p["first_pos"], p["n"], "\n".join(lines[p["first_pos"] : p["first_pos"] + p["n"]])) for p in at]
+        yield pd.DataFrame(rows, columns=["_key", "_pos", "_n", "bytes"])
 
 
 def repeated(lines: list[str], runs: list[tuple[int, list[str]]]) -> list[bool]:
@@ -216,63 +121,65 @@ def repeated(lines: list[str], runs: list[tuple[int, list[str]]]) -> list[bool]:
     return gone
 
 
+RESULTS = ("n_lines", "n_removed_lines", "n_removed_chunks")
+
+
 def dedup_runs(docs: DataFrame) -> DataFrame:
     """docs with text replaced, and n_lines, n_removed_lines, n_removed_chunks (stretches removed).
 
-    docs has doc_id and text; other columns stay. Null and empty texts stay as they are and lose
-    nothing. Single lines of LONG words at most are never removed, and the first place of a line
-    always stays. Rows equal in id and text are treated alike; null ids come after all others.
+    docs has doc_id, of any type that orders, and text; other columns stay, whatever their names, but
+    those named like a result give way. Null and empty texts stay as they are and lose nothing; very
+    long texts are read whole. Single lines of LONG words at most are never removed, and the first
+    place of a line always stays. Rows equal in id and text are one document and treated alike; null
+    ids come after all others, and documents equal in id are ordered by a digest of their text. An
+    empty table gives an empty result.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed_lines", "n_removed_chunks")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS])
     keep = Written(docs.sparkSession, "runs").keep
-    slim = docs.select(F.col("doc_id").cast("string").alias("id"), text_or_empty().alias("text"))
-    found = keep(slim.mapInPandas(_seeds, "id string, key string, pos int, n int, digest binary"))
-    order = F.struct(F.col("id").isNull().alias("n"), F.col("id").cast("long").alias("i"), "key", "pos")
+    slim = docs.select(F.col("doc_id").alias("doc"), _key_column().alias("key"), text_or_empty().alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = keep(slim.mapInArrow(_seeds, f"doc {kind}, key binary, pos int, n int, digest binary"))
+    order = F.struct(F.col("doc").isNull().alias("n"), "doc", "key", "pos")
     first = found.groupBy("digest").agg(F.min(order).alias("at"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
     first = keep(first.select(F.col("digest").alias("_d"), F.col("at.key").alias("first_key"), F.col("at.pos").alias("first_pos")))
-    copies = found.join(first, F.col("digest") == F.col("_d")).where("key <> first_key")
-    copies = copies.groupBy("id", "key").agg(F.collect_set(F.struct("pos", "n", "first_key", "first_pos")).alias("seeds"))
-    runs = keep(copies.mapInPandas(_runs, "id string, key string, pos int, n int, first_key string, first_pos int"))
+    copies = hot_join(found.select("key", "pos", "n", "digest"), ["digest"], first, ["_d"], found.count()).where("key <> first_key")
+    copies = copies.groupBy("key").agg(F.collect_set(F.struct("pos", "n", "first_key", "first_pos")).alias("seeds"))
+    runs = keep(copies.mapInPandas(_runs, "key binary, pos int, n int, first_key binary, first_pos int"))
 
     # The bytes at the first places.
-    places = runs.select("first_key", "first_pos", "n").distinct().groupBy("first_key").agg(F.collect_list(F.struct("first_pos", "n")).alias("places"))
-    places = places.withColumn("_id", F.nullif(F.substring_index("first_key", ":", 1), F.lit("")))
-
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, text, key, at in zip(batch["id"], batch["text"], batch["first_key"], batch["places"], strict=True):
-                if _key(doc, text) == key:
-                    lines = text.split("\n")
-                    rows += [(key, p["first_pos"], p["n"], "\n".join(lines[p["first_pos"] : p["first_pos"] + p["n"]])) for p in at]
-            yield pd.DataFrame(rows, columns=["_key", "_pos", "_n", "bytes"])
-
-    bytes_ = slim.join(places, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "first_key", "places").mapInPandas(fetch, "_key string, _pos int, _n int, bytes string")
-    bytes_ = bytes_.dropDuplicates(["_key", "_pos", "_n"])
-    gone = runs.join(bytes_, (F.col("first_key") == F.col("_key")) & (F.col("first_pos") == F.col("_pos")) & (F.col("n") == F.col("_n")))
-    gone = gone.groupBy("id", "key").agg(F.collect_list(F.struct("pos", "bytes")).alias("gone"))
-    gone = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("key", "gone")).alias("_gone"))
-
-    def rewrite(batches):
-        for ids, texts, gones in batches:
+    places = keep(runs.select("first_key", "first_pos", "n").distinct().groupBy("first_key").agg(F.collect_list(F.struct("first_pos", "n")).alias("places")))
+    ids = places.select(F.col("first_key").alias("_k"))
+    ids = F.broadcast(ids) if places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    holders = slim.select("key", "text").join(ids, F.col("key") == F.col("_k"), "left_semi")
+    bytes_ = holders.join(places, F.col("key") == F.col("first_key")).select("key", "text", "places").mapInPandas(_fetch, "_key binary, _pos int, _n int, bytes string")
+    bytes_ = keep(bytes_.dropDuplicates(["_key", "_pos", "_n"]))
+    gone = hot_join(runs, ["first_key", "first_pos", "n"], bytes_, ["_key", "_pos", "_n"], runs.count())
+    gone = gone.groupBy(F.col("key").alias("_k")).agg(F.collect_list(F.struct("pos", "bytes")).alias("_gone"))
+
+    def rewrite(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, gones in batches:
             rows = []
-            for doc, text, gone_ in zip(ids, texts, gones, strict=True):
-                lines, mine = text.split("\n"), []
+            for text, gone_ in zip(texts, gones, strict=True):
+                lines = text.split("\n")
                 n = len(lines) if text else 0
-                if gone_ is not None and len(gone_):
-                    key = _key(doc, text)
-                    mine = [(p["pos"], p["bytes"].split("\n")) for g in gone_ if g["key"] == key for p in g["gone"]]
+                mine = [(p["pos"], p["bytes"].split("\n")) for p in gone_] if gone_ is not None else []
                 if not mine and len(set(lines)) == n:
                     rows.append((text, n, 0, 0))
                     continue
                 out = repeated(lines, mine)
                 kept = "".join(x + ("\n" if k < len(lines) - 1 else "") for k, x in enumerate(lines) if not out[k])
                 rows.append((kept, n, sum(out), sum(x and not (k and out[k - 1]) for k, x in enumerate(out))))
-            yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed_lines", "n_removed_chunks"])
+            yield pd.DataFrame(rows, columns=["text", *RESULTS])
 
-    return _replaced(docs, gone, rewrite)
+    udf = F.pandas_udf(rewrite, "text string, n_lines long, n_removed_lines long, n_removed_chunks long")
+    out = packed(docs).withColumn("_key", _key_column()).join(gone, F.col("_key") == F.col("_k"), "left")
+    out = out.withColumn("_out", udf(text_or_empty(), F.col("_gone")))
+    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("_out.text"))
+    return out.select(*[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns], *[f"_out.{c}" for c in RESULTS])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    from .common import table
+
     out = dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.crc32(text_or_empty().cast("binary")).alias("text_crc32"))
+    return out.select("doc_id", *RESULTS, F.crc32(text_or_empty().cast("binary")).alias("text_crc32"))
