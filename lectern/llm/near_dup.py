@@ -138,14 +138,15 @@ def components(edges: DataFrame, keep) -> DataFrame:
     """(node, comp) for every node of edges (a, b): comp is the component's least node.
 
     Alternates large and small stars until nothing changes; every step is a join with the least
-    neighbour of each node, so a hub's edges are never gathered.
+    neighbour of each node, so a hub's edges are never gathered; a large hub's are dealt over tasks.
     """
     now = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), F.least("m", "a").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("_a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        up = both.where("b > a")
+        large = hot_join(up, ["a"], least, ["_a"], now.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), "m")
         joined = large.join(least, F.col("a") == F.col("_a"))
         now = keep(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select(F.col("_a").alias("a"), F.col("m").alias("b"))).distinct())
