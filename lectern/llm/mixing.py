@@ -4,7 +4,7 @@ Every document draws the exponential key ``-ln(u) / w`` from a uniform ``u`` tha
 seed fix, with ``w`` its quality weight. A source whose target is ``e`` times its size and a rest
 takes ``e`` complete epochs; the rest is the documents with the smallest keys, up to the budget.
 
-The order within a source is never sorted as a whole: keys fall into ``buckets`` ranges, a small
+The order within a source is never sorted as a whole: keys fall into ``buckets`` ranges of equal ratio, a small
 table of sums by (source, range) gives the range in which the budget ends, and only that range is
 ordered. What is left of the order is one cut per source, so documents are decided where they
 are read and their texts are never shuffled.
@@ -28,9 +28,10 @@ def quality_weight(col: str = "text") -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.lit(1.0) / (F.lit(1.0) + F.lit(20.0) * (n - F.length(F.translate(text, SYMBOLS, ""))) / n))
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """A number in (0, 1) with 52 bits, fixed by the id and the seed."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def uniform(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number in (0, 1) with 52 bits, fixed by the id, where there is none by the text, and the seed."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
@@ -52,12 +53,13 @@ def targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, cap:
 
 
 def _keyed(docs: DataFrame, seed: int, buckets: int, weight: Column | None) -> DataFrame:
-    key = -F.log(uniform(F.col("doc_id"), seed)) / (quality_weight() if weight is None else F.greatest(F.least(weight, F.lit(1.0)), F.lit(1e-6)))
+    key = -F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / (quality_weight() if weight is None else F.greatest(F.least(weight, F.lit(1.0)), F.lit(1e-6)))
     keyed = docs.withColumns({"_size": word_count(), "_key": key})
-    return keyed.withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor(buckets * (1.0 - F.exp(-F.col("_key")))).cast("int")))
+    # Ranges of equal ratio, so that they hold equal shares whatever the scale of the weights; keys lie in 2^-53 to 2^26.
+    return keyed.withColumn("_bucket", F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor((F.log2("_key") + 53.0) * (buckets / 79.0)).cast("int"))))
 
 
-def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, cap: float = 3.0, seed: int = 7, buckets: int = 4096, weight: Column | None = None, slim: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, cap: float = 3.0, seed: int = 7, buckets: int = 65_536, weight: Column | None = None, slim: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and row for every document.
 
     docs has doc_id, text and source; row is the document with all its columns, so that none can
@@ -65,8 +67,8 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, cap: float
     size counts words; a null or empty text has 0 and takes 0. Sources in code point order, null
     last, weigh ``weights`` repeating and share ``share`` of all words; no target is above ``cap``
     times its source. A document counts to the budget where its middle lies within it, so a source
-    misses its target by half a document at most. Rows equal in id and size tie and go together;
-    null ids share a key. An empty table gives an empty result.
+    misses its target by half a document at most. Rows equal in id and size tie and go together; rows
+    without an id draw by their text. Texts are read whole. An empty table gives an empty result.
     """
     row = [] if slim else [F.struct(*[F.col(c) for c in docs.columns]).alias("row")]
     given = [] if weight is None else [weight.cast("double").alias("_weight")]
@@ -84,7 +86,7 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, cap: float
     run = run.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).where("_before < _rest")
     last = run.groupBy("source").agg(F.max("_bucket").alias("_last"), F.max_by("_before", "_bucket").alias("_base"), F.first("_rest").alias("_rest"))
     edge = facts.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_last")))
-    place = F.struct("_key", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "_size")
+    place = F.struct("_key", "doc_id", "_size")
     edge = edge.withColumn("_place", place)
     edge = edge.withColumn("_upto", F.sum("_size").over(Window.partitionBy("source").orderBy("_place")))
     cut = edge.where(F.col("_base") + F.col("_upto") - F.col("_size") / 2.0 <= F.col("_rest")).groupBy("source").agg(F.max("_place").alias("_cut"))
@@ -112,7 +114,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         -ln((CAST(CAST(concat('0x', substr(md5(concat('7:', coalesce(CAST(doc_id AS VARCHAR), 'null'))), 1, 13)) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)
+         -ln((CAST(CAST(concat('0x', substr(md5(concat('7:', coalesce(CAST(doc_id AS VARCHAR), concat('null:', md5(coalesce(text, '')))))), 1, 13)) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)
          / CASE WHEN length(coalesce(text, '')) = 0 THEN 1.0
                 ELSE 1.0 / (1.0 + 20.0 * (length(text) - length(translate(text, '#*$%&|<>', ''))) / length(text)) END AS k
   FROM documents),
