@@ -8,7 +8,9 @@ can be: with m rows and n shards every shard takes floor(m/n) or ceil(m/n) rows
 Only counts by cell (65,536 rows at most, whatever the input) meet in one place. There one fold
 over the arcs, in ring order, keeps the room left in each shard and the runs of keys carried on;
 it yields pieces (arc, from, to, shard). A row finds its piece by its place in its arc, and its slot
-from the piece, so rows are ordered only within their cell.
+from the piece, so rows are ordered only within their cell. A cell with more than one in ``HOT`` of all
+rows, as that of rows without ids may be, is ordered in ``PARTS`` parts, dealt by a hash of the row's
+number; their counts, HOT times PARTS at most, say where in the cell each part begins.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import Written, table, text_or_empty
 
 CELLS = 65_536
+HOT, PARTS = 500, 64
 _PIECE = "array<struct<arc:int,lo:bigint,hi:bigint>>"
 _PLACED = "array<struct<arc:int,lo:bigint,hi:bigint,shard:int>>"
 
@@ -71,12 +74,18 @@ def assign(docs: DataFrame, shards: int = 40, replicas: int = 128) -> DataFrame:
 
     size is the text's UTF-8 bytes plus 16. Null and empty texts count 16. Shards differ by one row
     at most; slots run from 0 without gaps. A null id is a key of its own; repeated rows are placed
-    one by one. An empty table gives an empty result.
+    one by one, ties in any order. Very long texts count whole. No other column of docs is read, so
+    none can clash. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id"), (F.octet_length(text_or_empty()) + 16).cast("long").alias("size"), F.crc32(text_or_empty().cast("binary")).alias("text_crc32"), _hash(F.concat(F.lit("key:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_digest"))
-    slim = slim.withColumn("_cell", _cell(F.col("_digest")))
-    counts = docs.select(_cell(_hash(F.concat(F.lit("key:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    # Written once, which fixes the rows' numbers.
+    slim = Written(spark, "ring").keep(slim.withColumn("_cell", _cell(F.col("_digest"))).withColumn("_number", F.monotonically_increasing_id()))
+    counts = slim.groupBy(F.col("_cell").alias("cell")).agg(F.count("*").alias("n"))
+    hot = F.broadcast(counts.where(F.col("n") * HOT > slim.count()).select(F.col("cell").alias("_hot")))
+    slim = slim.join(hot, F.col("_cell") == F.col("_hot"), "left").withColumn("_part", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("_number"), F.lit(PARTS))))
+    parts = slim.where("_hot is not null").groupBy(F.col("_cell").alias("_c"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    parts = parts.select("_c", "_p", F.coalesce(F.sum("_n").over(Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("_ahead"))
     nodes = ring(spark, shards, replicas)
     # As-of join on the ring: a cell belongs to the next virtual node clockwise, the last to the first.
     both = counts.select("cell", "n", F.lit(None).cast("int").alias("arc")).unionByName(nodes.select(F.col("arc").alias("cell"), F.lit(0).cast("long").alias("n"), "arc"))
@@ -90,8 +99,9 @@ def assign(docs: DataFrame, shards: int = 40, replicas: int = 128) -> DataFrame:
     pieces = arcs.agg(F.array_sort(F.collect_list("a")).alias("arcs")).select(F.explode(F.expr(_allocate("arcs", shards))).alias("p")).select("p.*")
     first = Window.partitionBy("shard").orderBy("arc", "lo").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("_slot0", F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(first), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_digest", "doc_id", "text_crc32", "size"))
-    placed = slim.withColumn("_rank", rank.cast("long") - 1)
+    rank = F.row_number().over(Window.partitionBy("_cell", "_part").orderBy("_digest", "doc_id", "text_crc32", "size"))
+    placed = slim.withColumn("_rank", rank.cast("long") - 1).join(F.broadcast(parts), (F.col("_cell") == F.col("_c")) & (F.col("_part") == F.col("_p")), "left")
+    placed = placed.withColumn("_rank", F.col("_rank") + F.coalesce("_ahead", F.lit(0).cast("long")))
     # Both sides below are bounded by the ring, not by the input: 65,536 cells, and pieces by arcs and shards.
     placed = placed.join(F.broadcast(cells.select(F.col("cell").alias("_cell"), "arc", "start")), "_cell").withColumn("_at", F.col("start") + F.col("_rank"))
     placed = placed.join(F.broadcast(pieces.withColumnRenamed("arc", "_arc")), (F.col("arc") == F.col("_arc")) & (F.col("_at") >= F.col("lo")) & (F.col("_at") < F.col("hi")))
