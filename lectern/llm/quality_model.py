@@ -22,6 +22,8 @@ from .statistics import text_statistics
 #: Labelled rows the document model is fitted on at most, chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.5
+#: Labels are broadcast up to this many; beyond, the join with whole rows shuffles.
+BROADCAST_ROWS = 500_000
 UNIT = 1_000_000
 
 
@@ -65,24 +67,26 @@ def _strength(sites: DataFrame, mean: Column) -> Column:
     return F.greatest(F.least(F.sum(F.col("n") * mean * (1.0 - mean)) / F.sum("n") / between - 1.0, F.lit(1000.0)), F.lit(5.0))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with quality (0 to 1), own_quality, path_quality and kept; all rows and columns of docs.
+def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD, slim: bool = False) -> DataFrame:
+    """docs with quality (0 to 1), own_quality, path_quality and kept; all rows and columns of docs (slim: doc_id alone).
 
     docs has doc_id, text, lang, source, labels doc_id and quality (0 or 1). Several labels of a
     document count as their mean, null labels not at all. Without labels of both classes the model
     is the labels' share, and sites decide. Null and empty texts have the statistics of no words.
-    Null languages and sources are values of their own. Columns of docs that carry a result's name
-    give way to it. An empty table gives an empty result.
+    Null languages and sources are values of their own. The posteriors of a document's path and
+    host leave out what it gave them itself, its label or else its model value. Repeated rows count as often
+    as they occur and are judged alike; very long texts are read whole. Columns of docs that carry a
+    result's name give way to it. An empty table gives an empty result.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("quality", "own_quality", "path_quality", "kept")])
-    columns = docs.columns
+    columns = ["doc_id"] if slim else docs.columns
     keep = Written(docs.sparkSession, "quality").keep
     # A document's own columns stay together in _row, out of the way of what is joined to it.
     rows = keep(docs.select("doc_id", "source", "lang", F.struct(*[F.col(c) for c in columns]).alias("_row"), text_statistics("text").alias("_s")))
-    marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_label"))
+    marks = keep(labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_label")))
     names = [f"_f{i}" for i in range(len(features()))]
-    facts = rows.select("doc_id", "source", "lang", "_s.*").select("doc_id", "source", "lang", *[f.alias(n) for f, n in zip(features(), names, strict=True)])
-    facts = keep(facts.join(marks, F.col("doc_id") == F.col("_id"), "left").drop("_id"))
+    facts = rows.join(marks, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "source", "lang", "_label", "_s.*")
+    facts = keep(facts.select("doc_id", "source", "lang", "_label", *[f.alias(n) for f, n in zip(features(), names, strict=True)]))
     # A hash thins the labelled rows before they are ordered, so that tasks send about what is taken.
     labelled = facts.where("_label is not null")
     share = min(1.0, 1.5 * sample_rows / max(1, labelled.count()))
@@ -95,17 +99,22 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     whole = keep(paths.agg(F.coalesce(F.sum("s") / F.sum("n"), F.lit(0.5)).alias("m")).select(F.least(F.greatest("m", F.lit(0.001)), F.lit(0.999)).alias("m")))
     hosts = paths.groupBy("source").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).crossJoin(F.broadcast(whole))
     level = keep(hosts.agg(F.coalesce(_strength(hosts, F.col("m")), F.lit(5.0)).alias("k")))
-    hosts = keep(hosts.crossJoin(F.broadcast(level)).select(F.col("source").alias("_host"), ((F.col("k") * F.col("m") + F.col("s")) / (F.col("k") + F.col("n"))).alias("h")))
+    above = (F.col("k") * F.col("m") + F.col("s")) / (F.col("k") + F.col("n"))
+    hosts = keep(hosts.crossJoin(F.broadcast(level)).select(F.col("source").alias("_host"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("k").alias("hk"), above.alias("h")))
     under = paths.join(hosts, F.col("source").eqNullSafe(F.col("_host"))).drop("_host")
     level = keep(under.agg(F.coalesce(_strength(under, F.col("h")), F.lit(5.0)).alias("k")))
-    sites = keep(under.crossJoin(F.broadcast(level)).crossJoin(F.broadcast(whole)).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), "n", "s", "h", "k", "m"))
+    sites = keep(under.crossJoin(F.broadcast(level)).crossJoin(F.broadcast(whole)).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), "n", "s", "hn", "hs", "hk", "k", "m"))
     taken = [f"_x{i}" for i in range(len(names))]
     flat = rows.withColumns(dict(zip(taken, features("_s."), strict=True)))
     flat = flat.withColumn("own_quality", own([F.col(x) for x in taken]))
     flat = flat.join(sites, F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")))
-    # Without the document itself, so that its own evidence counts once.
-    rest = F.col("s") - known(F.col("own_quality")) / UNIT
-    path = (F.col("k") * F.col("h") + F.greatest(rest, F.lit(0.0))) / (F.col("k") + F.col("n") - 1)
+    # Texts are not shuffled for labels while these are few.
+    few = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    flat = flat.join(F.broadcast(marks) if few else marks, F.col("doc_id") == F.col("_id"), "left")
+    # Without what the document itself gave its path and host, so that its own evidence counts once.
+    given = F.coalesce(F.col("_label") * UNIT, known(F.col("own_quality"))) / UNIT
+    host = (F.col("hk") * F.col("m") + F.col("hs") - given) / (F.col("hk") + F.col("hn") - 1)
+    path = (F.col("k") * host + F.col("s") - given) / (F.col("k") + F.col("n") - 1)
     flat = flat.withColumn("path_quality", F.least(F.greatest(path, F.lit(0.001)), F.lit(0.999)))
     odds = _logit(F.least(F.greatest(F.col("own_quality"), F.lit(1e-9)), F.lit(1 - 1e-9))) + _logit(F.col("path_quality")) - _logit(F.col("m"))
     flat = flat.withColumn("quality", 1.0 / (1.0 + F.exp(-odds)))
@@ -113,5 +122,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), slim=True)
     return out.select("doc_id", F.round("quality", 6).alias("quality"), F.round("own_quality", 6).alias("own_quality"), F.round("path_quality", 6).alias("path_quality"), "kept")
