@@ -70,8 +70,8 @@ def _release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def hot_join(rows: DataFrame, by: list[str], other: DataFrame, on: list[str], n_rows: int) -> DataFrame:
-    """rows joined to other (a row for each key at most) where by = on, with hot keys of rows dealt over SALTS tasks.
+def hot_join(rows: DataFrame, by: list[str], other: DataFrame, on: list[str], n_rows: int, how: str = "inner") -> DataFrame:
+    """rows joined (how: inner or left) to other (a row for each key at most) where by = on, with hot keys of rows dealt over SALTS tasks.
 
     Hot is a key with more than one in HOT of n_rows, which rows has; so there are HOT of them at most.
     """
@@ -83,7 +83,7 @@ def hot_join(rows: DataFrame, by: list[str], other: DataFrame, on: list[str], n_
     mark = [f"_h{i}" for i in range(len(by))] + ["_hot"]
     left = rows.join(hot, match(by), "left").withColumn("_salt", salt).drop(*mark)
     right = other.join(hot, match(on), "left").withColumn("_salt2", F.explode(spread)).drop(*mark)
-    return left.join(right, [F.col(a) == F.col(b) for a, b in zip(by, on, strict=True)] + [F.col("_salt") == F.col("_salt2")]).drop("_salt", "_salt2")
+    return left.join(right, [F.col(a) == F.col(b) for a, b in zip(by, on, strict=True)] + [F.col("_salt") == F.col("_salt2")], how).drop("_salt", "_salt2")
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, html_text, line_dedup, mixing, near_dup, quality_model, quality_rules, ring, token_counts, token_files
+from lectern.llm import common, decontaminate, html_text, line_dedup, mixing, near_dup, quality_model, quality_rules, ring, token_counts, token_files
 from lectern.llm.statistics import statistics
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -41,7 +41,7 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def clashing(docs):
     """The same rows with extra columns named like results and inner names."""
-    extra = {c: F.lit("extra") for c in ("size", "shard", "kept", "taken", "target", "quality", "node", "n_words", "_size", "_s", "value", "component_id", "h", "k", "m", "n", "s")}
+    extra = {c: F.lit("extra") for c in ("size", "shard", "kept", "taken", "target", "quality", "node", "n_words", "_size", "_s", "value", "component_id", "h", "k", "m", "n", "s", "_leak", "_id", "_gone", "_out", "_row", "_k", "_key", "_node", "_d", "_label", "_salt", "key", "doc", "row")}
     return docs.withColumns(extra)
 
 
@@ -80,6 +80,16 @@ def test_mix(docs):
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix(docs, slim=True).collect()))
 
 
+def test_mix_of_rows_without_ids(spark):
+    """Rows without ids draw by their text; ranges of keys hold few rows at any scale of weights."""
+    rows = [(None, f"text number {i}", "en", "x", 1) for i in range(2000)] + [(i, "a b c", "en", "y", 1) for i in range(2000)]
+    for weight in (None, F.lit(1e-6), F.lit(1.0)):
+        df = spark.createDataFrame(rows, DOCS)
+        got = mixing.mix(df, weights=(1.0, 3.0), weight=weight).groupBy("source").agg(F.sum("taken"), F.first("target")).collect()
+        assert all(abs(r[1] - r[2]) <= 3 for r in got)
+        assert mixing._keyed(df, 7, 65_536, weight).groupBy("source", "_bucket").count().agg(F.max("count")).first()[0] < 12
+
+
 def test_mix_weights(spark):
     """A source's rest prefers documents of higher weight."""
     rows = [(i, "a b c d", "en", "x" if i < 3000 else "y", 1) for i in range(6000)]
@@ -154,6 +164,17 @@ def test_ring_balance_and_movement(spark, docs):
             assert (r["size"], r.text_crc32) == (7 + 16, zlib.crc32(b"one two"))
 
 
+def test_ring_hot_cell(spark, monkeypatch):
+    """Rows without ids share a cell; they are ordered in parts and still fill the shards evenly."""
+    monkeypatch.setattr(ring, "HOT", 10_000)
+    rows = [(None, "same")] * 300 + [(None, f"t{i}") for i in range(100)] + [(i, "x") for i in range(300)]
+    out = ring.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=7).collect()
+    counts = {}
+    for r in out:
+        counts.setdefault(r.shard, []).append(r.slot)
+    assert len(out) == 700 and all(sorted(x) == list(range(100)) for x in counts.values()) and len(counts) == 7
+
+
 # Decontamination
 
 
@@ -240,7 +261,7 @@ def test_near_dup_chains(spark):
 
 def test_near_dup_large_group(spark, monkeypatch):
     """One group larger than a block, with members on both sides of the threshold."""
-    monkeypatch.setattr(near_dup, "BLOCK", 50)
+    monkeypatch.setattr(near_dup, "BLOCK", 5000)
     rng = random.Random(8)
     base, rows = sentence(rng, 140).split(), []
     for i in range(250):
@@ -256,7 +277,7 @@ def test_near_dup_blocks_on_both_sides(spark, monkeypatch):
     """No task holds many more probes or members of a home than a block; every pair meets in one task."""
     monkeypatch.setattr(near_dup, "BLOCK", 40)
     rows = [("h", f"n{i}", "h" if i < 50 else f"c{i}", [i]) for i in range(400)] + [(f"s{i}", f"m{i}{k}", f"s{i}" if k else "x", [i]) for i in range(9) for k in range(3)]
-    at_home = spark.createDataFrame(rows, "home string, node string, comp string, hashes array<long>")
+    at_home = spark.createDataFrame(rows, "home string, node string, comp string, hashes array<long>").withColumn("n", F.size("hashes"))
     probes, members = near_dup._dealt(near_dup._homes(at_home), 5)
     for held, c in ((probes, "p_"), (members, "")):
         assert held.where(f"{c}home = 'h'").groupBy(f"{c}task").count().agg(F.max("count")).first()[0] <= 80
@@ -287,31 +308,6 @@ def lines_corpus():
     return rows + [(100, None), (101, ""), (102, "\n\n\n\n\n\n"), (103, "a\nb"), (104, "a\nb"), (None, "a\nb"), rows[0], (105, "one line"), (106, "one line")], passage
 
 
-def test_line_chunks(spark):
-    rows, passage = lines_corpus()
-    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, line_dedup._key(r[0], r[1] or "")))
-    seen, want = set(), {}
-    for d, t in order:
-        kept, lost, mine = [], 0, set()
-        for k, c in enumerate(line_dedup.chunks(t or "")):
-            b = line_dedup.body(c)
-            if line_dedup.is_multi(c) and b in seen:
-                lost += b.count("\n") + 1
-            else:
-                kept.append(c)
-                if line_dedup.is_multi(c):
-                    seen.add(b)
-        want[(d, t)] = (None if t is None else "".join(kept), lost)
-        assert "".join(line_dedup.chunks(t or "")) == (t or "")
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("old", F.col("text")).withColumn("n_lines", F.lit("x")).repartition(3)
-    got = line_dedup.dedup(df).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r.text, r.n_removed_lines) == want[(r.doc_id, r.old)]
-    # Most of the passage is left once only, wherever it stood.
-    assert sum(passage[4] in (r.text or "").split("\n") for r in got if r.doc_id != 0) <= 3
-
-
 def without_repeated_runs(rows):
     """Brute force over all runs of lines and all earlier places."""
     order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, line_dedup._key(r[0], r[1] or "")))
@@ -357,6 +353,31 @@ def test_line_runs_against_brute_force(spark):
     assert line_dedup.dedup_runs(df.limit(0)).count() == 0
 
 
+def test_line_runs_keep_columns(clashing):
+    out = line_dedup.dedup_runs(clashing)
+    assert out.columns == [*clashing.columns, *line_dedup.RESULTS] and out.count() == clashing.count()
+    assert out.where("_gone <> 'extra' or key <> 'extra' or _row <> 'extra'").count() == 0
+
+
+def test_line_runs_of_hot_keys(spark, monkeypatch):
+    """Keys with many rows are dealt over several tasks, with the same result; rows without ids are documents of their own."""
+    monkeypatch.setattr(common, "HOT", 10_000)
+    rows = [(None, f"{i} own line\nshared one\nshared two\nlast {i}") for i in range(300)] + [(7, "shared one\nshared two")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = line_dedup.dedup_runs(df).collect()
+    assert sum(r.n_removed_lines for r in got) == 600 and all((r.n_removed_lines == 0) == (r.doc_id == 7) for r in got)
+
+
+def test_string_ids(spark, docs):
+    """Operators take ids of any type that orders; token files hold whole numbers and say so."""
+    named = docs.withColumn("doc_id", F.concat(F.lit("doc "), F.col("doc_id")))
+    n = docs.count()
+    for out in (mixing.mix(named), ring.assign(named), near_dup.link(named), near_dup.distinct_documents(named).union(named.limit(0)), line_dedup.dedup_runs(named), quality_rules.judge(named), token_counts.count_tokens(named, tokenizers.path("piece_bpe_32k.model"))):
+        assert out.schema["doc_id"].dataType.simpleString() == "string" and 0 < out.count() <= n
+    with pytest.raises(TypeError, match="whole numbers"):
+        token_files.tokens_to_files(named, tokenizers.path("byte_bpe_50k.json"))
+
+
 # Tokens
 
 
@@ -389,12 +410,12 @@ def test_shortcut_is_exact(monkeypatch):
         assert short.count(texts[lo : lo + 500]) == [len(x) for x in short.model.encode(texts[lo : lo + 500])]
 
 
-def test_encoder_is_exact(monkeypatch):
-    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+def test_encoder_is_exact():
     enc = token_files.Encoder(tokenizers.path("byte_bpe_50k.json"))
-    texts = odd_texts()
+    assert enc.merged and len(enc.unproved.findall("".join(map(chr, token_files.TRIED)))) == 0
+    texts = odd_texts() + ["a" * 20_000, "=" * 20_000, " \n" * 5000, "ab " * 20_000]
     for lo in range(0, len(texts), 500):
-        assert enc.encode(texts[lo : lo + 500]) == [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in enc.tokenizer.encode_batch(texts[lo : lo + 500], add_special_tokens=False)]
+        assert list(enc.encode(texts[lo : lo + 500])) == [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in enc.tokenizer.encode_batch(texts[lo : lo + 500], add_special_tokens=False)]
 
 
 def test_token_files(docs, tmp_path):
@@ -478,6 +499,85 @@ def test_robust_outliers_of_small_pools(spark):
         assert all(out[plain[k][0]].kept for k in range(300, 304)) and sum(r.kept for r in out.values()) > 0.97 * (len(some) - 3)
 
 
+def mcd(x, cover=0.75):
+    """The estimate of judge for one pool, in numpy: (squared distances, their unit)."""
+    floors = np.array(quality_rules.FLOORS)
+    at = lambda v, p: np.sort(v)[max(0, int(np.ceil(p * len(v))) - 1)]
+    q = {p: np.array([at(c, p) for c in x.T]) for p in (0.05, 0.25, 0.5, 0.75, 0.95)}
+    spread = np.maximum((q[0.75] - q[0.25]) / 1.349, floors)
+    u = (x - q[0.5]) / spread
+    u = u / np.maximum(np.linalg.norm(u, axis=1), 1e-9)[:, None]
+    starts = [np.diag(spread**2), np.diag(np.maximum((q[0.95] - q[0.05]) / 3.29, floors) ** 2), np.outer(spread, spread) * (x.shape[1] * u.T @ u / len(x) + 0.05 * np.eye(x.shape[1]))]
+    found = []
+    for cov in starts:
+        mu, last = q[0.5], np.inf
+        for _ in range(20):
+            d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+            some = x[d <= at(d, cover)]
+            mu, cov = some.mean(0), np.cov(some.T, bias=True)
+            cov = cov + np.diag(np.maximum(floors**2 - np.diag(cov), 0)) + 1e-3 * np.diag(floors**2)
+            det = np.linalg.slogdet(cov)[1]
+            found.append((det, mu, cov))
+            if last - det <= quality_rules.LEAST_FALL:
+                break
+            last = det
+    _, mu, cov = min(found, key=lambda f: f[0])
+    d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+    return d / max(1.0, at(d, 0.5) / quality_rules.chi2_quantile(x.shape[1], 0.0))
+
+
+def test_robust_outliers_against_brute_force(spark):
+    rows = quality_rows()
+    df = spark.createDataFrame(rows, DOCS)
+    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_upper".split()
+    stats = spark.createDataFrame([(r[0], r[2], r[3], *statistics(r[1])[:7]) for r in rows], "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    facts = stats.select("doc_id", "lang", "source", ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("failed"), F.array(*quality_rules.vector()).alias("x")).collect()
+    want = {}
+    for pool in {(r.lang, r.source) for r in facts}:
+        some = [r for r in facts if (r.lang, r.source) == pool and not r.failed]
+        assert len(some) >= quality_rules.LEAST_ROWS
+        want |= dict(zip([r.doc_id for r in some], mcd(np.array([r.x for r in some])), strict=True))
+    got = quality_rules.judge(df).collect()
+    assert {r.doc_id for r in got if not r.base_failed} == set(want)
+    for r in got:
+        assert r.base_failed or r.distance == pytest.approx(want[r.doc_id], rel=1e-6)
+        assert r.kept == (not r.base_failed and want[r.doc_id] <= quality_rules.chi2_quantile(quality_rules.P, 8.0))
+
+
+def test_quality_model_against_brute_force(spark):
+    """Every posterior, summed anew over all documents but the judged one."""
+    rows = quality_rows(300) + [(700, "a lonely text on its own site", "en", "s9", 1), (701, None, None, None, None)]
+    label = {i: int(i % 10 != 0) for i in range(0, 300, 4)} | {700: 0}
+    got = {r.doc_id: r for r in quality_model.classify(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, q, 0) for i, q in label.items()], "doc_id long, quality int, toxic int")).collect()}
+    clip = lambda p: round(min(max(p, 0.001), 0.999) * 1e6) / 1e6
+    given = {r[0]: label[r[0]] if r[0] in label else clip(got[r[0]].own_quality) for r in rows}
+    site = {r[0]: (r[3], r[2]) for r in rows}
+    m = sum(given.values()) / len(given)
+
+    def strength(groups, means):
+        n = sum(len(g) for g in groups)
+        noise = sum(p * (1 - p) for p in means) / n
+        spread = sum(len(g) * (sum(g) / len(g) - p) ** 2 for g, p in zip(groups, means)) / n
+        return min(max(sum(len(g) * p * (1 - p) for g, p in zip(groups, means)) / n / max(spread - noise, 1e-6) - 1, 5), 1000)
+
+    hosts, paths = {}, {}
+    for d, u in given.items():
+        hosts.setdefault(site[d][0], []).append(u)
+        paths.setdefault(site[d], []).append(u)
+    hk = strength(list(hosts.values()), [m] * len(hosts))
+    above = {h: (hk * m + sum(us)) / (hk + len(us)) for h, us in hosts.items()}
+    k = strength(list(paths.values()), [above[h] for h, _ in paths])
+    logit = lambda p: np.log(p / (1 - p))
+    for d, u in given.items():
+        mine = [x for e, x in given.items() if e != d and site[e][0] == site[d][0]]
+        host = (hk * m + sum(mine)) / (hk + len(mine))
+        mine = [x for e, x in given.items() if e != d and site[e] == site[d]]
+        path = min(max((k * host + sum(mine)) / (k + len(mine)), 0.001), 0.999)
+        assert got[d].path_quality == pytest.approx(path, rel=1e-6)
+        odds = logit(got[d].own_quality) + logit(path) - logit(m)
+        assert got[d].quality == pytest.approx(1 / (1 + np.exp(-odds)), rel=1e-5, abs=1e-12) and got[d].kept == (got[d].quality >= 0.5)
+
+
 def test_quality_model(spark, docs, clashing):
     rows = quality_rows()
     df = spark.createDataFrame(rows, DOCS)
@@ -552,7 +652,7 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     labels, bench = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
     outs = [
-        mixing.mix(none), mixing.mixed(none), ring.assign(none), decontaminate.scan(none, bench), line_dedup.dedup(none), near_dup.link(none), near_dup.distinct_documents(none), quality_rules.judge(none), quality_model.classify(none, labels),
+        mixing.mix(none), mixing.mixed(none), ring.assign(none), decontaminate.scan(none, bench), line_dedup.dedup_runs(none), near_dup.link(none), near_dup.distinct_documents(none), quality_rules.judge(none), quality_model.classify(none, labels),
         token_counts.count_tokens(none, tokenizers.path("piece_bpe_32k.model")), token_files.tokens_to_files(none, tokenizers.path("byte_bpe_50k.json")), html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")),
     ]
     for k, out in enumerate(outs):
