@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
+TERM = "[a-z0-9]+"
 PAGE_MARKER = r"<!--\s*Page\s+\d+\s*-->"
 SECTION_LINE = r"^\d+\.\d+(?:\.\d+)?\s+[A-Z][a-z].{1,69}$"
 FORM_TITLE = r"^[A-Z][A-Z0-9 &/()',.\-]{7,}$"
@@ -107,7 +108,7 @@ def has_body(c) -> Column:
 
 
 def tokens(c) -> Column:
-    return F.regexp_extract_all(F.lower(col(c)), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(col(c)), F.lit(TERM), F.lit(0))
 
 
 def sigmoid(x: Column) -> Column:

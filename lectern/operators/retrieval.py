@@ -2,11 +2,17 @@
 
 Every step keeps the query id as its key, so a batch of queries is one plan. The top pool of a leg
 is a window rank that Spark cuts per partition before the shuffle.
+
+The lexical leg works on chunks as they are, or on a stored index: postings by term, the vocabulary
+with its weights, and one row of corpus statistics. Only postings of the batch's terms are grouped or
+joined; while these terms are few, they are sent to the postings, so that no term is a shuffle key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,38 +23,103 @@ BOOST, BOOST_MIN = 0.10, 0.15
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Scores are compared at this many decimals, so that the order of sums does not decide ranks.
 DECIMALS = 6
+#: Folders of a stored index's postings.
+BUCKETS = 64
+#: Rows of (query, term) that are sent to all tasks; a larger batch meets the postings by a shuffle.
+BROADCAST_TERMS = 200_000
+#: Products of a block of vectors and the query block that a task holds at a time.
+PRODUCTS = 4_000_000
+
+
+def _tokenized(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", T.tokens("text").alias("_t")).select("chunk_id", "_t", F.size("_t").alias("dl"))
+
+
+def term_frequencies(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, dl, term, tf) for the terms of ``only``, or for all; dl is the chunk's length in terms."""
+    rows = _tokenized(chunks).select("chunk_id", "dl", F.explode("_t").alias("term"))
+    if only is not None:
+        rows = rows.join(only.select("term"), "term", "left_semi")
+    return rows.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+
 
+def corpus_statistics(chunks: DataFrame) -> DataFrame:
+    """One row: n chunks and their average length."""
+    return _tokenized(chunks).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
-def term_frequencies(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """(chunk_id, term, tf)."""
-    return chunks.select("chunk_id", F.explode(T.tokens(text)).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
+def term_statistics(chunks: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(term, df, idf): negative idfs become EPSILON times the mean idf of the vocabulary.
 
-def term_statistics(postings: DataFrame, n_docs: Column, by=None) -> DataFrame:
-    """(term, df, idf): negative idfs become EPSILON times the mean idf of the vocabulary."""
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    A chunk's distinct terms are made in its own row, so counts are combined before the one shuffle.
+    """
+    terms = _tokenized(chunks).select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    terms = terms.crossJoin(F.broadcast(corpus.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = terms.agg(F.avg("raw").alias("mean"))
     return terms.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, pool: int = POOL) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """A stored corpus: chunks, vectors (chunk_id, embedding), postings, terms and one row of statistics."""
+
+    chunks: DataFrame
+    vectors: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+
+
+def indexed_text(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, text) as both legs see a chunk: its title, a blank line and its text."""
+    return chunks.select("chunk_id", F.concat("title", F.lit("\n\n"), "text").alias("text"))
+
+
+def build_index(chunks: DataFrame, vectors: DataFrame, path: str) -> Index:
+    """Write the index of chunks (chunk_id, source, title, text) and their vectors under path, and open it.
+
+    Postings are dealt by term and, as a term may be in every chunk, by chunk as well into folders of
+    BUCKETS hashes, sorted by term, so that a reader skips what holds none of its terms.
+    """
+    spark = chunks.sparkSession
+    text = indexed_text(chunks)
+    corpus_statistics(text).write.mode("overwrite").parquet(f"{path}/corpus")
+    corpus = spark.read.parquet(f"{path}/corpus")
+    term_statistics(text, corpus).write.mode("overwrite").parquet(f"{path}/terms")
+    postings = term_frequencies(text).withColumn("bucket", _bucket("term"))
+    postings.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    return load_index(spark, path)
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("chunks", "vectors", "postings", "terms", "corpus")])
+
+
+def _bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def bm25(queries: DataFrame, chunks: DataFrame | Index, pool: int = POOL) -> DataFrame:
     """(query_id, chunk_id, score, rank) of each query's pool, cut before scores of 0 are dropped.
 
-    queries has query_id and text, chunks chunk_id and text. Ties go to the smaller chunk_id. Only
-    postings of the queries' terms meet the queries; corpus statistics are one row.
+    queries has query_id and text, chunks chunk_id and text, or is an index. Ties go to the smaller
+    chunk_id.
     """
-    postings = term_frequencies(chunks)
-    sizes = chunks.select("chunk_id", F.size(T.tokens("text")).alias("dl"))
-    corpus = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))
-    terms = terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = terms.agg(F.avg("raw").alias("mean"))
     asked = term_frequencies(queries.select(F.col("query_id").alias("chunk_id"), "text")).select(F.col("chunk_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
-    weighted = terms.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
-    weighted = weighted.select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    hits = asked.join(weighted, "term").join(postings, "term").join(sizes, "chunk_id")
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    send = F.broadcast if few else (lambda x: x)
+    only = send(asked.select("term").distinct())
+    if isinstance(chunks, Index):
+        corpus, terms = chunks.corpus, chunks.terms.join(only, "term", "left_semi")
+        postings = chunks.postings.where(F.col("bucket").isin([r[0] for r in asked.select(_bucket("term")).distinct().collect()])).join(only, "term", "left_semi")
+    else:
+        corpus = corpus_statistics(chunks)
+        terms, postings = term_statistics(chunks, corpus).join(only, "term", "left_semi"), term_frequencies(chunks, only)
+    weighted = asked.join(terms.select("term", "idf"), "term").crossJoin(F.broadcast(corpus.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
+    scored = postings.join(send(weighted), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
     return top(scored, pool).where("score > 0")
 
 
@@ -58,27 +129,74 @@ def top(scored: DataFrame, k: int, score: str = "score", tie: str = "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def cosine(queries: DataFrame, vectors: DataFrame, pool: int = POOL, max_queries_bytes: int = 64 << 20) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact inner products of unit vectors.
 
     The query batch is sent to every task while its vectors stay under ``max_queries_bytes``; a
-    larger batch is taken in slices of that size, each sent in turn.
+    larger batch is taken in slices of that size, each sent in turn. A task multiplies blocks of its
+    vectors with the slice and keeps the best of each query, so ``pool`` rows a query leave it. Rows
+    without a vector take no part; vectors of another width than the batch's raise ValueError.
     """
+    queries = queries.where("embedding is not null")
     width = queries.select(F.max(F.size("embedding"))).first()[0] or 1
     slices = -(-queries.count() * width * 8 // max_queries_bytes) or 1
+    kinds = [f.dataType.simpleString() for f in (queries.schema["query_id"], vectors.schema["chunk_id"])]
     out = None
     for k in range(slices):
         part = queries if slices == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == k)
-        pairs = vectors.crossJoin(F.broadcast(part.select("query_id", F.col("embedding").alias("_q"))))
-        best = top(pairs.select("query_id", "chunk_id", F.round(dot("_q", "embedding"), DECIMALS).alias("score")), pool)
+        near = _nearest(part.select("query_id", "embedding").toArrow(), pool)
+        local = vectors.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(near, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+        best = top(local, pool)
         out = best if out is None else out.unionByName(best)
     return out
 
 
+def _nearest(asked, pool: int):
+    """A function over a task's vectors: for each query of the Arrow table its ``pool`` best rows."""
+
+    def matrix(column):
+        import numpy as np
+
+        flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+        values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        sizes = np.diff(flat.offsets.to_numpy())
+        if len(sizes) and sizes.min() != sizes.max():
+            raise ValueError("vectors differ in width")
+        return values.reshape(len(sizes), -1)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        mine = matrix(asked.column("embedding")) if asked.num_rows else None
+        held, kind = None, None  # per query: ids and scores of the best so far
+        for batch in batches:
+            kind = batch.schema.field("chunk_id").type
+            step = max(1, PRODUCTS // max(1, asked.num_rows))
+            for lo in range(0, batch.num_rows if asked.num_rows else 0, step):
+                some = batch.slice(lo, step)
+                there = matrix(some.column("embedding"))
+                if there.shape[1] != mine.shape[1]:
+                    raise ValueError(f"vectors of width {there.shape[1]} against queries of width {mine.shape[1]}")
+                ids = np.asarray(some.column("chunk_id").to_pylist())
+                scores = np.round(mine @ there.T, DECIMALS) + 0.0
+                held = held or [(ids[:0], scores[0, :0])] * len(mine)
+                for q in range(len(mine)):
+                    score = scores[q]
+                    if len(score) > pool:  # ties at the edge stay until ids decide
+                        at = np.flatnonzero(score >= np.partition(score, -pool)[-pool])
+                    else:
+                        at = np.arange(len(score))
+                    all_ids, all_scores = np.concatenate([held[q][0], ids[at]]), np.concatenate([held[q][1], score[at]])
+                    order = np.lexsort((all_ids, -all_scores))[:pool]
+                    held[q] = all_ids[order], all_scores[order]
+        for q, (ids, scores) in enumerate(held or []):
+            query = asked.column("query_id")[q].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([query] * len(ids), asked.schema.field("query_id").type), pa.array(ids.tolist(), kind), pa.array(scores, pa.float64())], names=["query_id", "chunk_id", "score"])
+
+    return run
+
+
 def candidates(dense: DataFrame, lexical: DataFrame) -> DataFrame:
     """(query_id, chunk_id, cand_pos): both legs in order, dense first, each chunk once."""
     both = dense.select("query_id", "chunk_id", F.lit(0).alias("leg"), "rank").unionByName(lexical.select("query_id", "chunk_id", F.lit(1).alias("leg"), "rank"))
@@ -117,15 +235,19 @@ def threshold(ranked: DataFrame, top_k: int = TOP_K, min_score: float = MIN_SCOR
     return ranked.where((F.col("rank") <= top_k) & ((F.col("rank") == 1) | (F.col("score") >= min_score)))
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, verified: str, scorer=overlap_logit, top_k: int = TOP_K, min_score: float = MIN_SCORE, pool: int = POOL) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame | Index, vectors: DataFrame | None, verified: str, scorer=overlap_logit, top_k: int = TOP_K, min_score: float = MIN_SCORE, pool: int = POOL) -> DataFrame:
     """(query_id, rank, chunk_id, title, text, score) for a batch of queries.
 
-    queries: query_id, text, embedding; chunks: chunk_id, source, title, text; vectors: chunk_id,
-    embedding. scorer(question, text) gives the reranker's logit as a column; only candidates reach
+    queries: query_id, text, embedding (null: the lexical leg alone); chunks: chunk_id, source, title,
+    text; vectors: chunk_id, embedding; or an index as chunks and no vectors. scorer(question, text) gives the reranker's logit as a column; only candidates reach
     it. verified names the source that has priority. Both legs see title and text, the scorer text.
     """
-    indexed = chunks.select("chunk_id", F.concat("title", F.lit("\n\n"), "text").alias("text"))
-    pairs = candidates(cosine(queries, vectors, pool), bm25(queries, indexed, pool))
+    if isinstance(chunks, Index):
+        legs = cosine(queries, chunks.vectors, pool), bm25(queries, chunks, pool)
+        chunks = chunks.chunks
+    else:
+        legs = cosine(queries, vectors, pool), bm25(queries, indexed_text(chunks), pool)
+    pairs = candidates(*legs)
     pairs = pairs.join(queries.select("query_id", F.col("text").alias("question")), "query_id").join(chunks, "chunk_id")
     scored = pairs.withColumn("raw", F.round(T.sigmoid(scorer("question", "text")), DECIMALS))
     result = threshold(collapse(boost(scored, F.col("source") == verified), min_score), top_k, min_score)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +31,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one all executors share, ``spark.checkpoint.dir``; on a local master that has none, in a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="lectern-")
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents as chunks: the title is the start of the first line."""
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.substring(F.split("text", "\n")[0], 1, 80).alias("title"), "text")

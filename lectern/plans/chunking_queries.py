@@ -41,13 +41,6 @@ def strip_thinking(spark, d):
     return table(spark, d, "documents").select("doc_id", T.strip_thinking(text).alias("cleaned"))
 
 
-@Q("""SELECT doc_id, concat('p <!-- Page 2 -->', regexp_replace(concat(substr(text, 1, 50), '<think a>', substr(text, 51, 100), CASE WHEN doc_id % 2 = 0 THEN '</think>' ELSE '' END), '(?is)<think\\b[^>]*>.*?(?:</think\\s*>|\\z)', '', 'g'),
-  '<!-- Page 3 -->', substr(text, 1, 20)) AS cleaned FROM documents""")
-def strip_thinking_paged(spark, d):
-    text = F.concat(F.lit("p <think>secret<!-- Page 2 -->"), F.substring("text", 1, 50), F.lit("<think a>"), F.substring("text", 51, 100), F.when(F.col("doc_id") % 2 == 0, F.lit("</think>")).otherwise(F.lit("")), F.lit("<!-- Page 3 -->"), F.substring("text", 1, 20))
-    return table(spark, d, "documents").select("doc_id", T.strip_thinking_paged(text).alias("cleaned"))
-
-
 def _halves():
     """A text's halves, which together are the whole of it."""
     return F.expr("substring(text, 1, length(text) div 2)"), F.expr("substring(text, length(text) div 2 + 1)")
@@ -55,8 +48,7 @@ def _halves():
 
 @Q("""SELECT doc_id, concat('p <!-- Page 2 -->', regexp_replace(concat(substr(text, 1, length(text) // 2), '<think a>', substr(text, length(text) // 2 + 1), CASE WHEN doc_id % 2 = 0 THEN '</think>' ELSE '' END), '(?is)<think\\b[^>]*>.*?(?:</think\\s*>|\\z)', '', 'g'),
   '<!-- Page 3 -->', text) AS cleaned FROM documents""")
-def strip_thinking_paged_whole(spark, d):
-    """strip_thinking_paged over whole texts."""
+def strip_thinking_paged(spark, d):
     one, two = _halves()
     text = F.concat(F.lit("p <think>secret<!-- Page 2 -->"), one, F.lit("<think a>"), two, F.when(F.col("doc_id") % 2 == 0, F.lit("</think>")).otherwise(F.lit("")), F.lit("<!-- Page 3 -->"), "text")
     return table(spark, d, "documents").select("doc_id", T.strip_thinking_paged(text).alias("cleaned"))
@@ -75,17 +67,18 @@ def form_title_detect(spark, d):
 
 
 def _faq(spark, d):
-    n = F.col("doc_id")
-    part = lambda k, a: F.concat(F.lit(f"\n\n{k}. What is "), F.substring("text", a, 30), F.lit(" then?\n"), F.substring("text", a + 40, 80))
-    one = F.regexp_replace("text", r"[?\n]", " ")
-    docs = table(spark, d, "documents").withColumn("text", one)
-    return docs.select("doc_id", "source", F.concat(F.lit("Intro"), part(1, 1), F.when(n % 2 == 0, part(2, 60)).otherwise(F.lit("")), F.lit("\n3. no question here\nand more"), F.lit("\n4. Last one of these?\nyes")).alias("text"))
+    """Question lists of whole texts: the first half asks and the second answers, then the other way round."""
+    one, two = _halves()
+    part = lambda k, ask, answer: F.concat(F.lit(f"\n\n{k}. What is "), ask, F.lit(" then?\n"), answer)
+    docs = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[?\n]", " "))
+    return docs.select("doc_id", "source", F.concat(F.lit("Intro"), part(1, one, two), F.when(F.col("doc_id") % 2 == 0, part(2, two, one)).otherwise(F.lit("")), F.lit("\n3. no question here\nand more"), F.lit("\n4. Last one of these?\nyes")).alias("text"))
 
 
 _FAQ = r"""src AS (SELECT doc_id, source, regexp_replace(text, '[?\n]', ' ', 'g') AS t FROM documents),
-faq AS (SELECT doc_id, source, concat('Intro', chr(10), chr(10), '1. What is ', substr(t, 1, 30), ' then?', chr(10), substr(t, 41, 80),
-  CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), chr(10), '2. What is ', substr(t, 60, 30), ' then?', chr(10), substr(t, 100, 80)) ELSE '' END,
-  chr(10), '3. no question here', chr(10), 'and more', chr(10), '4. Last one of these?', chr(10), 'yes') AS text FROM src),
+half AS (SELECT doc_id, source, substr(t, 1, length(t) // 2) AS one, substr(t, length(t) // 2 + 1) AS two FROM src),
+faq AS (SELECT doc_id, source, concat('Intro', chr(10), chr(10), '1. What is ', one, ' then?', chr(10), two,
+  CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), chr(10), '2. What is ', two, ' then?', chr(10), one) ELSE '' END,
+  chr(10), '3. no question here', chr(10), 'and more', chr(10), '4. Last one of these?', chr(10), 'yes') AS text FROM half),
 fl AS (SELECT doc_id, source, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM faq)),
 ff AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\d+\.\s+.+\?\s*$') THEN 1 ELSE 0 END AS q FROM fl),
 fs AS (SELECT doc_id, source, blk, string_agg(line, chr(10) ORDER BY pos) AS raw FROM (SELECT *, sum(q) OVER (PARTITION BY doc_id ORDER BY pos) AS blk FROM ff) GROUP BY ALL),
@@ -104,36 +97,6 @@ def faq_detect(spark, d):
     return _faq(spark, d).select("doc_id", T.is_faq("text").alias("looks_like_faq"))
 
 
-def _faq_whole(spark, d):
-    """Question lists of whole texts: the first half asks and the second answers, then the other way round."""
-    one, two = _halves()
-    part = lambda k, ask, answer: F.concat(F.lit(f"\n\n{k}. What is "), ask, F.lit(" then?\n"), answer)
-    docs = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[?\n]", " "))
-    return docs.select("doc_id", "source", F.concat(F.lit("Intro"), part(1, one, two), F.when(F.col("doc_id") % 2 == 0, part(2, two, one)).otherwise(F.lit("")), F.lit("\n3. no question here\nand more"), F.lit("\n4. Last one of these?\nyes")).alias("text"))
-
-
-_FAQ_WHOLE = r"""src AS (SELECT doc_id, source, regexp_replace(text, '[?\n]', ' ', 'g') AS t FROM documents),
-half AS (SELECT doc_id, source, substr(t, 1, length(t) // 2) AS one, substr(t, length(t) // 2 + 1) AS two FROM src),
-faq AS (SELECT doc_id, source, concat('Intro', chr(10), chr(10), '1. What is ', one, ' then?', chr(10), two,
-  CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), chr(10), '2. What is ', two, ' then?', chr(10), one) ELSE '' END,
-  chr(10), '3. no question here', chr(10), 'and more', chr(10), '4. Last one of these?', chr(10), 'yes') AS text FROM half),
-""" + _FAQ[_FAQ.index("fl AS") :]
-
-
-@Q(f"WITH {_FAQ_WHOLE} SELECT doc_id, block_pos, block, nullif(regexp_replace(regexp_replace(regexp_extract(block, '(?ms)^\\s*\\d+\\.\\s+(.+?\\?)', 1), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), '') AS question FROM blocks")
-def faq_split_whole(spark, d):
-    """faq_split over whole texts."""
-    out = _faq_whole(spark, d).select("doc_id", F.posexplode(C.faq_split("text")).alias("block_pos", "block"))
-    return out.select("doc_id", F.col("block_pos").cast("long").alias("block_pos"), "block", T.faq_question("block").alias("question"))
-
-
-@Q(f"""WITH {_FAQ_WHOLE}, pv AS (SELECT *, CASE WHEN q = 1 AND lag(line) OVER (PARTITION BY doc_id ORDER BY pos) = '' THEN 2 ELSE q END AS n FROM ff)
-SELECT doc_id, sum(n) >= 3 AS looks_like_faq FROM pv GROUP BY doc_id""")
-def faq_detect_whole(spark, d):
-    """faq_detect over whole texts."""
-    return _faq_whole(spark, d).select("doc_id", T.is_faq("text").alias("looks_like_faq"))
-
-
 @Q(f"WITH {_PAGES} SELECT doc_id, section_pos, piece_pos, part FROM parts")
 def page_marker_refine(spark, d):
     sections = manual(spark, d).select("doc_id", F.posexplode(C.nonblank(C.heading_split("text", BOILERPLATE))).alias("section_pos", "section"))
@@ -168,7 +131,7 @@ p AS (SELECT *, CASE WHEN length(part) <= 6000 THEN part WHEN st = 0 THEN substr
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_pos, piece_pos, st) - 1 AS chunk_id, t0 AS title, piece AS text, source FROM p
 WHERE length(regexp_replace(regexp_extract({strip_sql('piece')}, '(?s)^[^\\n]*\\n(.*)$', 1), '^\\s+|\\s+$', '', 'g')) >= 10""")
 def chunk_pipeline(spark, d):
-    return C.numbered(C.chunk(manual(spark, d), boilerplate=BOILERPLATE)).select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "title", "text", "source")
+    return C.chunk(manual(spark, d), boilerplate=BOILERPLATE).select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "title", "text", "source")
 
 
 @Q("SELECT DISTINCT source FROM documents")

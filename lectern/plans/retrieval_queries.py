@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation
+from ..operators import encoding, evaluation
 from ..operators import retrieval as R
-from .base import CHUNKS_SQL, Queries, chunks, questions, table
+from .base import CHUNKS_SQL, Queries, chunks, questions, scratch, table
 
 Q = Queries()
 SOURCE = "src1"
 
 
 def _indexed(spark, d):
-    return chunks(spark, d).select("chunk_id", F.concat("title", F.lit("\n\n"), "text").alias("text"))
+    return R.indexed_text(chunks(spark, d))
 
 
 def _vectors(spark, d):
@@ -22,7 +22,7 @@ def _vectors(spark, d):
 
 
 def _query_vectors(spark, d):
-    return questions(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    return questions(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
 
 
 _TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
@@ -63,8 +63,7 @@ def tokenize_documents(spark, d):
 @Q(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_term_stats(spark, d):
     docs = _indexed(spark, d)
-    n = docs.count()
-    return R.term_statistics(R.term_frequencies(docs), F.lit(n)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_statistics(docs, R.corpus_statistics(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @Q(f"WITH {_BM25} SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM lex")
@@ -119,15 +118,54 @@ def hybrid_search(spark, d):
     return R.hybrid_search(_query_vectors(spark, d), chunks(spark, d), _vectors(spark, d), SOURCE)
 
 
+def _index(spark, d):
+    return R.build_index(chunks(spark, d), _vectors(spark, d), scratch(spark, "index"))
+
+
+@Q(f"WITH {_BM25} SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM lex")
+def indexed_bm25_topk(spark, d):
+    """bm25_topk over a stored index."""
+    return R.bm25(questions(spark, d), _index(spark, d))
+
+
+@Q(f"{_HYBRID} SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, title, text, round(score, 6) AS score FROM final")
+def indexed_hybrid_search(spark, d):
+    """hybrid_search over a stored index."""
+    return R.hybrid_search(_query_vectors(spark, d), _index(spark, d), None, SOURCE)
+
+
+_ENCODED = """WITH t AS (SELECT {key} AS {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS term FROM {table}),
+f AS (SELECT {key}, CAST(CAST(concat('0x', substr(md5(term), 1, 4)) AS BIGINT) % 64 AS INT) AS dim, count(*) AS c FROM t GROUP BY ALL)
+SELECT {key}, dim, round(c / sqrt(sum(c * c) OVER (PARTITION BY {key})), 5) AS value FROM f"""
+
+
+def _dims(encoded, key):
+    out = encoded.select(key, F.posexplode("embedding").alias("dim", "value")).where("value <> 0")
+    return out.select(key, "dim", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+@Q(_ENCODED.format(key="doc_id", text="text", table="documents"))
+def encode_documents(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return _dims(encoding.embed(docs, "doc_id", encoding.hashed_terms(64)), "doc_id")
+
+
+@Q(_ENCODED.format(key="item_id", text="concat('question: ', text)", table="benchmark"))
+def encode_questions(spark, d):
+    """The query side, with its prefix."""
+    asked = table(spark, d, "benchmark").select("item_id", "text")
+    return _dims(encoding.embed(asked, "item_id", encoding.hashed_terms(64), prefix="question: "), "item_id")
+
+
 @Q(f"""{_HYBRID}, j AS (SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS t FROM final GROUP BY 1)
-SELECT item_id AS case_id, coalesce(contains(lower(t), lower(substr(text, 1, 60))), false) AS passed FROM benchmark LEFT JOIN j ON query_id = item_id""")
+SELECT item_id AS case_id, coalesce(contains(lower(t), lower(text)), false) AS passed FROM benchmark LEFT JOIN j ON query_id = item_id""")
 def eval_must_contain(spark, d):
-    cases = questions(spark, d).select(F.col("query_id").alias("case_id"), F.substring("text", 1, 60).alias("must_contain"))
+    cases = questions(spark, d).select(F.col("query_id").alias("case_id"), F.col("text").alias("must_contain"))
     return evaluation.must_contain(hybrid_search(spark, d), cases)
 
 
 @Q(f"""{_HYBRID}, j AS (SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS t FROM final GROUP BY 1)
-SELECT count(*) FILTER (WHERE contains(lower(t), lower(substr(text, 1, 60)))) AS n_passed, count(*) AS n_cases FROM benchmark LEFT JOIN j ON query_id = item_id""")
+SELECT count(*) FILTER (WHERE contains(lower(t), lower(text))) AS n_passed, count(*) AS n_cases FROM benchmark LEFT JOIN j ON query_id = item_id""")
 def eval_accuracy(spark, d):
     return evaluation.accuracy(eval_must_contain(spark, d))
 

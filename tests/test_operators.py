@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import audit, chunking, conversations, evaluation, ingest, layout, retrieval
+from lectern.operators import audit, chunking, conversations, encoding, evaluation, ingest, layout, retrieval
 
 
 def test_slices_cover(spark):
@@ -23,7 +23,7 @@ def test_slices_cover(spark):
 def test_chunk_pipeline(spark):
     text = "\n".join(["intro text that is long", "## 4.4.1 First Part", "body of the first part", "<!-- Page 2 -->", "more body", "ASSET RECORD FORM", "<!-- Page 3 -->", "page three content here", "<!-- Page 4 -->", "x\nfour and more content", "6.6 Empty Part"])
     df = spark.createDataFrame([("d", "d", text), ("e", "e", "just one line")], "doc_id string, source string, text string")
-    got = [(r.title, r.text) for r in chunking.numbered(chunking.chunk(df)).where("doc_id = 'd'").orderBy("chunk_id").collect()]
+    got = [(r.title, r.text) for r in chunking.chunk(df).where("doc_id = 'd'").orderBy("chunk_id").collect()]
     assert [t for t, _ in got] == ["4.4.1 First Part", "x"]
     assert got[0][1].startswith("## 4.4.1") or "body of the first part" in got[0][1]
     faq = "Intro\n\n1. How many?\nseven\n\n2. Why so?\nbecause\n3. no question\n"
@@ -68,6 +68,36 @@ def test_hybrid_search_is_bounded(spark):
         assert [r.chunk_id for r in sorted((r for r in dense if r.query_id == q), key=lambda r: r["rank"])] == want
 
 
+def test_stored_index(spark, tmp_path):
+    """An index gives what the chunks give; a question without a vector keeps its lexical leg; a batch of many terms shuffles."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(30)] + ["the"] * 5
+    chunks = spark.createDataFrame([(i, f"s{i % 3}", f"t{i}", " ".join(rng.choice(words, 25))) for i in range(80)], "chunk_id long, source string, title string, text string")
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(70, 6)))] + [(75, None)], "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(0, "the w1 w2", rng.normal(size=6).tolist()), (1, "w3 w4 unknown", None), (2, "", None)], "query_id long, text string, embedding array<double>")
+    index = retrieval.build_index(chunks, vectors, f"{tmp_path}/index")
+    again = retrieval.load_index(spark, f"{tmp_path}/index")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(retrieval.hybrid_search(queries, chunks, vectors, "s1", min_score=0.0))
+    assert rows(retrieval.hybrid_search(queries, index, None, "s1", min_score=0.0)) == want == rows(retrieval.hybrid_search(queries, again, None, "s1", min_score=0.0))
+    assert {r[0] for r in want} == {0, 1}
+    few = retrieval.BROADCAST_TERMS
+    try:
+        retrieval.BROADCAST_TERMS = 0
+        assert rows(retrieval.bm25(queries, again)) == rows(retrieval.bm25(queries, retrieval.indexed_text(chunks)))
+    finally:
+        retrieval.BROADCAST_TERMS = few
+
+
+def test_encoder_hook(spark):
+    df = spark.createDataFrame([("a", "one two"), ("b", None), ("c", "two two two")], "id string, text string")
+    seen = lambda texts: [[len(t), t.count("q: "), 0.0] for t in texts]
+    got = {r.id: r.embedding for r in encoding.embed(df, "id", seen, prefix="q: ", batch=2).collect()}
+    assert got["a"] == pytest.approx((np.array([10, 1, 0]) / np.hypot(10, 1)).tolist()) and got["b"][1] > 0
+    same = {r.id: np.array(r.embedding) for r in encoding.embed(df, "id", encoding.hashed_terms(16)).collect()}
+    assert np.linalg.norm(same["a"]) == pytest.approx(1) and not same["b"].any() and same["a"] @ same["c"] == pytest.approx(0.5**0.5)
+
+
 def _order(words):
     """Reading order by the rules, one word after the other."""
     if not words:

@@ -56,10 +56,10 @@ def test_whole_texts(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert max(map(len, texts.values())) > 10_000
     queries = entry.queries()
-    for r in queries["strip_thinking_paged_whole"](spark, SF).collect():
+    for r in queries["strip_thinking_paged"](spark, SF).collect():
         assert r.cleaned.endswith("<!-- Page 3 -->" + texts[r.doc_id]) and texts[r.doc_id][: len(texts[r.doc_id]) // 2] in r.cleaned
     size = {}
-    for r in queries["faq_split_whole"](spark, SF).collect():
+    for r in queries["faq_split"](spark, SF).collect():
         size[r.doc_id] = size.get(r.doc_id, 0) + len(r.block)
     assert all(size[d] >= len(t.strip()) for d, t in texts.items())
-    assert {r.doc_id for r in queries["faq_detect_whole"](spark, SF).collect()} == set(texts)
+    assert {r.doc_id for r in queries["faq_detect"](spark, SF).collect()} == set(texts)
