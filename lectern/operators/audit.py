@@ -178,6 +178,36 @@ def summary(audited: DataFrame) -> DataFrame:
     return F.broadcast(names).join(counted, F.col("category") == F.col("classification"), "left").select("ordinal", "category", F.coalesce("n", F.lit(0)).alias("pages"), "recommendation")
 
 
+def native_tables(pages: DataFrame) -> DataFrame:
+    """pages with total_tables: the greater count of the two strategies, lines_tables and text_tables.
+
+    A strategy that failed (null) counts 0, and so does a page whose reader finds no tables (supported false or null).
+    """
+    counted = F.greatest(F.coalesce("lines_tables", F.lit(0)), F.coalesce("text_tables", F.lit(0)))
+    return pages.withColumn("total_tables", F.when(F.col("supported"), counted).otherwise(F.lit(0)))
+
+
+def report(audited: DataFrame) -> DataFrame:
+    """The audit as rows (section, item, value), all strings: counts of all classes, pages with images, lists of pages and advice by class.
+
+    Lists are per class, of a document's pages; audit one document at a time where these may be many.
+    """
+    counts = summary(audited)
+    listed = audited.groupBy("classification").agg(F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: x.cast("string")), ", ").alias("pages"))
+    total = audited.agg(F.count("*").cast("string").alias("total"), F.count_if(F.col("image_count") > 0).cast("string").alias("images"))
+    parts = [
+        total.select(F.lit("1 summary").alias("section"), F.lit("pages").alias("item"), F.col("total").alias("value")),
+        counts.select(F.lit("2 classes"), F.col("category"), F.col("pages").cast("string")),
+        total.select(F.lit("3 images"), F.lit("pages with images"), F.col("images")),
+        listed.where("classification <> 'NORMAL'").select(F.lit("4 pages"), F.col("classification"), F.col("pages")),
+        counts.where("pages > 0").select(F.lit("5 advice"), F.col("category"), F.col("recommendation")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 def structure_score(n: Column, steps: tuple[int, int, int]) -> Column:
     return F.when(n >= steps[0], 40).when(n >= steps[1], 30).when(n >= steps[2], 20).otherwise(0)
 

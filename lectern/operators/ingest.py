@@ -51,8 +51,8 @@ def run_stats(pages: DataFrame) -> DataFrame:
 
 
 def page_markdown(pages: DataFrame) -> DataFrame:
-    """(source, markdown): pages 1 to the last in order, missing ones empty, each behind its marker."""
-    got = pages.groupBy("source").agg(F.max("page_num").alias("n"), F.map_from_entries(F.collect_list(F.struct("page_num", "text"))).alias("m"))
+    """(source, markdown): pages 1 to the last in order, missing ones empty, each behind its marker; of a page that occurs twice, the greatest text."""
+    got = pages.groupBy("source", "page_num").agg(F.max("text").alias("text")).groupBy("source").agg(F.max("page_num").alias("n"), F.map_from_entries(F.collect_list(F.struct("page_num", "text"))).alias("m"))
     parts = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit("<!-- Page "), i.cast("string"), F.lit(" -->\n\n"), F.coalesce(F.try_element_at("m", i), F.lit(""))))
     return got.select("source", F.array_join(parts, PAGE_JOIN).alias("markdown"))
 

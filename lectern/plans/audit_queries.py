@@ -126,3 +126,24 @@ def spatial_scores(spark, d):
 @Q("SELECT p_partkey AS page_id, printf('%.1f%%', p_size / 64.0 * 100) AS pct FROM part")
 def percent_format(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), T.percentage(F.col("p_size") / 64.0).alias("pct"))
+
+
+@Q("SELECT p_partkey AS page_id, CAST(CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE greatest(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size % 4 END, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_size % 3 END) END AS INT) AS total_tables FROM part")
+def native_tables(spark, d):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    pages = table(spark, d, "part").select(k.alias("page_id"), (k % 5 != 0).alias("supported"), F.when(k % 3 != 0, n % 4).cast("int").alias("lines_tables"), F.when(k % 7 != 0, n % 3).cast("int").alias("text_tables"))
+    return A.native_tables(pages).select("page_id", "total_tables")
+
+
+_ADVICE = ", ".join("'" + x.replace("'", "''") + "'" for x in A.RECOMMENDATIONS)
+_CATEGORIES = ", ".join(f"'{x}'" for x in A.CATEGORIES)
+
+
+@Q(f"""WITH {_FEATURES}, {_SCORES}, cats AS (SELECT unnest([{_CATEGORIES}]) AS category, unnest([{_ADVICE}]) AS advice),
+n AS (SELECT category, advice, count(classification) AS pages FROM cats LEFT JOIN fin ON category = classification GROUP BY ALL)
+SELECT '1 summary' AS section, 'pages' AS item, CAST(count(*) AS VARCHAR) AS value FROM fin UNION ALL SELECT '2 classes', category, CAST(pages AS VARCHAR) FROM n
+UNION ALL SELECT '3 images', 'pages with images', CAST(count(*) FILTER (WHERE image_count > 0) AS VARCHAR) FROM fin
+UNION ALL SELECT '4 pages', classification, string_agg(CAST(page_id AS VARCHAR), ', ' ORDER BY page_id) FROM fin WHERE classification <> 'NORMAL' GROUP BY classification
+UNION ALL SELECT '5 advice', category, advice FROM n WHERE pages > 0""")
+def audit_report(spark, d):
+    return A.report(A.audit(_features(spark, d)))

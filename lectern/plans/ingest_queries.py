@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ingest as I
+from ..operators import transcription as X
 from ..sources import checkpoints
 from .base import Queries, table
 
@@ -58,10 +59,83 @@ def run_stats(spark, d):
     return I.run_stats(_pages(spark, d))
 
 
-@Q(f"""WITH {_PAGES}, k AS (SELECT * FROM pg WHERE event_id % 4 <> 0), n AS (SELECT source, unnest(range(1, max(page_num) + 1)) AS page_num FROM k GROUP BY source)
+@Q(f"""WITH {_PAGES}, k AS (SELECT source, page_num + page_num // 3 AS page_num, text FROM pg), n AS (SELECT source, unnest(range(1, max(page_num) + 1)) AS page_num FROM k GROUP BY source)
 SELECT source, string_agg(concat('<!-- Page ', page_num, ' -->', chr(10), chr(10), coalesce(text, '')), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY page_num) AS markdown FROM n LEFT JOIN k USING (source, page_num) GROUP BY 1""")
 def page_markdown_assemble(spark, d):
-    return I.page_markdown(_pages(spark, d).where("event_id % 4 <> 0"))
+    """Every third page number is missing, and comes out empty."""
+    return I.page_markdown(_pages(spark, d).withColumn("page_num", F.expr("page_num + page_num div 3").cast("int")))
+
+
+#: Pages of a document with what extraction, OCR and a vision call would give; a checkpoint of an earlier run.
+_LOOP = f"""{_PAGES},
+p AS (SELECT source, page_num, CASE WHEN event_id % 3 = 0 THEN concat(' ', event_id, ' words of a page with native text ') ELSE 'short' END AS native, CASE WHEN event_id % 13 = 0 THEN '' ELSE concat('ocr ', event_id) END AS ocr,
+  event_id % 3 AS n_columns, event_id % 5 = 0 AS significant, CASE WHEN event_id % 17 = 0 THEN '' ELSE concat('seen ', event_id) END AS seen, event_id % 41 = 0 AS exhausted, event_id % 7 = 0 AND page_num < 8 AS resumed, CAST(event_id % 3 + 1 AS INT) AS done_tier FROM pg),
+w AS (SELECT *, trim(native) AS nat, NOT resumed AND (significant OR (length(trim(native)) < 20 AND n_columns >= 2)) AS wants FROM p),
+u AS (SELECT *, wants AND coalesce(sum(CASE WHEN resumed THEN CAST(done_tier = 3 AS INT) ELSE CAST(wants AND seen <> '' AND NOT exhausted AS INT) END) OVER (PARTITION BY source ORDER BY page_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 5 AS tried FROM w),
+st AS (SELECT *, coalesce(page_num >= min(page_num) FILTER (WHERE tried AND exhausted) OVER (PARTITION BY source), false) AS late, count(*) OVER (PARTITION BY source) AS total FROM u),
+done AS (SELECT *, CASE WHEN total > 60 THEN 'refused' WHEN late AND {{pause}} THEN 'paused' WHEN resumed THEN 'resumed' ELSE 'done' END AS status FROM st),
+tr AS (SELECT *, CAST(CASE WHEN status IN ('refused', 'paused') THEN NULL WHEN status = 'resumed' THEN done_tier WHEN tried AND NOT late AND seen <> '' THEN 3 WHEN NOT significant AND length(nat) >= 20 THEN 1 ELSE 2 END AS INT) AS tier FROM done),
+tx AS (SELECT *, CASE WHEN status = 'resumed' THEN concat('old ', page_num) WHEN tier = 3 THEN seen WHEN tier = 1 THEN nat WHEN tier = 2 THEN coalesce(nullif(ocr, ''), nat) END AS text FROM tr)"""
+
+
+def _loop(spark, d, degrade):
+    e = F.col("event_id")
+    s = e.cast("string")
+    raw = _pages(spark, d)
+    pages = raw.select(
+        "source", "page_num", F.when(e % 3 == 0, F.concat(F.lit(" "), s, F.lit(" words of a page with native text "))).otherwise(F.lit("short")).alias("native_text"), F.when(e % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("ocr "), s)).alias("ocr_text"),
+        (e % 3).alias("n_columns"), (e % 5 == 0).alias("significant"), F.when((e % 17 == 0) | (e % 41 == 0), F.lit("")).otherwise(F.concat(F.lit("seen "), s)).alias("vision_text"), (e % 41 == 0).alias("exhausted"),
+    )
+    old = raw.where((e % 7 == 0) & (F.col("page_num") < 8)).select("source", "page_num", F.concat(F.lit("old "), F.col("page_num").cast("string")).alias("text"), (e % 3 + 1).cast("int").alias("tier"))
+    return X.transcribe(pages, old, 5, 60, degrade)
+
+
+_LOOP_OUT = "SELECT source, page_num, status, tier, text, status = 'done' AND (tier = 3 OR page_num % 10 = 0) AS checkpoint FROM tx"
+
+
+@Q(f"WITH {_LOOP.format(pause='true')} {_LOOP_OUT}")
+def page_loop_pause(spark, d):
+    return _loop(spark, d, False)
+
+
+@Q(f"WITH {_LOOP.format(pause='false')} {_LOOP_OUT}")
+def page_loop_degrade(spark, d):
+    return _loop(spark, d, True)
+
+
+_OUTCOME = """oc AS (SELECT source, count(*) AS total_pages, count(*) FILTER (WHERE status IN ('done', 'resumed')) AS pages_done, count(*) FILTER (WHERE tier = 3) AS vision_pages_used, count(*) FILTER (WHERE tier = 2) AS ocr_pages,
+  count(*) FILTER (WHERE tier = 1) AS native_text_pages, count(*) FILTER (WHERE status = 'resumed') > 0 AS resumed,
+  CASE WHEN bool_or(status = 'refused') THEN 'refused' WHEN bool_or(status = 'paused') THEN 'paused' WHEN max(length(trim(coalesce(text, '')))) = 0 THEN 'blank' ELSE 'done' END AS state,
+  string_agg(concat('<!-- Page ', page_num, ' -->', chr(10), chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY page_num) AS md FROM tx GROUP BY source)"""
+
+
+@Q(f"""WITH {_LOOP.format(pause='true')}, {_OUTCOME}
+SELECT source, state, pages_done, total_pages, vision_pages_used, ocr_pages, native_text_pages, resumed, CASE WHEN state = 'done' THEN md END AS markdown FROM oc""")
+def transcription_outcomes(spark, d):
+    return X.outcomes(_loop(spark, d, False))
+
+
+@Q(f"""WITH {_LOOP.format(pause='true')}, {_OUTCOME}, fl AS (SELECT *, CAST(substr(source, 2) AS BIGINT) AS id FROM oc),
+f AS (SELECT *, concat('doc ', id % 9, CASE id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.pdf' ELSE '.PDF' END) AS name, id % 11 = 0 AS is_blank, id % 3 > 0 AS pdf FROM fl),
+g AS (SELECT *, CASE WHEN pdf THEN concat('doc ', id % 9, '_transcribed.md') ELSE name END AS safe, NOT is_blank AND (NOT pdf OR state = 'done') AS ok FROM f)
+SELECT id AS file_id, ok, NOT is_blank AND pdf AND state = 'paused' AS needs_decision, CASE WHEN ok THEN CASE WHEN id % 9 = 4 AND pdf THEN 'doc 4_transcribed_1700000000.md' ELSE safe END END AS final_name,
+  CASE WHEN ok THEN CASE WHEN pdf THEN md ELSE source END END AS body, CASE WHEN NOT is_blank AND pdf THEN CASE state WHEN 'paused' THEN 'keep' WHEN 'done' THEN 'delete' ELSE 'none' END ELSE 'none' END AS checkpoint_action,
+  CASE WHEN is_blank THEN 'File is empty.' WHEN NOT pdf THEN '' WHEN state = 'refused' THEN concat('too many pages: ', total_pages) WHEN state = 'paused' THEN concat('paused after ', pages_done, ' of ', total_pages, ' pages')
+    WHEN state = 'done' THEN concat(total_pages, ' pages: ', native_text_pages, ' native, ', ocr_pages, ' OCR, ', vision_pages_used, ' vision', CASE WHEN resumed THEN ', resumed' ELSE '' END) ELSE 'no readable text' END AS message FROM g""")
+def upload_pipeline(spark, d):
+    outcome = X.outcomes(_loop(spark, d, False))
+    n = F.substring("source", 2, 20).cast("long")
+    name = F.concat(F.lit("doc "), (n % 9).cast("string"), F.when(n % 3 == 0, ".md").when(n % 3 == 1, ".pdf").otherwise(".PDF"))
+    files = outcome.select(n.alias("file_id"), name.alias("name"), F.lit(1000).cast("long").alias("n_bytes"), (n % 11 == 0).alias("is_blank"), F.col("source").alias("text"))
+    there = spark.createDataFrame([("doc 4_transcribed.md",)], "name string")
+    return X.upload(files, outcome.withColumn("source", n.cast("string")), there, 1_700_000_000)
+
+
+@Q(f"WITH {_PAGES}, t AS (SELECT source, count(*) - 2 AS n FROM pg GROUP BY 1) SELECT source, page_num FROM pg JOIN t USING (source) WHERE page_num > n")
+def invalid_redo_pages(spark, d):
+    """Pages to do again that the document does not have: it lost its last two."""
+    pages = _pages(spark, d).select("source", "page_num")
+    return X.invalid_pages(pages, pages.groupBy("source").agg((F.count("*") - 2).alias("total_pages")))
 
 
 @Q(f"WITH {_PAGES} SELECT source, page_num, text FROM pg")

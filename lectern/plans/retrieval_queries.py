@@ -170,6 +170,11 @@ def eval_accuracy(spark, d):
     return evaluation.accuracy(eval_must_contain(spark, d))
 
 
+@Q(f"{_HYBRID} SELECT query_id, string_agg(concat(title, ' (', printf('%.2f', score), ')'), ', ' ORDER BY rank) AS titles FROM final GROUP BY 1")
+def eval_top_titles(spark, d):
+    return evaluation.top_titles(hybrid_search(spark, d))
+
+
 @Q(f"{_HYBRID} SELECT query_id, string_agg(concat('**', title, '** (relevance: ', printf('%.2f', score), ')'), chr(10) ORDER BY rank) AS sources FROM final GROUP BY 1")
 def source_listing(spark, d):
     line = F.format_string("**%s** (relevance: %.2f)", "title", "score")

@@ -20,7 +20,8 @@ def read_pages(df: DataFrame, json: str) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, key: str) -> DataFrame:
-    """(key, json) from key, page_num, text."""
+    """(key, json) from key, page_num, text; of a page that occurs twice, the greatest text."""
+    pages = pages.groupBy(key, "page_num").agg(F.max("text").alias("text"))
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page_num").cast("string"), "text"))))
     return pages.groupBy(key).agg(F.to_json(entries).alias("json"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,20 @@ class EmptyFolder(FileNotFoundError):
     """A knowledge folder has no usable file."""
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(source, ext, content, mtime) of every file of a folder, plain names."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+def scan(spark: SparkSession, folder: str, ext: str | None = None) -> DataFrame:
+    """(source, ext, content, mtime) of every file of a folder, or of those with an extension, plain names.
+
+    With an extension other files are not opened. Raises FileNotFoundError where the folder is missing.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
+    if ext:
+        reader = reader.option("pathGlobFilter", "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext))
+    try:
+        raw = reader.load(folder)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no folder at {folder}") from error
+        raise
     name = F.url_decode(F.regexp_replace(F.regexp_extract(F.col("_metadata.file_name"), r"[^/]*\z", 0), r"\+", "%2B"))
     return raw.select(name.alias("source"), "content", F.col("modificationTime").alias("mtime")).withColumn("ext", T.extension("source")).select("source", "ext", "content", "mtime")
 
@@ -57,18 +69,17 @@ READERS: dict[str, Reader] = {".md": read_markdown, ".txt": read_text, ".pdf": _
 
 def load(spark: SparkSession, folder: str, readers: dict[str, Reader] | None = None) -> DataFrame:
     """(source, text) of a folder's files with a reader; blank texts are dropped, other files passed over."""
-    files = scan(spark, folder)
     out = None
     for ext, reader in (READERS | (readers or {})).items():
-        part = reader(files.where(F.col("ext") == ext)).select("source", "text")
+        part = reader(scan(spark, folder, ext)).select("source", "text")
         out = part if out is None else out.unionByName(part)
     return out.where(T.strip("text") != "")
 
 
 def load_and_chunk(spark: SparkSession, folder: str, readers: dict[str, Reader] | None = None, max_chars: int = chunking.MAX_CHARS, overlap: int = chunking.OVERLAP, boilerplate=()) -> DataFrame:
-    """Chunks of a folder, sources in order; ``.txt`` files that are question lists are split at questions.
+    """Chunks of a folder; ``in_order`` sorts them. ``.txt`` files that are question lists are split at questions.
 
-    Raises EmptyFolder where no file can be used.
+    Raises FileNotFoundError where the folder is missing, EmptyFolder, which is one, where no file can be used.
     """
     docs = load(spark, folder, readers).withColumn("doc_id", F.col("source"))
     if docs.isEmpty():
@@ -77,6 +88,28 @@ def load_and_chunk(spark: SparkSession, folder: str, readers: dict[str, Reader]
     return plain.unionByName(chunking.chunk(docs.where(T.extension("source") == ".txt"), max_chars, overlap, boilerplate, faq=True))
 
 
+def in_order(chunks: DataFrame) -> DataFrame:
+    """Chunks by source name, each source's in reading order."""
+    return chunks.orderBy("source", "chunk_id")
+
+
+#: Chunk size of a single file's load.
+MARKDOWN_CHARS = 3500
+
+
+def load_markdown(spark: SparkSession, path: str, max_chars: int = MARKDOWN_CHARS, overlap: int = chunking.OVERLAP, boilerplate=()) -> DataFrame:
+    """Chunks of one markdown file, or of all that a pattern names."""
+    docs = read_markdown(scan(spark, path)).withColumn("doc_id", F.col("source"))
+    return chunking.chunk(docs, max_chars, overlap, boilerplate)
+
+
+def find_phrase(spark: SparkSession, folder: str, phrase: str) -> DataFrame:
+    """(source, snippet) of a folder's .md and .txt files that hold the phrase, case ignored."""
+    both = scan(spark, folder, ".md").unionByName(scan(spark, folder, ".txt"))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return both.select("source", T.snippet(text, phrase).alias("snippet")).where("snippet is not null")
+
+
 def last_updated(files: DataFrame) -> DataFrame:
     return files.agg(F.max("mtime").alias("last_updated"))
 

@@ -33,6 +33,24 @@ def test_missing_reader(spark, tmp_path):
         files.load_and_chunk(spark, str(tmp_path))
 
 
+def test_folder_rules(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        files.load_and_chunk(spark, str(tmp_path / "none"))
+    for name in ("b.md", "a.txt", "c.MD"):
+        (tmp_path / name).write_text(f"1.2 Heading of {name[0]}\nthis body is long enough\n3.4 Second of it\nand its body is long as well")
+    assert [(r.source, r.chunk_id) for r in files.in_order(files.load_and_chunk(spark, str(tmp_path))).collect()] == [(n, k) for n in ("a.txt", "b.md", "c.MD") for k in (0, 1)]
+    assert {r.source: r.snippet for r in files.find_phrase(spark, str(tmp_path), "HEADING OF B").collect()} == {"b.md": "1.2 Heading of b this body is long enough 3.4 Second of it and its body is long as well"}
+    (tmp_path / "b.md").write_text("9.1 Long Part\n" + "word " * 1000)
+    got = files.load_markdown(spark, str(tmp_path / "b.md")).collect()
+    assert [len(r.text) for r in got][0] == files.MARKDOWN_CHARS and len(got) == 2
+
+
+def test_repeated_pages(spark):
+    """A page that occurs twice is no error; one of its texts stays."""
+    pages = spark.createDataFrame([("s", 1, "a"), ("s", 1, "b"), ("s", 3, "c")], "source string, page_num int, text string")
+    assert checkpoints.write_pages(pages, "source").first().json == '{"1":"b","3":"c"}'
+
+
 def test_docx_and_tiers(spark):
     blocks = spark.createDataFrame([("d", 0, "p", "Heading 2", "Head", None), ("d", 1, "table", None, None, ["a", "b"]), ("d", 2, "p", None, " para ", None), ("d", 3, "p", None, " ", None)], "source string, block_pos int, kind string, style string, text string, cells array<string>")
     assert files.docx_text(blocks).first().text == "## Head\n\npara\n\n| a | b |"
