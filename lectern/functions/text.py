@@ -138,6 +138,25 @@ def percentage(x: Column) -> Column:
     return F.format_string("%.1f%%", F.bround(x * 100, 1))
 
 
+def base64_text(c) -> Column:
+    """A text's UTF-8 bytes in base64."""
+    return F.base64(col(c).cast("binary"))
+
+
+def text_of_base64(c) -> Column:
+    return F.unbase64(col(c)).cast("string")
+
+
+def quota_headers(c) -> Column:
+    """The entries of a map of response headers that tell of rates: their names hold ratelimit or retry-after, case ignored."""
+    return F.map_filter(col(c), lambda k, _: F.lower(k).contains("ratelimit") | F.lower(k).contains("retry-after"))
+
+
+def secret_list(c) -> Column:
+    """The parts of a comma-separated setting, stripped, blank ones left out."""
+    return F.filter(F.transform(F.split(col(c), ","), strip), lambda x: x != "")
+
+
 def is_rate_limit(c) -> Column:
     return F.lower(col(c)).contains("429") | F.lower(col(c)).contains("rate_limit")
 

@@ -78,6 +78,9 @@ def _n(label: str, value: Column) -> Column:
     return F.concat(F.lit(label + " ("), value.cast("string"), F.lit(")"))
 
 
+# Points, limits and the wording of reasons in the rules below.
+
+
 def table_rules() -> Rules:
     c = F.col
     lines = c("horizontal_lines") + c("vertical_lines")
@@ -208,6 +211,11 @@ def report(audited: DataFrame) -> DataFrame:
     return out
 
 
+def significant(area: Column, page_area: Column) -> Column:
+    """Whether an image takes CONTENT_RATIO of its page."""
+    return area / page_area >= CONTENT_RATIO
+
+
 def structure_score(n: Column, steps: tuple[int, int, int]) -> Column:
     return F.when(n >= steps[0], 40).when(n >= steps[1], 30).when(n >= steps[2], 20).otherwise(0)
 

@@ -9,6 +9,7 @@ from ..functions import text as T
 
 # Fixed values.
 HISTORY_TURNS, MAX_CONVERSATIONS = 3, 20
+#: What a model says that finds no answer.
 REFUSAL, REFUSAL_MIN_SCORE = "i don't know based on the provided sources", 0.5
 
 
@@ -43,12 +44,12 @@ def retained(conversations: DataFrame, limit: int = MAX_CONVERSATIONS, order: st
     return conversations.orderBy(F.col(order).desc()).limit(limit)
 
 
-def prompts(results: DataFrame, header: str = "Context excerpts:") -> DataFrame:
-    """(query_id, prompt) from query_id, question, rank, title, text."""
+def prompts(results: DataFrame, header: str = "Context excerpts:", before: str = "Question: ", after: str = "Use these excerpts alone.") -> DataFrame:
+    """(query_id, prompt) from query_id, question, rank, title, text: header, numbered excerpts, question, closing line."""
     part = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit(": "), "title", F.lit("]\n"), "text")
     got = results.groupBy("query_id").agg(F.first("question").alias("question"), F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))).alias("parts"))
     context = F.array_join(F.transform("parts", lambda x: x["p"]), "\n\n---\n\n")
-    return got.select("query_id", F.concat(F.lit(header + "\n\n"), context, F.lit("\n\n---\n\nStudent question: "), "question", F.lit("\n\nAnswer the question using only the context above.")).alias("prompt"))
+    return got.select("query_id", F.concat(F.lit(header + "\n\n"), context, F.lit("\n\n---\n\n" + before), "question", F.lit("\n\n" + after)).alias("prompt"))
 
 
 def message_list(history_: str, prompt: str, system: str):

@@ -11,6 +11,8 @@ from ..functions import text as T
 MAX_PAGES, MAX_VISION_PAGES, CHECKPOINT_EVERY = 150, 60, 10
 SIZE_LIMITS = {".md": 5 * 1024 * 1024, ".txt": 5 * 1024 * 1024, ".docx": 5 * 1024 * 1024, ".pdf": 25 * 1024 * 1024}
 PAGE_JOIN = "\n\n---\n\n"
+#: What an uploader is told, with the extension, the size in MB and the limit in MB.
+BAD_TYPE, TOO_LARGE, EMPTY = "Unsupported file type '%s'. Only .md, .txt, .docx, .pdf are accepted here.", "File too large (%.1f MB). Limit for %s is %.0f MB.", "File is empty."
 
 
 def resume(pages: DataFrame, checkpoint: DataFrame) -> DataFrame:
@@ -44,6 +46,12 @@ def is_checkpoint(tier: Column, page_num: Column) -> Column:
     return (tier == 3) | (page_num % CHECKPOINT_EVERY == 0)
 
 
+def page_caps(pages: DataFrame, n_pages: int, max_pages: int = MAX_PAGES) -> DataFrame:
+    """(source, done, beyond, over_cap): pages with text, pages numbered outside 1 to n_pages, whether there are more than max_pages."""
+    got = pages.groupBy("source")
+    return got.agg(F.count_if(T.strip("text") != "").alias("done"), F.count_if(~F.col("page_num").between(1, n_pages)).alias("beyond"), (F.count("*") > max_pages).alias("over_cap"))
+
+
 def run_stats(pages: DataFrame) -> DataFrame:
     """(source, total_pages, vision_pages_used, ocr_pages, native_text_pages)."""
     out = pages.groupBy("source").agg(F.count("*").alias("total_pages"), F.count_if(F.col("tier") == 3).alias("vision_pages_used"), F.count_if(F.col("tier") == 2).alias("ocr_pages"))
@@ -65,9 +73,9 @@ def validate_upload(files: DataFrame) -> DataFrame:
         limit = F.when(F.col("_ext") == e, F.lit(n).cast("long")).otherwise(limit)
     out = files.withColumn("_ext", ext).withColumn("_limit", limit)
     message = (
-        F.when(F.col("_limit").isNull(), F.concat(F.lit("Unsupported file type '"), "_ext", F.lit("'. Only .md, .txt, .docx, .pdf are accepted here.")))
-        .when(F.col("n_bytes") > F.col("_limit"), F.concat(F.lit("File too large ("), F.format_string("%.1f", F.bround(F.col("n_bytes") / 1e6, 1)), F.lit(" MB). Limit for "), "_ext", F.lit(" is "), F.format_string("%.0f", F.col("_limit") / 1e6), F.lit(" MB.")))
-        .when(F.col("is_blank"), F.lit("File is empty."))
+        F.when(F.col("_limit").isNull(), F.format_string(BAD_TYPE, "_ext"))
+        .when(F.col("n_bytes") > F.col("_limit"), F.format_string(TOO_LARGE, F.bround(F.col("n_bytes") / 1e6, 1), "_ext", F.col("_limit") / 1e6))
+        .when(F.col("is_blank"), F.lit(EMPTY))
     )
     return out.withColumn("ok", message.isNull()).withColumn("message", F.coalesce(message, F.lit(""))).drop("_ext", "_limit")
 

@@ -108,7 +108,7 @@ def audit_page_lists(spark, d):
 @Q("SELECT l_orderkey AS page_id, sum(l_quantity * l_linenumber) / 1000.0 >= 0.15 AS significant FROM lineitem GROUP BY 1")
 def significant_image(spark, d):
     got = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.sum(F.col("l_quantity") * F.col("l_linenumber")).alias("area"))
-    return got.select("page_id", (F.col("area") / 1000.0 >= A.CONTENT_RATIO).alias("significant"))
+    return got.select("page_id", A.significant(F.col("area"), F.lit(1000.0)).alias("significant"))
 
 
 @Q(f"""WITH {_FEATURES} SELECT page_id, CAST(CASE WHEN NOT (total_image_ratio >= 0.15) AND char_count >= 20 THEN 1 WHEN (total_image_ratio >= 0.15 OR x_columns >= 2) AND page_id % 3 <> 0 THEN 3 ELSE 2 END AS INT) AS tier FROM feat""")

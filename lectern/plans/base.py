@@ -60,7 +60,7 @@ def manual(spark: SparkSession, d: str) -> DataFrame:
     s = lambda x: x.cast("string")
     body = F.concat(
         F.when(n % 3 == 0, F.lit("preface words here\n")).otherwise(F.lit("")), F.lit("<!-- Page 1 -->\n\n"), F.when(n % 2 == 0, F.lit("## ")).otherwise(F.lit("")), s(n % 9 + 1), F.lit("."), s(n % 5), F.lit(" Heading Of Part\n"),
-        F.col("text"), F.lit("\n\n---\n\n<!-- Page 2 -->\n\nASSET RECORD FORM\n"), F.substring("text", 1, 200), F.lit("\n1.8 L (approx. 12 cups)\nGENERAL OFFICE\n**Note 7:** see below\n<!-- Page 3 -->\n"), F.substring("text", 50, 300), F.lit("\n6.6 Last Part\n"),
+        F.col("text"), F.lit("\n\n---\n\n<!-- Page 2 -->\n\nASSET RECORD FORM\n"), F.substring("text", 1, 200), F.lit("\n4.2 V (at a peak load of 6 A)\nGENERAL OFFICE\n**Note 7:** see below\n<!-- Page 3 -->\n"), F.substring("text", 50, 300), F.lit("\n6.6 Last Part\n"),
     )
     return table(spark, d, "documents").select("doc_id", "source", body.alias("text"))
 
@@ -68,7 +68,7 @@ def manual(spark: SparkSession, d: str) -> DataFrame:
 MANUAL_SQL = """manual AS (SELECT doc_id, source, concat(
   CASE WHEN doc_id % 3 = 0 THEN 'preface words here' || chr(10) ELSE '' END, '<!-- Page 1 -->', chr(10), chr(10), CASE WHEN doc_id % 2 = 0 THEN '## ' ELSE '' END,
   doc_id % 9 + 1, '.', doc_id % 5, ' Heading Of Part', chr(10), text, chr(10), chr(10), '---', chr(10), chr(10), '<!-- Page 2 -->', chr(10), chr(10), 'ASSET RECORD FORM', chr(10),
-  substr(text, 1, 200), chr(10), '1.8 L (approx. 12 cups)', chr(10), 'GENERAL OFFICE', chr(10), '**Note 7:** see below', chr(10), '<!-- Page 3 -->', chr(10), substr(text, 50, 300), chr(10), '6.6 Last Part', chr(10)) AS text
+  substr(text, 1, 200), chr(10), '4.2 V (at a peak load of 6 A)', chr(10), 'GENERAL OFFICE', chr(10), '**Note 7:** see below', chr(10), '<!-- Page 3 -->', chr(10), substr(text, 50, 300), chr(10), '6.6 Last Part', chr(10)) AS text
 FROM documents)"""
 #: Letterhead lines that the registered queries pass over.
 BOILERPLATE = ("general office",)

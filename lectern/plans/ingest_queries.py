@@ -187,8 +187,8 @@ def content_key(spark, d):
 
 @Q("SELECT page_id, to_base64(encode(url)) AS encoded, url AS decoded FROM pages")
 def base64_roundtrip(spark, d):
-    enc = F.base64(F.col("url").cast("binary"))
-    return table(spark, d, "pages").select("page_id", enc.alias("encoded"), F.unbase64(enc).cast("string").alias("decoded"))
+    encoded = table(spark, d, "pages").select("page_id", T.base64_text("url").alias("encoded"))
+    return encoded.withColumn("decoded", T.text_of_base64("encoded"))
 
 
 @Q("SELECT strftime(max(ts), '%Y-%m-%d %H:%M UTC') AS updated FROM events")
@@ -207,17 +207,15 @@ def rate_limit_predicate(spark, d):
 def header_filter(spark, d):
     n = F.col("event_id")
     headers = F.map_concat(F.create_map(F.lit("x-ratelimit-left"), n.cast("string"), F.lit("content-type"), F.lit("json")), F.when(n % 2 == 0, F.create_map(F.lit("Retry-After"), F.lit("3"))).otherwise(F.create_map().cast("map<string,string>")))
-    kept = F.map_filter(headers, lambda k, _: F.lower(k).contains("ratelimit") | F.lower(k).contains("retry-after"))
-    return table(spark, d, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("headers"))
+    return table(spark, d, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(T.quota_headers(headers))), ",").alias("headers"))
 
 
 @Q("SELECT event_id, concat_ws('|', 'k1', CASE WHEN event_id % 2 = 0 THEN 'k2' END) AS parts FROM events")
 def secret_list(spark, d):
     raw = F.concat(F.lit(" k1 ,, "), F.when(F.col("event_id") % 2 == 0, " k2").otherwise(" "))
-    return table(spark, d, "events").select("event_id", F.array_join(F.filter(F.transform(F.split(raw, ","), T.strip), lambda x: x != ""), "|").alias("parts"))
+    return table(spark, d, "events").select("event_id", F.array_join(T.secret_list(raw), "|").alias("parts"))
 
 
 @Q(f"WITH {_PAGES} SELECT source, count(*) FILTER (WHERE text <> '') AS done, count(*) FILTER (WHERE page_num NOT BETWEEN 1 AND 50) AS beyond, count(*) > 150 AS over_cap FROM pg GROUP BY 1")
 def page_caps(spark, d):
-    got = _pages(spark, d).groupBy("source")
-    return got.agg(F.count_if(T.strip("text") != "").alias("done"), F.count_if(~F.col("page_num").between(1, 50)).alias("beyond"), (F.count("*") > I.MAX_PAGES).alias("over_cap"))
+    return I.page_caps(_pages(spark, d), 50)

@@ -183,7 +183,7 @@ def source_listing(spark, d):
 
 
 @Q(f"""{_HYBRID} SELECT query_id, concat('Context excerpts:', chr(10), chr(10), string_agg(concat('[Source ', rank, ': ', title, ']', chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank),
-  chr(10), chr(10), '---', chr(10), chr(10), 'Student question: ', any_value(question), chr(10), chr(10), 'Answer the question using only the context above.') AS prompt FROM final GROUP BY query_id""")
+  chr(10), chr(10), '---', chr(10), chr(10), 'Question: ', any_value(question), chr(10), chr(10), 'Use these excerpts alone.') AS prompt FROM final GROUP BY query_id""")
 def prompt_context(spark, d):
     from ..operators.conversations import prompts
 
