@@ -141,19 +141,19 @@ def components(edges: DataFrame, keep) -> DataFrame:
     neighbour of each node, so a hub's edges are never gathered; a large hub's are dealt over tasks.
     """
     now = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = None
+    seen, n_edges = None, now.count()
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), F.least("m", "a").alias("m"))
         up = both.where("b > a")
-        large = hot_join(up, ["a"], least, ["_a"], now.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = hot_join(up, ["a"], least, ["_a"], n_edges).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), "m")
         joined = large.join(least, F.col("a") == F.col("_a"))
         now = keep(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select(F.col("_a").alias("a"), F.col("m").alias("b"))).distinct())
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sums == seen:
             break
-        seen = sums
+        seen, n_edges = sums, sums[0]
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
