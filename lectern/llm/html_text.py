@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Their content is never text of the page.
@@ -83,6 +83,24 @@ LABELLED = (
 HIDDEN = -2
 
 
+#: Elements without text of the page that a page may leave open; what follows an open one is text.
+_OFTEN_OPEN = re.compile(r"<(/?)(button|select|noscript|object|canvas|audio|video|datalist|template)\b[^>]*>", re.IGNORECASE)
+
+
+def without_open(html: str) -> str:
+    """html without start tags of such elements that no end tag closes."""
+    waiting: dict[str, list[tuple[int, int]]] = {}
+    for m in _OFTEN_OPEN.finditer(html):
+        mine = waiting.setdefault(m[2].lower(), [])
+        if not m[1]:
+            mine.append(m.span())
+        elif mine:
+            mine.pop()
+    for start, end in sorted((x for mine in waiting.values() for x in mine), reverse=True):
+        html = html[:start] + html[end:]
+    return html
+
+
 class _Blocks(HTMLParser):
     """Flat text blocks: [text, words in links, place]."""
 
@@ -135,6 +153,8 @@ class _Blocks(HTMLParser):
             return -1 if tag == "article" and names & COMMENT_NAMES else 1
         if tag in ("html", "body"):
             return outer
+        if tag == "form" and not self.blocks and all(t in ("html", "body") for t, _ in self.stack):
+            return outer  # opened before any text, round the page
         if tag in FURNITURE_TAGS and not (tag == "header" and outer > 0):
             return -1
         if names & FURNITURE_NAMES and not (tag in ("h1", "h2", "h3", "h4", "h5", "h6", "header") and outer > 0):
@@ -169,7 +189,7 @@ def blocks(html: str | None) -> list[tuple[str, int, int]]:
     if cut >= 0 and ">" not in html[cut:] and re.match(r"<[A-Za-z/!?]", html[cut:]):
         html = html[:cut]  # a page cut off inside a tag
     parser = _Blocks()
-    parser.feed(html)
+    parser.feed(without_open(html))
     parser.close()
     parser.flush()
     return parser.blocks
@@ -225,8 +245,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html; the rest is not read).
 
     Null, empty and text-less pages have an empty text. Broken and cut off mark-up is read as far as
-    it goes; nothing is cut by length. Repeated rows and null ids stay as they are.
+    it goes; nothing is cut by length. Repeated rows and null ids stay as they are, and no other column
+    is read, so none can clash. An empty table gives an empty result.
     """
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

@@ -263,7 +263,8 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, k:
     the union. component_id is the least doc_id reachable; kept says that the row has that id.
     Empty sets (null, empty, white space) link with nothing and keep their own id. Rows equal in id
     and text are kept or dropped together. Rows without an id link like others; a component of such
-    rows alone has a null component_id and is kept.
+    rows alone has a null component_id and is kept. Very long texts are hashed whole. No other column
+    is read, so none can clash. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     written = Written(spark, "neardup")

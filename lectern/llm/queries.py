@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_source_mixing": mixing.SQL,
+    "op3_ring_sharding": ring.SQL,
     "op4_decontamination": decontaminate.SQL,
     "op5_bottom_k_near_dup": near_dup.SQL,
 }

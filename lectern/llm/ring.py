@@ -111,3 +111,26 @@ def assign(docs: DataFrame, shards: int = 40, replicas: int = 128) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     out = assign(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The fold over the arcs as a recursion, an arc a step, with the rows carried on as a list.
+SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY x) AS w FROM (SELECT x, list_reduce(list_prepend(x, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(256) r(x))),
+nodes AS (SELECT s AS shard, md5(concat('node:', s, ':', v)) AS digest FROM range(40) a(s), range(128) b(v)),
+ring AS (SELECT CAST(concat('0x', substr(digest, 1, 4)) AS INT) AS arc, CAST(arg_min(shard, digest) AS INT) AS shard FROM nodes GROUP BY 1),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+  xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST(concat('0x', h) AS BIGINT))), lambda c, b: xor(w[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32,
+  md5(concat('key:', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS digest FROM documents, crc),
+k AS (SELECT *, row_number() OVER () AS id, CAST(concat('0x', substr(digest, 1, 4)) AS INT) AS cell FROM d),
+o AS (SELECT k.*, coalesce(r.arc, (SELECT min(arc) FROM ring)) AS arc FROM k ASOF LEFT JOIN ring r ON k.cell <= r.arc),
+p AS (SELECT *, row_number() OVER (PARTITION BY arc ORDER BY CAST(cell <= arc AS INT), cell, digest, doc_id, text_crc32, size) AS pos FROM o),
+a AS (SELECT arc, shard, row_number() OVER (ORDER BY arc) AS i, coalesce(ids, []) AS ids FROM ring LEFT JOIN (SELECT arc, list(id ORDER BY pos) AS ids FROM p GROUP BY arc) USING (arc)),
+turns AS (SELECT i, shard, ids FROM a UNION ALL SELECT i + (SELECT count(*) FROM a), shard, [] FROM a),
+f AS (SELECT CAST(0 AS BIGINT) AS i, (SELECT list(n // 40 + CAST(s < n % 40 AS INT) ORDER BY s) FROM range(40) r(s), (SELECT count(*) AS n FROM d)) AS room, CAST([] AS BIGINT[]) AS carry, CAST([] AS BIGINT[]) AS got, CAST(NULL AS INT) AS shard
+  UNION ALL
+  SELECT i, list_transform(room, lambda x, j: CASE WHEN j = shard + 1 THEN x - len(got) ELSE x END), list_concat(carry[fed + 1:], ids[own + 1:]), got, shard
+  FROM (SELECT *, list_concat(ids[:own], carry[:fed]) AS got FROM (SELECT t.i, t.shard, t.ids, f.room, f.carry, least(len(t.ids), f.room[t.shard + 1]) AS own, least(len(f.carry), f.room[t.shard + 1] - least(len(t.ids), f.room[t.shard + 1])) AS fed
+    FROM f JOIN turns t ON t.i = f.i + 1))),
+placed AS (SELECT unnest(got) AS id, shard FROM f WHERE len(got) > 0)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY arc, pos) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM p JOIN placed USING (id)
+"""

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import only, small_batches, table, text_or_empty
 
 MARK = "▁"
 #: Words remembered per worker in the younger of two generations; it changes no count.
@@ -76,23 +76,22 @@ class Shortcut:
         return [n + sum(map(get, keys)) for keys, n in split]
 
 
-_SHORTCUTS: dict[str, Shortcut] = {}
-
-
 def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs (doc_id, text; the rest is not read).
 
     model is the path of a sentencepiece model that every executor has. Null and empty texts have 0
-    bytes and tokens. Repeated rows and null ids are counted like any other row.
+    bytes and tokens; very long texts are counted whole. Repeated rows and null ids are counted like
+    any other row, nothing depends on an order, and no other column is read, so none can clash. An
+    empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if model not in _SHORTCUTS:
-            _SHORTCUTS[model] = Shortcut(model)
+        shortcut = only("shortcut:" + model, lambda: Shortcut(model))
         for batch in batches:
             texts, counts = batch["text"].tolist(), []
             for lo in range(0, len(texts), 1000):
-                counts += _SHORTCUTS[model].count(texts[lo : lo + 1000])
+                counts += shortcut.count(texts[lo : lo + 1000])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": counts})
 
     slim = docs.select(F.col("doc_id").cast("string"), F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), text_or_empty().alias("text"))

@@ -624,6 +624,18 @@ def test_tree_on_held_out_blocks():
     assert right >= 0.9 * len(html_text.LABELLED)
 
 
+def test_html_wrappers():
+    """Wrappers of any kind round a page leave its text; an element left open does not swallow the rest."""
+    text = ("alpha beta gamma delta " * 12).strip() + "\n\n" + ("word " * 40).strip()
+    inner = "".join(f"<p>{x}</p>" for x in text.split("\n\n"))
+    for page in (
+        f"<div class='site has-sidebar'><div>{inner}</div></div>", f"<body><form id='aspnetForm'><input>{inner}</form></body>", f"<div id='main-content' class='no-sidebar'><article>{inner}</article></div>",
+        f"<div class='page-with-header'><main>{inner}</main></div>", f"<article>{inner}<button>Share</article>", f"<body><select><option>{inner}</body>",
+    ):
+        assert html_text.main_text(page).removesuffix("\n\nShare") == text, page
+    assert html_text.main_text(f"<article><button>Share</button>{inner}<form><p>Your name</p></form></article>") == text
+
+
 def test_html_words_and_links_decide():
     """Place is one feature: inside an article links go by density, inside furniture long text stays."""
     menu = "<ul><li><a href=a>More about this</a><li><a href=b>Read that as well</a><li><a href=c>And this one</a></ul>"
