@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import decontaminate, near_dup
@@ -52,3 +53,24 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert near_dup.THRESHOLD == 0.75 and decontaminate.WINDOW == 10
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_odd_columns(spark, sf_dir):
+    """Columns named like results or inner names pass every stage with their values; rows of nulls and repeated rows break none."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(2)).unionByName(spark.createDataFrame([(None, None, None, None, None), (None, "", None, "s0", 0)], DOCS))
+    for name in ("kept", "Quality", "_leak", "_row", "_id", "node", "taken", "_label", "n", "s"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        assert out.where("kept <> 'own kept' or Quality <> 'own Quality' or _leak <> 'own _leak' or _row <> 'own _row' or node <> 'own node' or _label <> 'own _label'").count() == 0
+        assert 0 < out.count() <= 2 * docs.count()
+    assert corpus_pipeline.token_output(spark, docs, sf_dir).count() == docs.count()
