@@ -73,17 +73,22 @@ def _release() -> None:
 def hot_join(rows: DataFrame, by: list[str], other: DataFrame, on: list[str], n_rows: int, how: str = "inner") -> DataFrame:
     """rows joined (how: inner or left) to other (a row for each key at most) where by = on, with hot keys of rows dealt over SALTS tasks.
 
-    Hot is a key with more than one in HOT of n_rows, which rows has; so there are HOT of them at most.
+    Hot is a key with more than one in HOT of n_rows, which rows has; so there are HOT of them at most,
+    and their list comes to the driver. rows is a table that gives the same rows whenever it is read.
     """
-    hot = rows.groupBy(*by).agg(F.count("*").alias("_c")).where(F.col("_c") * HOT > n_rows).select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(by)]).withColumn("_hot", F.lit(True))
-    hot = F.broadcast(hot)  # HOT rows at most
+    keys = [F.col(a) == F.col(b) for a, b in zip(by, on, strict=True)]
+    names = [f"_h{i}" for i in range(len(by))]
+    hot = rows.groupBy(*by).agg(F.count("*").alias("_c")).where(F.col("_c") * HOT > n_rows).select(*[F.col(c).alias(h) for c, h in zip(by, names, strict=True)])
+    found = hot.collect()
+    if not found:
+        return rows.join(other, keys, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema).withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
     spread = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    match = lambda names: [F.col(c) == F.col(f"_h{i}") for i, c in enumerate(names)]
-    mark = [f"_h{i}" for i in range(len(by))] + ["_hot"]
-    left = rows.join(hot, match(by), "left").withColumn("_salt", salt).drop(*mark)
-    right = other.join(hot, match(on), "left").withColumn("_salt2", F.explode(spread)).drop(*mark)
-    return left.join(right, [F.col(a) == F.col(b) for a, b in zip(by, on, strict=True)] + [F.col("_salt") == F.col("_salt2")], how).drop("_salt", "_salt2")
+    match = lambda cs: [F.col(c) == F.col(h) for c, h in zip(cs, names, strict=True)]
+    left = rows.join(hot, match(by), "left").withColumn("_salt", salt).drop(*names, "_hot")
+    right = other.join(hot, match(on), "left").withColumn("_salt2", F.explode(spread)).drop(*names, "_hot")
+    return left.join(right, [*keys, F.col("_salt") == F.col("_salt2")], how).drop("_salt", "_salt2")
 
 
 def free_name(df: DataFrame, name: str) -> str:
