@@ -70,15 +70,17 @@ def _release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def hot_join(rows: DataFrame, by: list[str], other: DataFrame, on: list[str], n_rows: int, how: str = "inner") -> DataFrame:
+def hot_join(rows: DataFrame, by: list[str], other: DataFrame, on: list[str], n_rows: int, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """rows joined (how: inner or left) to other (a row for each key at most) where by = on, with hot keys of rows dealt over SALTS tasks.
 
     Hot is a key with more than one in HOT of n_rows, which rows has; so there are HOT of them at most,
     and their list comes to the driver. rows is a table that gives the same rows whenever it is read.
+    hot: the hot keys, named as in by, where they are known already.
     """
     keys = [F.col(a) == F.col(b) for a, b in zip(by, on, strict=True)]
     names = [f"_h{i}" for i in range(len(by))]
-    hot = rows.groupBy(*by).agg(F.count("*").alias("_c")).where(F.col("_c") * HOT > n_rows).select(*[F.col(c).alias(h) for c, h in zip(by, names, strict=True)])
+    hot = rows.groupBy(*by).agg(F.count("*").alias("_c")).where(F.col("_c") * HOT > n_rows) if hot is None else hot
+    hot = hot.select(*[F.col(c).alias(h) for c, h in zip(by, names, strict=True)])
     found = hot.collect()
     if not found:
         return rows.join(other, keys, how)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, line_dedup, mixing, near_dup, quality_model, quality_rules, ring, token_counts, token_files
+from . import decontaminate, html_text, line_dedup, mixing, near_dup, quality_model, quality_rules, ring, token_counts, token_files, vector_codes
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_site_quality": quality_model.query,
     "op9_token_files": token_files.query,
     "op10_main_text": html_text.query,
+    "op12_vector_codes": vector_codes.query,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op3_ring_sharding": ring.SQL,
     "op4_decontamination": decontaminate.SQL,
     "op5_bottom_k_near_dup": near_dup.SQL,
+    "op12_vector_codes": vector_codes.SQL,
 }
