@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, erasure, html_text, line_dedup, mixing, near_dup, quality_model, quality_rules, ring, token_counts, token_files, vector_codes
+from . import decontaminate, erasure, html_text, line_dedup, mixing, near_dup, quality_model, quality_rules, ring, substring_dedup, token_counts, token_files, vector_codes
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_site_quality": quality_model.query,
     "op9_token_files": token_files.query,
     "op10_main_text": html_text.query,
+    "op11_suffix_dedup": substring_dedup.query,
     "op12_vector_codes": vector_codes.query,
     "op13_cascading_erasure": erasure.query,
 }
