@@ -16,15 +16,14 @@ SECTION_LINE = r"^\d+\.\d+(?:\.\d+)?\s+[A-Z][a-z].{1,69}$"
 FORM_TITLE = r"^[A-Z][A-Z0-9 &/()',.\-]{7,}$"
 FAQ_START = r"(?md)(?=^\s*\d+\.\s+.+\?\s*$)"
 FOLLOWUP_WORDS = ("it", "that", "this", "next", "then", "also", "too", "again", "and")
+THINK = r"(?is)<think\b[^>]*>.*?(?:</think\s*>|\z)"
+THINK_PAGED = rf"(?is)<think\b(?:(?!{PAGE_MARKER})[^>])*>.*?(?:</think\s*>|(?={PAGE_MARKER})|\z)"
 MIN_FAQ_ENTRIES = 3
 MIN_BODY_CHARS = 10
 MIN_NATIVE_CHARS = 20
 TITLE_CHARS = 45
 SHORT_LINE_CHARS = 35
 
-_THINK = r"(?is)<think\b[^>]*>.*?(?:</think\s*>|\z)"
-_THINK_PAGED = rf"(?is)<think\b(?:(?!{PAGE_MARKER})[^>])*>.*?(?:</think\s*>|(?={PAGE_MARKER})|\z)"
-
 
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -41,12 +40,12 @@ def newlines(c) -> Column:
 
 def strip_thinking(c) -> Column:
     """Without reasoning blocks; an unclosed one goes to the end. Null gives an empty text."""
-    return F.regexp_replace(F.coalesce(col(c), F.lit("")), _THINK, "")
+    return F.regexp_replace(F.coalesce(col(c), F.lit("")), THINK, "")
 
 
 def strip_thinking_paged(c) -> Column:
     """Without reasoning blocks; none reaches over a page marker."""
-    return F.regexp_replace(col(c), _THINK_PAGED, "")
+    return F.regexp_replace(col(c), THINK_PAGED, "")
 
 
 def without_hashes(c) -> Column:

@@ -1,16 +1,14 @@
 """Page transcription: the loop over a document's pages, calls with retry and key rotation, uploads.
 
 The loop decides page after page; here its order is a window over each source, so a batch of documents
-is one plan. Calls to hosted models are functions that the caller injects; they run over the pages
-that want one, once each, before the loop decides which results count.
+is one plan over what calls gave. ``page_loop`` makes the calls themselves, one at a time for a source.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +36,7 @@ def call(function: Callable, item, attempts: int = ATTEMPTS, backoff: float = BA
 
 
 class Keys:
-    """Calls with the first key that is not used up: a refused one gives way to the next for good."""
+    """Calls with the first key that is not used up: a refused one gives way to the next for good, the last stays."""
 
     def __init__(self, keys: Sequence[str]):
         if not keys:
@@ -46,30 +44,14 @@ class Keys:
         self.keys, self.at = list(keys), 0
 
     def call(self, function: Callable, item):
-        """function(key, item); raises RateLimited once every key has been refused."""
-        while self.at < len(self.keys):
+        """function(key, item); raises RateLimited where the last key is refused."""
+        while True:
             try:
                 return function(self.keys[self.at], item)
             except RateLimited:
+                if self.at + 1 == len(self.keys):
+                    raise
                 self.at += 1
-        raise RateLimited("every key has been refused")
-
-
-def with_calls(pages: DataFrame, wants: Column, item: str, function: Callable, keys: Sequence[str] = ("",), attempts: int = ATTEMPTS, backoff: float = BACKOFF_S) -> DataFrame:
-    """pages with vision_text and exhausted: function(key, value of item) for the rows that want it, null for the rest.
-
-    A task keeps its own place in the list of keys. Reasoning blocks are taken out of what comes back.
-    """
-
-    @F.pandas_udf("vision_text string, exhausted boolean")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        pool = Keys(keys)
-        for wanted, items in batches:
-            rows = [call(lambda x: pool.call(function, x), x, attempts, backoff) if w else (None, None) for w, x in zip(wanted, items, strict=True)]
-            yield pd.DataFrame(rows, columns=["vision_text", "exhausted"], dtype="object")
-
-    out = pages.withColumn("_call", run(F.coalesce(wants, F.lit(False)), F.col(item)))
-    return out.withColumns({"vision_text": F.when(F.col("_call.vision_text").isNotNull(), T.strip(T.strip_thinking("_call.vision_text"))), "exhausted": F.coalesce("_call.exhausted", F.lit(False))}).drop("_call")
 
 
 def wants_vision() -> Column:
@@ -84,9 +66,9 @@ def transcribe(pages: DataFrame, checkpoint: DataFrame, budget: int = ingest.MAX
     pages: source, page_num, native_text, ocr_text, n_columns, significant, vision_text, exhausted
     (what a call gave, null where none can be made). checkpoint: source, page_num, text, tier of an
     earlier run; its pages are resumed, and its vision pages count to the budget. Status is refused for
-    all pages of a source of more than max_pages, done, resumed, or paused: from the first call that
-    finds the quota used up on, unless degrade, which goes on with local text. A failed call costs no
-    budget. checkpoint says that the state is saved after the page. Null texts are empty; pages or
+    all pages of a source of more than max_pages, resumed for those of the checkpoint, else done, or paused
+    from the first call that finds the quota used up on, unless degrade, which goes on with local text. A
+    failed call costs no budget. checkpoint says that the state is saved after the page. Null texts are empty; pages or
     checkpoint rows that occur twice count once, the last by tier and text.
     """
     pages = pages.groupBy("source", "page_num").agg(*[F.max_by(c, F.struct("native_text", "ocr_text", "vision_text")).alias(c) for c in ("native_text", "ocr_text", "n_columns", "significant", "vision_text", "exhausted")])
@@ -105,7 +87,7 @@ def transcribe(pages: DataFrame, checkpoint: DataFrame, budget: int = ingest.MAX
     rows = rows.withColumn("_stop", F.min(F.when(F.col("_tried") & F.coalesce("exhausted", F.lit(False)), F.col("page_num"))).over(whole))
     late = F.coalesce(F.col("page_num") >= F.col("_stop"), F.lit(False))
     vision = F.col("_tried") & ~late & seen
-    status = F.when(F.count("*").over(whole) > max_pages, "refused").when(late & F.lit(not degrade), "paused").when(~todo, "resumed").otherwise("done")
+    status = F.when(F.count("*").over(whole) > max_pages, "refused").when(~todo, "resumed").when(late & F.lit(not degrade), "paused").otherwise("done")
     rows = rows.withColumns({"status": status, "_vision": vision})
     tier = F.when(F.col("status").isin("refused", "paused"), F.lit(None)).when(F.col("status") == "resumed", F.col("_done.tier")).when(F.col("_vision"), 3).when(plain, 1).otherwise(2).cast("int")
     rows = rows.withColumn("tier", tier)
@@ -118,14 +100,16 @@ def outcomes(pages: DataFrame) -> DataFrame:
     """(source, state, pages_done, total_pages, vision_pages_used, ocr_pages, native_text_pages, resumed, markdown) of what transcribe gave.
 
     state is refused, paused, blank (no page has text) or done; markdown is there for done ones alone.
+    Of a paused source all pages of its checkpoint are done, and vision_pages_used, ocr_pages and native_text_pages count up to the stop.
     """
     there = F.col("status").isin("done", "resumed")
     marked = F.concat(F.lit("<!-- Page "), F.col("page_num").cast("string"), F.lit(" -->\n\n"), T.strip_thinking("text"))
     got = pages.groupBy("source").agg(
-        F.count("*").alias("total_pages"), F.count_if(there).alias("pages_done"), F.count_if(F.col("tier") == 3).alias("vision_pages_used"), F.count_if(F.col("tier") == 2).alias("ocr_pages"),
-        F.count_if(F.col("tier") == 1).alias("native_text_pages"), (F.count_if(F.col("status") == "resumed") > 0).alias("resumed"), F.max(F.col("status") == "refused").alias("_refused"), F.max(F.col("status") == "paused").alias("_paused"),
-        F.max(F.length(T.strip(F.coalesce("text", F.lit("")))) > 0).alias("_some"), F.array_sort(F.collect_list(F.struct("page_num", marked.alias("m")))).alias("_pages"),
+        F.count("*").alias("total_pages"), F.count_if(there).alias("pages_done"), F.min(F.when(F.col("status") == "paused", F.col("page_num"))).alias("_stop"), (F.count_if(F.col("status") == "resumed") > 0).alias("resumed"), F.max(F.col("status") == "refused").alias("_refused"), F.max(F.col("status") == "paused").alias("_paused"),
+        F.max(F.length(T.strip(F.coalesce("text", F.lit("")))) > 0).alias("_some"), F.array_sort(F.collect_list(F.struct("page_num", marked.alias("m"), "tier"))).alias("_pages"),
     )
+    of_tier = lambda n: F.size(F.filter("_pages", lambda x: (x["tier"] == n) & (F.col("_stop").isNull() | (x["page_num"] < F.col("_stop"))))).cast("long")
+    got = got.withColumns({"vision_pages_used": of_tier(3), "ocr_pages": of_tier(2), "native_text_pages": of_tier(1)})
     state = F.when(F.col("_refused"), "refused").when(F.col("_paused"), "paused").when(~F.col("_some"), "blank").otherwise("done")
     got = got.withColumn("state", state)
     markdown = F.when(F.col("state") == "done", F.array_join(F.transform("_pages", lambda x: x["m"]), ingest.PAGE_JOIN))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -42,6 +43,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents as chunks: the title is the start of the first line."""
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.substring(F.split("text", "\n")[0], 1, 80).alias("title"), "text")

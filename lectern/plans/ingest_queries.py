@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ingest as I
+from ..operators import page_loop
 from ..operators import transcription as X
 from ..sources import checkpoints
-from .base import Queries, table
+from ..streaming import page_loop as stream_loop
+from .base import Queries, scratch, setting, table
 
 Q = Queries()
 
@@ -69,16 +71,16 @@ def page_markdown_assemble(spark, d):
 #: Pages of a document with what extraction, OCR and a vision call would give; a checkpoint of an earlier run.
 _LOOP = f"""{_PAGES},
 p AS (SELECT source, page_num, CASE WHEN event_id % 3 = 0 THEN concat(' ', event_id, ' words of a page with native text ') ELSE 'short' END AS native, CASE WHEN event_id % 13 = 0 THEN '' ELSE concat('ocr ', event_id) END AS ocr,
-  event_id % 3 AS n_columns, event_id % 5 = 0 AS significant, CASE WHEN event_id % 17 = 0 THEN '' ELSE concat('seen ', event_id) END AS seen, event_id % 41 = 0 AS exhausted, event_id % 7 = 0 AND page_num < 8 AS resumed, CAST(event_id % 3 + 1 AS INT) AS done_tier FROM pg),
+  event_id % 3 AS n_columns, event_id % 5 = 0 AS significant, CASE WHEN event_id % 17 = 0 THEN '' ELSE concat('seen ', event_id) END AS seen, event_id % 41 = 0 AS exhausted, event_id % 7 = 0 AND page_num < 30 AS resumed, CAST(event_id % 3 + 1 AS INT) AS done_tier FROM pg),
 w AS (SELECT *, trim(native) AS nat, NOT resumed AND (significant OR (length(trim(native)) < 20 AND n_columns >= 2)) AS wants FROM p),
 u AS (SELECT *, wants AND coalesce(sum(CASE WHEN resumed THEN CAST(done_tier = 3 AS INT) ELSE CAST(wants AND seen <> '' AND NOT exhausted AS INT) END) OVER (PARTITION BY source ORDER BY page_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 5 AS tried FROM w),
 st AS (SELECT *, coalesce(page_num >= min(page_num) FILTER (WHERE tried AND exhausted) OVER (PARTITION BY source), false) AS late, count(*) OVER (PARTITION BY source) AS total FROM u),
-done AS (SELECT *, CASE WHEN total > 60 THEN 'refused' WHEN late AND {{pause}} THEN 'paused' WHEN resumed THEN 'resumed' ELSE 'done' END AS status FROM st),
+done AS (SELECT *, CASE WHEN total > 60 THEN 'refused' WHEN resumed THEN 'resumed' WHEN late AND {{pause}} THEN 'paused' ELSE 'done' END AS status FROM st),
 tr AS (SELECT *, CAST(CASE WHEN status IN ('refused', 'paused') THEN NULL WHEN status = 'resumed' THEN done_tier WHEN tried AND NOT late AND seen <> '' THEN 3 WHEN NOT significant AND length(nat) >= 20 THEN 1 ELSE 2 END AS INT) AS tier FROM done),
 tx AS (SELECT *, CASE WHEN status = 'resumed' THEN concat('old ', page_num) WHEN tier = 3 THEN seen WHEN tier = 1 THEN nat WHEN tier = 2 THEN coalesce(nullif(ocr, ''), nat) END AS text FROM tr)"""
 
 
-def _loop(spark, d, degrade):
+def _loop_tables(spark, d):
     e = F.col("event_id")
     s = e.cast("string")
     raw = _pages(spark, d)
@@ -86,8 +88,48 @@ def _loop(spark, d, degrade):
         "source", "page_num", F.when(e % 3 == 0, F.concat(F.lit(" "), s, F.lit(" words of a page with native text "))).otherwise(F.lit("short")).alias("native_text"), F.when(e % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("ocr "), s)).alias("ocr_text"),
         (e % 3).alias("n_columns"), (e % 5 == 0).alias("significant"), F.when((e % 17 == 0) | (e % 41 == 0), F.lit("")).otherwise(F.concat(F.lit("seen "), s)).alias("vision_text"), (e % 41 == 0).alias("exhausted"),
     )
-    old = raw.where((e % 7 == 0) & (F.col("page_num") < 8)).select("source", "page_num", F.concat(F.lit("old "), F.col("page_num").cast("string")).alias("text"), (e % 3 + 1).cast("int").alias("tier"))
-    return X.transcribe(pages, old, 5, 60, degrade)
+    old = raw.where((e % 7 == 0) & (F.col("page_num") < 30)).select("source", "page_num", F.concat(F.lit("old "), F.col("page_num").cast("string")).alias("text"), (e % 3 + 1).cast("int").alias("tier"))
+    return pages, old
+
+
+def _loop(spark, d, degrade):
+    return X.transcribe(*_loop_tables(spark, d), 5, 60, degrade)
+
+
+def _answer(key: str, item: str) -> str:
+    """Stands in for a hosted model: refuses one item."""
+    if item == "refuse":
+        raise X.RateLimited
+    return item
+
+
+def _asking(spark, d):
+    """Pages that have to be called for, and the checkpoint."""
+    pages, old = _loop_tables(spark, d)
+    item = F.when(F.col("exhausted"), "refuse").otherwise(F.col("vision_text"))
+    return pages.withColumn("item", item).drop("vision_text", "exhausted"), old
+
+
+@Q()
+def page_loop_calls(spark, d):
+    """The page loop with its calls made in turn; the rows are those of page_loop_pause. Writes its results."""
+    pages, old = _asking(spark, d)
+    return page_loop.transcribe_calling(pages, old, _answer, ["key"], scratch(spark, "calls"), page_loop.Limits(5, 60), attempts=1).drop("called")
+
+
+@Q()
+def page_loop_stream(spark, d):
+    """The same over a stream: pages arrive in three files, the later ones first. Writes its results."""
+    pages, old = _asking(spark, d)
+    folder = scratch(spark, "loop")
+    total = pages.groupBy("source").agg(F.count("*").cast("int").alias("total_pages"))
+    pages.join(total, "source").withColumn("part", 2 - F.col("page_num") % 3).write.partitionBy("part").parquet(f"{folder}/in")
+    schema = spark.read.parquet(f"{folder}/in").drop("part").schema
+    with setting(spark, *stream_loop.STATE_STORE):
+        arriving = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 3).parquet(f"{folder}/in")
+        done = stream_loop.transcribe_stream(arriving, old, _answer, ["key"], page_loop.Limits(5, 60), attempts=1, timer=False)
+        done.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(page_loop.RESULT).parquet(f"{folder}/out").drop("called")
 
 
 _LOOP_OUT = "SELECT source, page_num, status, tier, text, status = 'done' AND (tier = 3 OR page_num % 10 = 0) AS checkpoint FROM tx"
@@ -103,10 +145,11 @@ def page_loop_degrade(spark, d):
     return _loop(spark, d, True)
 
 
-_OUTCOME = """oc AS (SELECT source, count(*) AS total_pages, count(*) FILTER (WHERE status IN ('done', 'resumed')) AS pages_done, count(*) FILTER (WHERE tier = 3) AS vision_pages_used, count(*) FILTER (WHERE tier = 2) AS ocr_pages,
-  count(*) FILTER (WHERE tier = 1) AS native_text_pages, count(*) FILTER (WHERE status = 'resumed') > 0 AS resumed,
+_OUTCOME = """sp AS (SELECT *, coalesce(page_num < min(page_num) FILTER (WHERE status = 'paused') OVER (PARTITION BY source), true) AS before FROM tx),
+oc AS (SELECT source, count(*) AS total_pages, count(*) FILTER (WHERE status IN ('done', 'resumed')) AS pages_done, count(*) FILTER (WHERE tier = 3 AND before) AS vision_pages_used, count(*) FILTER (WHERE tier = 2 AND before) AS ocr_pages,
+  count(*) FILTER (WHERE tier = 1 AND before) AS native_text_pages, count(*) FILTER (WHERE status = 'resumed') > 0 AS resumed,
   CASE WHEN bool_or(status = 'refused') THEN 'refused' WHEN bool_or(status = 'paused') THEN 'paused' WHEN max(length(trim(coalesce(text, '')))) = 0 THEN 'blank' ELSE 'done' END AS state,
-  string_agg(concat('<!-- Page ', page_num, ' -->', chr(10), chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY page_num) AS md FROM tx GROUP BY source)"""
+  string_agg(concat('<!-- Page ', page_num, ' -->', chr(10), chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY page_num) AS md FROM sp GROUP BY source)"""
 
 
 @Q(f"""WITH {_LOOP.format(pause='true')}, {_OUTCOME}

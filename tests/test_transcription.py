@@ -45,18 +45,6 @@ def test_keys_rotate_for_good():
         X.Keys([])
 
 
-def test_calls_run_where_wanted(spark):
-    df = spark.createDataFrame([(1, "p1", True), (2, "p2", False), (3, "bad", True), (4, "p4", None)], "page_num int, image string, w boolean")
-
-    def function(key, item):
-        if item == "bad":
-            raise X.RateLimited
-        return f"<think>hm</think> {key}:{item} "
-
-    got = {r.page_num: (r.vision_text, r.exhausted) for r in X.with_calls(df, F.col("w"), "image", function, ["k"], attempts=2, backoff=0).collect()}
-    assert got == {1: ("k:p1", False), 2: (None, False), 3: ("", True), 4: (None, False)}
-
-
 def test_page_loop(spark):
     native = "a page with native text"
     rows = [("d", 1, native, None, 1, False, None, None), ("d", 2, "", "ocr", 1, False, None, None), ("d", 3, None, None, 2, False, "seen", False), ("d", 4, native, "o", 1, True, "", True), ("d", 5, native, "o", 1, True, "late", False), ("d", 5, native, "o", 1, True, "late", False)]
@@ -68,6 +56,11 @@ def test_page_loop(spark):
     assert got(max_pages=4) == [(p, "refused", None, None) for p in range(1, 6)]
     old = spark.createDataFrame([("d", 4, "kept", 3)], DONE)
     assert got(old=old, budget=2) == [*first, (4, "resumed", 3, "kept"), (5, "done", 2, "o")]
+    # What the checkpoint has after the stop stays.
+    later = spark.createDataFrame([("d", 5, "kept", 3)], DONE)
+    assert got(old=later) == [*first, (4, "paused", None, None), (5, "resumed", 3, "kept")]
+    out = X.outcomes(X.transcribe(pages, later)).first()
+    assert (out.state, out.pages_done, out.resumed, out.vision_pages_used) == ("paused", 4, True, 1)
     states = {r.state for r in X.outcomes(X.transcribe(pages, none)).collect()}
     assert states == {"paused"} and X.transcribe(pages.limit(0), none).count() == 0
     assert X.outcomes(X.transcribe(pages, old)).first().markdown.startswith("<!-- Page 1 -->")
