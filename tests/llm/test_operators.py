@@ -637,10 +637,11 @@ def test_html_wrappers():
 
 
 def test_html_words_and_links_decide():
-    """Place is one feature: inside an article links go by density, inside furniture long text stays."""
+    """Outside an article links and words decide; an article is whole, and furniture that names itself is shut."""
     menu = "<ul><li><a href=a>More about this</a><li><a href=b>Read that as well</a><li><a href=c>And this one</a></ul>"
     text = "word " * 40
-    assert html_text.main_text(f"<article><p>{text}</p><div>{menu}</div><p>{text}</p></article>") == f"{text.strip()}\n\n{text.strip()}"
+    assert html_text.main_text(f"<div><p>{text}</p><div>{menu}</div><p>{text}</p></div>") == f"{text.strip()}\n\n{text.strip()}"
+    assert html_text.main_text(f"<article><p>{text}</p><h2>Sources</h2>{menu}</article>").endswith("Sources\n\nMore about this\n\nRead that as well\n\nAnd this one")
     assert html_text.main_text(f"<article><p>{text}</p><p><a href=x>See the source</a></p><p>{text}</p></article>").count("\n\n") == 2
     # An article inside a wrapper of any name is an article; names are whole class names.
     assert html_text.main_text(f"<div class='sidebar'><article><p>One line.</p><p>{text}</p></article></div>") == f"One line.\n\n{text.strip()}"
@@ -654,7 +655,54 @@ def test_html_words_and_links_decide():
         if isinstance(node := nodes.pop(), tuple):
             used.add(node[0])
             nodes += node[2:]
-    assert {0, 1, 3, 5, 6} <= used
+    assert {0, 1, 6} <= used and used & {3, 5}
+
+
+LONG = "word " * 150
+
+
+@pytest.mark.parametrize("furniture", ["<section id=comments><p>{}</p></section>", "<div class=comment-body>{}</div>", "<div class='cookie-notice'>{}</div>", "<div class=ad><p>{}</p></div>", "<footer>{}</footer>", "<form><p>{}</p></form>", "<div id=comments><article><p>{}</p></article></div>", "<article class=comment>{}</article>", "<div class='related-articles'><p>{}</p></div>", "<aside>{}</aside>", "<nav><p>{}</p></nav>", "<div role=banner>{}</div>", "<span style='display:none'>{}</span>", "<p><b hidden>{}</b></p>", "<script>{}</script>"])
+def test_long_furniture_is_no_text(furniture):
+    """Whatever its length, beside an article, inside it, and on a page without one."""
+    for page in ("<body><article><h1>Head</h1><p>Body of it.</p></article>{}</body>", "<body>{}<article><h1>Head</h1><p>Body of it.</p></article></body>", "<body><article><h1>Head</h1><p>Body of it.</p>{}</article></body>", "<body><div><h1>Head</h1><p>Body of it.</p></div>{}</body>"):
+        assert html_text.main_text(page.format(furniture.format(LONG))) == "Head\n\nBody of it."
+
+
+def test_short_pages_and_headings_stay():
+    assert html_text.main_text("<body><p>Hello world.</p></body>") == "Hello world."
+    assert html_text.main_text("<div><h1>Title here</h1><p>Short text of five.</p><p>Here are nine words that make up one block.</p></div>") == "Title here\n\nShort text of five.\n\nHere are nine words that make up one block."
+    assert html_text.main_text(f"<div class=post><h2>A heading</h2><p>{LONG}</p><h2>Another</h2><p>Few.</p></div>") == f"A heading\n\n{LONG.strip()}\n\nAnother\n\nFew."
+    assert html_text.main_text("<p>seen <span hidden>not <span>this</span> nor this</span> again</p>") == "seen again"
+    assert html_text.main_text("<p>seen <span hidden>left open</p><p>next</p>") == "seen\n\nnext"
+
+
+def test_pages_of_known_parts():
+    """Pages put together from article parts and furniture: whole texts are compared."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    wrong = 0
+    for _ in range(200):
+        parts, html = [], []
+        for _ in range(rng.randint(1, 8)):
+            t = prose(rng.choice([1, 3, 12, 60, 200]))
+            parts.append(t)
+            html.append(rng.choice(["<p>{}</p>", "<h2>{}</h2>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li></ul>", "<pre>{}</pre>", "<div>{}</div>"]).format(t))
+        odd = [rng.choice(["<div class='ad'>{}</div>", "<form>{}</form>", "<div class='comment'>{}</div>", "<aside><p>{}</p></aside>", "<div class='newsletter'>{}</div>"]).format(prose(rng.choice([2, 40, 200]))) for _ in range(4)]
+        inner = "".join(html[:1] + odd[:1] + html[1:] + odd[1:2])
+        tag = rng.choice(["article", "main", "div class=post"])
+        page = f"<html><head><title>{word()}</title></head><body><header><a href=/>{word()}</a></header><nav><ul><li><a href=x>{word()}</a></ul></nav>{odd[2]}<{tag}>{inner}</{tag.split()[0]}>{odd[3]}<footer>{prose(30)}</footer></body></html>"
+        wrong += html_text.main_text(page) != "\n\n".join(parts)
+    assert wrong == 0
+
+
+def test_deep_pages_are_linear():
+    import time
+
+    began = time.process_time()
+    assert html_text.main_text("<div>" * 20_000 + "deep text" + "</div>" * 20_000) == "deep text"
+    assert html_text.main_text("<div>" * 6_000 + "</span></section>" * 6_000 + "x") == "x" and html_text.main_text("<button>" * 9_000 + "x") == "x"
+    assert time.process_time() - began < 3
 
 
 # Empty tables
