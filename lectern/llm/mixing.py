@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, cap:
     total, weight = F.sum(F.col("source_size").cast("double")).over(every), F.sum("_w").over(every)
     level = (share * total - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (weight - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
     ranked = ranked.withColumn("_level", level).withColumn("_open", F.col("_level") < F.col("_cap") / F.col("_w"))
-    ranked = ranked.withColumn("_level", F.min_by(F.when(F.col("_open"), F.col("_level")), F.when(F.col("_open"), F.col("_cap") / F.col("_w"))).over(every))
+    ranked = ranked.withColumn("_level", F.min_by(F.when(F.col("_open"), F.col("_level")), F.when(F.col("_open"), F.struct(F.col("_cap") / F.col("_w"), F.col("_rank")))).over(every))
     return ranked.select("source", "source_size", F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_level") * F.col("_w"))).alias("target"))
 
 
@@ -59,6 +59,22 @@ def _keyed(docs: DataFrame, seed: int, buckets: int, weight: Column | None) -> D
     return keyed.withColumn("_bucket", F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor((F.log2("_key") + 53.0) * (buckets / 79.0)).cast("int"))))
 
 
+def _tied(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan with _to: the number (_at) of the last of the _m rows at _part that are taken.
+
+    Numbers ascend by the task that wrote them, so the task in which the m-th lies is found by counts, and only
+    its rows are ordered.
+    """
+    at = rows.select("source", F.struct("_key", "doc_id", "_size").alias("_place"), "_at").join(F.broadcast(plan.where("_part is not null").select(F.col("_s").alias("_s2"), "_part", "_m")), F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_place") == F.col("_part")))
+    at = at.select("source", "_at", "_m", F.shiftright("_at", 33).alias("_task"))
+    tasks = at.groupBy("source", "_task").agg(F.count("*").alias("_n"), F.first("_m").alias("_m"))
+    upto = F.sum("_n").over(Window.partitionBy("source").orderBy("_task"))
+    tasks = tasks.withColumn("_k", F.col("_m") - upto + F.col("_n")).where((F.col("_k") > 0) & (F.col("_k") <= F.col("_n"))).select(F.col("source").alias("_s2"), F.col("_task").alias("_t2"), "_k")
+    found = at.drop("_m").join(tasks, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_task") == F.col("_t2")))
+    found = found.withColumn("_r", F.row_number().over(Window.partitionBy("source", "_task").orderBy("_at"))).where("_r = _k").select(F.col("source").alias("_s2"), F.col("_at").alias("_to"))
+    return plan.join(found, F.col("_s").eqNullSafe(F.col("_s2")), "left").drop("_s2")
+
+
 def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, cap: float = 3.0, seed: int = 7, buckets: int = 65_536, weight: Column | None = None, slim: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and row for every document.
 
@@ -67,14 +83,17 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, cap: float
     size counts words; a null or empty text has 0 and takes 0. Sources in code point order, null
     last, weigh ``weights`` repeating and share ``share`` of all words; no target is above ``cap``
     times its source. A document counts to the budget where its middle lies within it, so a source
-    misses its target by half a document at most. Rows equal in id and size tie and go together; rows
-    without an id draw by their text. Texts are read whole. An empty table gives an empty result.
+    misses its target by half a document at most. Of rows equal in id, size and key as many are taken
+    as the budget holds, whichever they are; rows without an id draw by their text. Texts are read
+    whole. An empty table gives an empty result.
     """
     row = [] if slim else [F.struct(*[F.col(c) for c in docs.columns]).alias("row")]
     given = [] if weight is None else [weight.cast("double").alias("_weight")]
     keyed = _keyed(docs.select("doc_id", "text", "source", *given, *row), seed, buckets, None if weight is None else F.col("_weight")).drop("text", "_weight")
+    written = Written(docs.sparkSession, "mix")
+    # A row's number is stored with it: it tells equal rows apart.
     facts = keyed.select("doc_id", "source", "_size", "_key", "_bucket")
-    facts = Written(docs.sparkSession, "mix").keep(facts)
+    facts = written.keep(facts.withColumn("_at", F.monotonically_increasing_id()) if slim else facts)
     if slim:
         keyed = facts
     sums = facts.groupBy("source", "_bucket").agg(F.sum("_size").alias("_sum"))
@@ -87,16 +106,33 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, cap: float
     last = run.groupBy("source").agg(F.max("_bucket").alias("_last"), F.max_by("_before", "_bucket").alias("_base"), F.first("_rest").alias("_rest"))
     edge = facts.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_last")))
     place = F.struct("_key", "doc_id", "_size")
-    edge = edge.withColumn("_place", place)
-    edge = edge.withColumn("_upto", F.sum("_size").over(Window.partitionBy("source").orderBy("_place")))
-    cut = edge.where(F.col("_base") + F.col("_upto") - F.col("_size") / 2.0 <= F.col("_rest")).groupBy("source").agg(F.max("_place").alias("_cut"))
+    # Equal rows are one row with their number: m of them lie within the budget.
+    edge = edge.groupBy("source", place.alias("_place")).agg(F.count("*").alias("_n"), F.first("_base").alias("_base"), F.first("_rest").alias("_rest"))
+    size = F.col("_place._size")
+    order = Window.partitionBy("source").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("_begin", F.col("_base") + F.coalesce(F.sum(size * F.col("_n")).over(order), F.lit(0)))
+    fits = lambda m: F.col("_begin") + m * size - size / 2.0 <= F.col("_rest")
+    near = F.greatest(F.lit(0), F.least(F.col("_n"), F.floor((F.col("_rest") - F.col("_begin")) / size + 0.5))).cast("long")
+    edge = edge.withColumn("_m", F.when(size == 0, F.when(F.col("_begin") <= F.col("_rest"), F.col("_n")).otherwise(0)).otherwise(near))
+    # The quotient may have been rounded over the border.
+    m = F.col("_m") + F.when((size > 0) & (F.col("_m") < F.col("_n")) & fits(F.col("_m") + 1), 1).otherwise(0) - F.when((size > 0) & (F.col("_m") > 0) & ~fits(F.col("_m")), 1).otherwise(0)
+    edge = edge.withColumn("_m", m)
+    part = (F.col("_m") > 0) & (F.col("_m") < F.col("_n"))
+    cut = edge.groupBy("source").agg(F.max(F.when(F.col("_m") == F.col("_n"), F.col("_place"))).alias("_cut"), F.max(F.when(part, F.struct("_place", "_m"))).alias("_part"))
     plan = goal.join(last.select(F.col("source").alias("_s"), "_last"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    plan = plan.join(cut.select(F.col("source").alias("_s"), "_cut"), F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_s"), "source_size", "target", "_epochs", "_last", "_cut")
-    plan = Written(docs.sparkSession, "mix").keep(plan)
+    plan = plan.join(cut.select(F.col("source").alias("_s"), "_cut", "_part"), F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_s"), "source_size", "target", "_epochs", "_last", "_cut", F.col("_part._place").alias("_part"), F.col("_part._m").alias("_m"))
+    plan = written.keep(plan)
+    if plan.where("_part is not null").isEmpty():
+        plan = plan.withColumn("_to", F.lit(None).cast("long"))
+        keyed = keyed if slim else keyed.withColumn("_at", F.lit(0).cast("long"))
+    else:
+        if not slim:
+            keyed = written.keep(keyed.withColumn("_at", F.monotonically_increasing_id()))
+        plan = _tied(keyed, plan)
     out = keyed.join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    more = F.coalesce(F.col("_bucket") < F.col("_last"), F.lit(False)) | F.coalesce((F.col("_bucket") == F.col("_last")) & (place <= F.col("_cut")), F.lit(False))
+    more = F.coalesce(F.col("_bucket") < F.col("_last"), F.lit(False)) | F.coalesce((F.col("_bucket") == F.col("_last")) & (place <= F.col("_cut")), F.lit(False)) | F.coalesce((place == F.col("_part")) & (F.col("_at") <= F.col("_to")), F.lit(False))
     out = out.withColumn("taken", F.col("_size") * (F.col("_epochs") + more.cast("long"))).withColumn("_copies", F.col("_epochs") + more.cast("long"))
-    return out.withColumnRenamed("_size", "size").drop("_s", "_key", "_bucket", "_last", "_cut", "_epochs")
+    return out.withColumnRenamed("_size", "size").drop("_s", "_key", "_bucket", "_last", "_cut", "_epochs", "_part", "_m", "_to", "_at")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -123,11 +159,11 @@ r AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) %
              3.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM s),
 l AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lev
       FROM r WINDOW b AS (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g AS (SELECT source, source_size, least(cap, w * (SELECT arg_min(lev, cap / w) FROM l WHERE lev < cap / w)) AS t0, cap FROM l),
+g AS (SELECT source, source_size, least(cap, w * (SELECT lev FROM l WHERE lev < cap / w ORDER BY cap / w, rk LIMIT 1)) AS t0, cap FROM l),
 t AS (SELECT source, source_size, coalesce(t0, cap) AS target FROM g),
 c AS (SELECT d.*, t.source_size, t.target,
              CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS e,
-             sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size) AS upto
+             sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(size * (e + CASE WHEN target - e * source_size > 0 AND upto - size / 2.0 <= target - e * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken

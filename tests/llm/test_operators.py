@@ -106,6 +106,22 @@ def test_mix_keeps_columns(clashing):
     assert mixing.mixed(clashing).count() > 0
 
 
+def test_mixing_splits_equal_rows(spark):
+    """1,000 rows of one id and size take their target within one of them, also next to rows of other ids and a null one."""
+    rows = [(7, "a b c", "x")] * 1000 + [(8, "a b", "y")] * 400 + [(i, "one two three four", "y") for i in range(100, 200)] + [(None, "n " * 5, None)] * 300 + [(None, "", None)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for weights in ((5.0, 2.0, 1.0), (1.0, 1.0, 9.0), (3.0, 1.0, 0.2)):
+        got = mixing.mix(docs, weights=weights, slim=True)
+        for r in got.groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t"), F.max("size").alias("s")).collect():
+            assert abs(r.n - r.t) <= r.s and r.n >= 0, r
+        again = sorted(map(str, got.select("doc_id", "size", "taken").collect()))
+        assert again == sorted(map(str, mixing.mix(docs.coalesce(1), weights=weights, slim=True).select("doc_id", "size", "taken").collect()))
+        taken = mixing.mixed(docs, weights=weights)
+        words = {r.source: r.n for r in taken.groupBy("source").agg(F.sum(common.word_count()).alias("n")).collect()}
+        assert words == {r.source: r.n for r in got.groupBy("source").agg(F.sum("taken").alias("n")).collect() if r.n}
+
+
+
 # Sharding
 
 
