@@ -37,7 +37,7 @@ LENGTH, CONTEXT = 400, 64
 #: Windows of a range, coarse to fine; the last has to be 1.
 WIDTHS = (48, 8, 1)
 #: Holders of a common string that one task sorts at most; tuples that it sorts together.
-GROUP, TOGETHER = 20_000, 20_000
+GROUP, TOGETHER = 1_000, 20_000
 #: Windows of a text that are in memory together.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
