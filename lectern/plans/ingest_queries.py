@@ -9,6 +9,7 @@ from ..operators import ingest as I
 from ..operators import page_loop
 from ..operators import transcription as X
 from ..sources import checkpoints
+from ..sources.content_store import ContentStore
 from ..streaming import page_loop as stream_loop
 from .base import Queries, scratch, setting, table
 
@@ -262,3 +263,17 @@ def secret_list(spark, d):
 @Q(f"WITH {_PAGES} SELECT source, count(*) FILTER (WHERE text <> '') AS done, count(*) FILTER (WHERE page_num NOT BETWEEN 1 AND 50) AS beyond, count(*) > 150 AS over_cap FROM pg GROUP BY 1")
 def page_caps(spark, d):
     return I.page_caps(_pages(spark, d), 50)
+
+
+@Q()
+def content_store(spark, d):
+    """The manifest of a store in which all pages were put, a third updated, some on a stale digest in vain, and some deleted. Writes the store."""
+    store = ContentStore(spark, scratch(spark, "store"))
+    pages = table(spark, d, "pages").select("page_id", F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("path"), F.col("html").cast("binary").alias("content"))
+    store.put("main", pages.select("path", "content", F.lit(None).cast("string").alias("expected")))
+    n, changed = F.col("page_id"), F.concat("content", F.lit("!").cast("binary"))
+    known = F.when(n % 3 == 0, F.sha2("content", 256)).otherwise(F.lit("stale"))
+    store.put("main", pages.where((n % 3 == 0) | (n % 5 == 1)).select("path", changed.alias("content"), known.alias("expected")))
+    last = F.when(n % 3 == 0, F.sha2(changed, 256)).otherwise(F.sha2("content", 256))
+    store.delete("main", pages.where(n % 7 == 0).select("path", last.alias("expected")))
+    return store.manifest("main")
