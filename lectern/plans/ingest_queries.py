@@ -10,6 +10,7 @@ from ..operators import page_loop
 from ..operators import transcription as X
 from ..sources import checkpoints
 from ..sources.content_store import ContentStore
+from ..streaming import checkpoint_sink
 from ..streaming import page_loop as stream_loop
 from .base import Queries, scratch, setting, table
 
@@ -277,3 +278,17 @@ def content_store(spark, d):
     last = F.when(n % 3 == 0, F.sha2(changed, 256)).otherwise(F.sha2("content", 256))
     store.delete("main", pages.where(n % 7 == 0).select("path", last.alias("expected")))
     return store.manifest("main")
+
+
+@Q()
+def checkpoint_lifecycle(spark, d):
+    """Pages saved by a stream in two batches; sources of an even number of pages are done and lose their checkpoints, the others are resumed. Writes the store."""
+    folder = scratch(spark, "checkpoints")
+    kept = checkpoint_sink.Checkpoints(ContentStore(spark, f"{folder}/store"))
+    pages = _pages(spark, d).select(F.col("source").alias("key"), "page_num", "text", "tier", F.col("event_id").cast("long").alias("seq"))
+    pages.repartition(2, "page_num").write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    kept.sink(arriving, "pages", f"{folder}/log").awaitTermination()
+    counts = pages.groupBy("key").agg(F.count("*").alias("n"))
+    kept.finish(counts.select("key", F.when(F.col("n") % 2 == 0, "done").otherwise("paused").alias("state")))
+    return kept.resume(counts.select("key")).select("key", "page_num", "text", "tier")
