@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
-from .base import BOILERPLATE, MANUAL_SQL, Queries, chunks, heading_sql, manual, strip_sql, table
+from ..sources import documents, files
+from .base import BOILERPLATE, MANUAL_SQL, Queries, chunks, heading_sql, manual, scratch, strip_sql, table
 
 Q = Queries()
 
@@ -137,3 +138,37 @@ def chunk_pipeline(spark, d):
 @Q("SELECT DISTINCT source FROM documents")
 def distinct_sources(spark, d):
     return table(spark, d, "documents").select("source").distinct()
+
+
+def _write_docx(folder: str):
+    """Write a DOCX file per row (doc_id, text), a paragraph a line."""
+
+    def run(batches):
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        import pandas as pd
+
+        store, path = documents.store_of(folder)
+        store.create_dir(path, recursive=True)
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in text.split("\n"))
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
+                    package.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{lines}</w:body></w:document>')
+                with store.open_output_stream(f"{path}/{doc_id}.docx") as file:
+                    file.write(out.getvalue())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return run
+
+
+@Q()
+def docx_documents(spark, d):
+    """Documents written as DOCX files, a paragraph a line, and read back through the documents source. Writes the files."""
+    folder = scratch(spark, "docx")
+    text = F.regexp_replace("text", "[\\x00-\\x08\\x0B-\\x1F]", "")
+    table(spark, d, "documents").where("text is not null").select("doc_id", text.alias("text")).mapInPandas(_write_docx(folder), "n long").agg(F.sum("n")).collect()
+    return files.docx_text(documents.read_documents(spark, folder).where("ext = '.docx'"))

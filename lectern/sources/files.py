@@ -7,14 +7,16 @@ without a built-in reader are pluggable: a reader is a function from the scanned
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking
+from . import documents
 
 Reader = Callable[[DataFrame], DataFrame]
 
@@ -64,7 +66,7 @@ def _missing(ext: str) -> Reader:
     return reader
 
 
-READERS: dict[str, Reader] = {".md": read_markdown, ".txt": read_text, ".pdf": _missing(".pdf"), ".docx": _missing(".docx")}
+READERS: dict[str, Reader] = {".md": read_markdown, ".txt": read_text, ".pdf": _missing(".pdf")}
 
 
 def load(spark: SparkSession, folder: str, readers: dict[str, Reader] | None = None) -> DataFrame:
@@ -122,11 +124,31 @@ def tiered_pages(pages: DataFrame, curated: DataFrame) -> DataFrame:
 
 
 def docx_text(blocks: DataFrame) -> DataFrame:
-    """(source, text) from a reader's blocks (source, block_pos, kind, style, text, cells): paragraphs, then tables."""
+    """(source, text) from a reader's blocks (source, block_pos, kind, style, text, cells): paragraphs, then tables, a row a line.
+
+    row_pos, where blocks have it, orders the rows of a table; without it a row is a table of its own.
+    """
     style = F.lower(F.coalesce("style", F.lit("")))
     heads = F.when(style.contains("heading 1"), "# ").when(style.contains("heading 2"), "## ").when(style.contains("heading 3"), "### ").otherwise("")
     row = F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |"))
-    line = F.when(F.col("kind") == "table", row).otherwise(F.concat(heads, T.strip("text")))
-    keep = (F.col("kind") == "table") | (T.strip("text") != "")
-    order = F.struct((F.col("kind") == "table").alias("t"), "block_pos", line.alias("line"))
-    return blocks.where(keep).groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"]), "\n\n").alias("text"))
+    table = F.col("kind") == "table"
+    line = F.when(table, row).otherwise(F.concat(heads, F.col("text")))
+    at = F.col("row_pos") if "row_pos" in blocks.columns else F.lit(0)
+    rows = blocks.where(table | (T.strip("text") != "")).select("source", table.alias("_t"), "block_pos", at.alias("_at"), line.alias("_line"))
+    whole = rows.groupBy("source", "_t", "block_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda x: x["_line"]), "\n").alias("_part"))
+    return whole.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "block_pos", "_part"))), lambda x: x["_part"]), "\n\n").alias("text"))
+
+
+def read_docx(files: DataFrame) -> DataFrame:
+    """DOCX files, their reasoning blocks removed; raises BrokenDocument for what is none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source, content in zip(batch["source"], batch["content"], strict=True):
+                yield pd.DataFrame([(source, *row) for row in documents.docx_blocks(bytes(content))], columns=["source", "block_pos", "row_pos", "kind", "style", "text", "cells"])
+
+    blocks = files.select("source", "content").mapInPandas(run, "source string, block_pos int, row_pos int, kind string, style string, text string, cells array<string>")
+    return docx_text(blocks).select("source", T.strip_thinking("text").alias("text"))
+
+
+READERS[".docx"] = read_docx

