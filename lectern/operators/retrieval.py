@@ -43,6 +43,11 @@ def term_frequencies(chunks: DataFrame, only: DataFrame | None = None) -> DataFr
     return rows.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def lengths(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, dl): chunks and their lengths in terms."""
+    return _tokenized(chunks).select("chunk_id", "dl")
+
+
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
     """One row: n chunks and their average length."""
     return _tokenized(chunks).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -53,7 +58,11 @@ def term_statistics(chunks: DataFrame, corpus: DataFrame) -> DataFrame:
 
     A chunk's distinct terms are made in its own row, so counts are combined before the one shuffle.
     """
-    terms = _tokenized(chunks).select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return weights(_tokenized(chunks).select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), corpus)
+
+
+def weights(terms: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(term, df, idf) of a vocabulary (term, df)."""
     terms = terms.crossJoin(F.broadcast(corpus.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = terms.agg(F.avg("raw").alias("mean"))
     return terms.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -86,13 +95,18 @@ def build_index(chunks: DataFrame, vectors: DataFrame, path: str) -> Index:
     corpus_statistics(text).write.mode("overwrite").parquet(f"{path}/corpus")
     corpus = spark.read.parquet(f"{path}/corpus")
     term_statistics(text, corpus).write.mode("overwrite").parquet(f"{path}/terms")
-    postings = term_frequencies(text).withColumn("bucket", _bucket("term"))
-    postings.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    write_postings(term_frequencies(text), f"{path}/postings")
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
     return load_index(spark, path)
 
 
+def write_postings(postings: DataFrame, path: str) -> None:
+    """Postings in folders of BUCKETS hashes of the term, sorted by term."""
+    dealt = postings.withColumn("bucket", _bucket("term")).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+    dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def load_index(spark: SparkSession, path: str) -> Index:
     return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("chunks", "vectors", "postings", "terms", "corpus")])
 

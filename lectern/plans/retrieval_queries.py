@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import encoding, evaluation
+from ..operators import encoding, evaluation, scoring, segments
 from ..operators import retrieval as R
 from .base import CHUNKS_SQL, Queries, chunks, questions, scratch, table
 
@@ -134,6 +134,45 @@ def indexed_hybrid_search(spark, d):
     return R.hybrid_search(_query_vectors(spark, d), _index(spark, d), None, SOURCE)
 
 
+@Q(f"WITH {_BM25}, {_DENSE}, {_CAND}, {_SCORED} SELECT query_id, chunk_id, raw FROM scored")
+def model_rerank_scores(spark, d):
+    """rerank_scores by a model that is called in batches of pairs."""
+    pairs = _cand(spark, d).join(questions(spark, d).withColumnRenamed("text", "question"), "query_id").join(chunks(spark, d), "chunk_id")
+    logit = scoring.pair_scorer(scoring.overlap_model)("question", "text")
+    return pairs.select("query_id", "chunk_id", F.round(T.sigmoid(logit), 6).alias("raw"))
+
+
+@Q(f"{_HYBRID} SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, title, text, round(score, 6) AS score FROM final")
+def model_hybrid_search(spark, d):
+    """hybrid_search with such a model as its reranker."""
+    return R.hybrid_search(_query_vectors(spark, d), chunks(spark, d), _vectors(spark, d), SOURCE, scorer=scoring.pair_scorer(scoring.overlap_model))
+
+
+def _grown(spark, d):
+    """All documents, as an index that got them in two uploads and lost what does not belong there."""
+    every, vectors, n = chunks(spark, d), _vectors(spark, d), F.col("chunk_id")
+    index = segments.GrowingIndex(spark, scratch(spark, "grown"))
+    extra = every.where(n % 4 == 1).withColumn("chunk_id", -n - 1)
+    index.add(every.where(n % 3 != 0).withColumn("text", F.when(n % 5 == 0, F.concat(F.lit("an older version "), "text")).otherwise(F.col("text"))).unionByName(extra), vectors.where(n % 3 != 0))
+    index.add(every.where((n % 3 == 0) | (n % 5 == 0)), vectors.where((n % 3 == 0) | (n % 5 == 0)))
+    index.delete(extra.select("chunk_id"))
+    return index
+
+
+@Q()
+def grown_bm25_topk(spark, d):
+    """bm25_topk over an index that grew; the rows are those of bm25_topk. Writes the index."""
+    return R.bm25(questions(spark, d), _grown(spark, d).open())
+
+
+@Q()
+def grown_hybrid_search(spark, d):
+    """hybrid_search over an index that grew and was merged. Writes the index."""
+    index = _grown(spark, d)
+    index.merge()
+    return R.hybrid_search(_query_vectors(spark, d), index.open(), None, SOURCE)
+
+
 _ENCODED = """WITH t AS (SELECT {key} AS {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS term FROM {table}),
 f AS (SELECT {key}, CAST(CAST(concat('0x', substr(md5(term), 1, 4)) AS BIGINT) % 64 AS INT) AS dim, count(*) AS c FROM t GROUP BY ALL)
 SELECT {key}, dim, round(c / sqrt(sum(c * c) OVER (PARTITION BY {key})), 5) AS value FROM f"""
