@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import layout
 
 # Fixed values.
 CATEGORIES = ("NORMAL", "TABLE", "FLOW_TABLE", "IMAGE_CONTENT", "IMAGE_FLOW_CANDIDATE", "OCR", "VISION", "REVIEW")
@@ -41,6 +42,14 @@ def image_info(rects: DataFrame, page_area: Column) -> DataFrame:
     return rects.where(area > 0).groupBy("page_id").agg(F.count("*").alias("image_count"), F.max(ratio).alias("largest_image_ratio"), F.sum(ratio).alias("total_image_ratio"))
 
 
+def image_blocks(rects: DataFrame, page_area: Column) -> DataFrame:
+    """image_info of both lists of a page's images (page_id, pos, origin and corners), without twins.
+
+    An image block of the text layer that a listed image covers is the same image and counts once.
+    """
+    return image_info(layout.kept_images(rects), page_area)
+
+
 def drawing_info(drawings: DataFrame) -> DataFrame:
     """(page_id, counts) from page_id, width, height, has_fill; shapes without a rectangle count in the total."""
     w, h = F.col("width"), F.col("height")

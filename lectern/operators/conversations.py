@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,3 +63,30 @@ def message_list(history_: str, prompt: str, system: str):
 
 def needs_retry(answer, top_score):
     return F.lower(answer).contains(REFUSAL) & top_score.isNotNull() & (top_score >= REFUSAL_MIN_SCORE)
+
+
+def answer(requests: DataFrame, ask: Callable[[list[dict]], str]) -> DataFrame:
+    """requests (query_id, messages, top_score) with answer and calls: ask(messages) is called, and once more where it refuses although there is a source.
+
+    The second answer counts, whatever it is. messages is an array of (role, content); ask gets it as a list of
+    dicts. Rows with null messages have no call and a null answer. Written results are read again without
+    a call; the column alone calls whenever it is computed.
+    """
+
+    @F.pandas_udf("answer string, calls int")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for messages, scores in batches:
+            rows = []
+            for some, score in zip(messages, scores, strict=True):
+                if some is None:
+                    rows.append((None, 0))
+                    continue
+                some = [dict(m) for m in some]
+                text, calls = ask(some) or "", 1
+                if REFUSAL in text.lower() and score is not None and score >= REFUSAL_MIN_SCORE:
+                    text, calls = ask(some) or "", 2
+                rows.append((text, calls))
+            yield pd.DataFrame(rows, columns=["answer", "calls"])
+
+    out = requests.withColumn("_a", run.asNondeterministic()("messages", "top_score"))
+    return out.select(*requests.columns, "_a.answer", "_a.calls")

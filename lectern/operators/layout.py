@@ -84,8 +84,8 @@ def clusters(values: Column, tolerance: float = 12.0) -> Column:
     return F.aggregate(F.array_sort(F.transform(values, lambda x: x.cast("double"))), start, step, done)
 
 
-def distinct_images(rects: DataFrame) -> DataFrame:
-    """(page_id, pos): rectangles with area that no kept one before them covers by DUPLICATE_SHARE of the smaller."""
+def kept_images(rects: DataFrame) -> DataFrame:
+    """(page_id, pos, x0, y0, x1, y1): rectangles with area that no kept one before them covers by DUPLICATE_SHARE of the smaller."""
     area = lambda r: F.abs((r["x1"] - r["x0"]) * (r["y1"] - r["y0"]))
     shared = lambda a, b: F.greatest(F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]), F.lit(0.0)) * F.greatest(F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]), F.lit(0.0))
     page = rects.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x0", "y0", "x1", "y1", "origin"))).alias("rs"))
@@ -93,4 +93,9 @@ def distinct_images(rects: DataFrame) -> DataFrame:
     # Only rectangles of the second kind are tested; the first kind has no duplicates of its own.
     twin = lambda s, r: (r["origin"] == "text_dict") & F.exists(s, lambda k: shared(k, r) > DUPLICATE_SHARE * F.least(area(k), area(r)))
     kept = F.aggregate("rs", none, lambda s, r: F.when((area(r) <= 0) | twin(s, r), s).otherwise(F.concat(s, F.array(r))))
-    return page.select("page_id", F.explode(kept).alias("r")).select("page_id", "r.pos")
+    return page.select("page_id", F.explode(kept).alias("r")).select("page_id", *[f"r.{c}" for c in ("pos", "x0", "y0", "x1", "y1")])
+
+
+def distinct_images(rects: DataFrame) -> DataFrame:
+    """(page_id, pos) of kept_images."""
+    return kept_images(rects).select("page_id", "pos")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit as A
+from . import layout_queries
 from .base import Queries, table
 
 Q = Queries()
@@ -57,10 +58,12 @@ def audit_text_stats(spark, d):
     return out.select("doc_id", *counts, F.round("short_line_ratio", 6).alias("short_line_ratio"), F.round("avg_line_length", 6).alias("avg_line_length"))
 
 
-@Q("""SELECT l_orderkey AS page_id, count(*) AS drawing_count, count(*) FILTER (WHERE l_quantity > 20 AND l_linenumber <= 3) AS horizontal_lines, count(*) FILTER (WHERE l_linenumber * 10 > 20 AND l_quantity <= 3) AS vertical_lines0,
-  count(*) FILTER (WHERE l_quantity > 10 AND l_linenumber > 10) AS rectangles, count(*) FILTER (WHERE l_returnflag = 'R') AS filled_shapes FROM lineitem GROUP BY 1""".replace("l_linenumber * 10 > 20 AND l_quantity <= 3) AS vertical_lines0", "l_linenumber > 20 AND l_quantity <= 3) AS vertical_lines"))
+@Q("""WITH s AS (SELECT l_orderkey AS page_id, l_quantity AS w, CAST(CASE l_partkey % 4 WHEN 0 THEN l_partkey % 4 ELSE l_suppkey % 60 END AS DOUBLE) AS h, l_returnflag = 'R' AS filled FROM lineitem)
+SELECT page_id, count(*) AS drawing_count, count(*) FILTER (WHERE w > 20 AND h <= 3) AS horizontal_lines, count(*) FILTER (WHERE h > 20 AND w <= 3) AS vertical_lines,
+  count(*) FILTER (WHERE w > 10 AND h > 10) AS rectangles, count(*) FILTER (WHERE filled) AS filled_shapes FROM s GROUP BY 1""")
 def audit_drawings(spark, d):
-    shapes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_quantity").alias("width"), F.col("l_linenumber").cast("double").alias("height"), (F.col("l_returnflag") == "R").alias("has_fill"))
+    height = F.when(F.col("l_partkey") % 4 == 0, F.col("l_partkey") % 4).otherwise(F.col("l_suppkey") % 60).cast("double")
+    shapes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_quantity").alias("width"), height.alias("height"), (F.col("l_returnflag") == "R").alias("has_fill"))
     return A.drawing_info(shapes)
 
 
@@ -72,6 +75,14 @@ def audit_images(spark, d):
     return out.select("page_id", "image_count", *[F.round(c, 6).alias(c) for c in ("largest_image_ratio", "total_image_ratio")])
 
 
+@Q(layout_queries.KEPT_SQL + """ SELECT page_id, count(*) AS image_count, round(max(w * h / 90000.0), 6) AS largest_image_ratio, round(sum(w * h / 90000.0), 6) AS total_image_ratio
+FROM (SELECT page_id, unnest(kept).w AS w, unnest(kept).h AS h FROM e) GROUP BY 1""")
+def audit_image_twins(spark, d):
+    """Images of both lists of a page, twins counted once."""
+    out = A.image_blocks(layout_queries.image_rects(spark, d), F.lit(90000.0))
+    return out.select("page_id", "image_count", *[F.round(c, 6).alias(c) for c in ("largest_image_ratio", "total_image_ratio")])
+
+
 @Q(f"WITH {_FEATURES}, {_SCORES} SELECT page_id, table_score, flow_table_score, image_score, ocr_score, vision_score, image_class FROM fin")
 def audit_scores(spark, d):
     return A.audit(_features(spark, d)).select("page_id", "table_score", "flow_table_score", "image_score", "ocr_score", "vision_score", "image_class")

@@ -69,3 +69,17 @@ def message_lists(spark, d):
     asked = C.history(_dialogue(spark, d)).where("role = 'user'")
     last = asked.groupBy("conv_id").agg(F.max_by(F.struct("history", "text"), "turn").alias("m")).select("conv_id", "m.*")
     return last.select("conv_id", F.size(C.message_list("history", "text", "Answer from the sources.")).cast("long").alias("n_messages"))
+
+
+def _reply(messages):
+    """Stands in for a hosted model: it does not know what has a length divisible by three."""
+    text = messages[-1]["content"]
+    return "Sorry: I don't know based on the provided sources." if len(text) % 3 == 0 else f"{len(text)} characters"
+
+
+@Q("""SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN 'Sorry: I don''t know based on the provided sources.' ELSE concat(length(text), ' characters') END AS answer,
+  CASE WHEN length(text) % 3 = 0 AND (conv_id % 10) / 10.0 >= 0.5 THEN 2 ELSE 1 END AS calls FROM conversations WHERE role = 'user' AND text IS NOT NULL""")
+def answers_with_retry(spark, d):
+    asked = table(spark, d, "conversations").where("role = 'user' and text is not null")
+    messages = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    return C.answer(asked.select("conv_id", "turn", messages.alias("messages"), ((F.col("conv_id") % 10) / 10.0).alias("top_score")), _reply).select("conv_id", "turn", "answer", "calls")

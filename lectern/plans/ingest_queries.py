@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import ingest as I
 from ..operators import page_loop
 from ..operators import transcription as X
-from ..sources import checkpoints
+from ..sources import checkpoints, writers
 from ..sources.content_store import ContentStore
 from ..streaming import checkpoint_sink
 from ..streaming import page_loop as stream_loop
@@ -63,6 +63,11 @@ def run_stats(spark, d):
     return I.run_stats(_pages(spark, d))
 
 
+@Q(f"""WITH {_PAGES} SELECT source, concat(count(*), ' pages (', count(*) FILTER (WHERE tier = 1), ' text layer, ', count(*) FILTER (WHERE tier = 2), ' local OCR, ', count(*) FILTER (WHERE tier = 3), ' vision-transcribed)') AS message FROM pg GROUP BY 1""")
+def commit_messages(spark, d):
+    return writers.commit_message(I.run_stats(_pages(spark, d))).select("source", "message")
+
+
 @Q(f"""WITH {_PAGES}, k AS (SELECT source, page_num + page_num // 3 AS page_num, text FROM pg), n AS (SELECT source, unnest(range(1, max(page_num) + 1)) AS page_num FROM k GROUP BY source)
 SELECT source, string_agg(concat('<!-- Page ', page_num, ' -->', chr(10), chr(10), coalesce(text, '')), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY page_num) AS markdown FROM n LEFT JOIN k USING (source, page_num) GROUP BY 1""")
 def page_markdown_assemble(spark, d):

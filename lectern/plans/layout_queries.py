@@ -70,19 +70,25 @@ def coordinate_clusters(spark, d):
     return values.select("page_id", F.posexplode(L.clusters(F.col("v"))).alias("cluster", "mean")).withColumn("mean", F.round("mean", 6))
 
 
-@Q("""WITH RECURSIVE r AS (SELECT l_orderkey AS page_id, l_linenumber AS pos, l_linenumber % 2 = 0 AS block, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, (l_partkey * 3) % 40, (l_suppkey * 3) % 40) AS n,
-  CAST((l_partkey * 3) % 40 AS DOUBLE) AS x, CAST((l_suppkey * 3) % 40 AS DOUBLE) AS y FROM lineitem),
-f AS (SELECT page_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(pos BIGINT, x DOUBLE, y DOUBLE)[]) AS kept FROM r GROUP BY page_id
+#: The rectangles that stay, one after the other.
+KEPT_SQL = """WITH RECURSIVE r AS (SELECT l_orderkey AS page_id, l_linenumber AS pos, l_linenumber % 2 = 0 AS block, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, (l_partkey * 3) % 40, (l_suppkey * 3) % 40) AS n,
+  CAST((l_partkey * 3) % 40 AS DOUBLE) AS x, CAST((l_suppkey * 3) % 40 AS DOUBLE) AS y, 200.0 AS w, 150.0 AS h FROM lineitem),
+f AS (SELECT page_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(pos BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[]) AS kept FROM r GROUP BY page_id
   UNION ALL
   SELECT f.page_id, r.n, CASE WHEN block AND len(list_filter(kept, lambda k: greatest(least(k.x, r.x) + 200 - greatest(k.x, r.x), 0) * greatest(least(k.y, r.y) + 150 - greatest(k.y, r.y), 0) > 0.9 * 30000)) > 0
-    THEN kept ELSE list_append(kept, {'pos': CAST(r.pos AS BIGINT), 'x': r.x, 'y': r.y}) END
+    THEN kept ELSE list_append(kept, {'pos': CAST(r.pos AS BIGINT), 'x': r.x, 'y': r.y, 'w': CAST(r.w AS DOUBLE), 'h': CAST(r.h AS DOUBLE)}) END
   FROM f JOIN r ON r.page_id = f.page_id AND r.n = f.n + 1),
-e AS (SELECT page_id, arg_max(kept, n) AS kept FROM f GROUP BY page_id)
-SELECT page_id, CAST(unnest(kept).pos AS INT) AS pos FROM e""")
-def image_dedupe(spark, d):
-    """An order-dependent fold."""
+e AS (SELECT page_id, arg_max(kept, n) AS kept FROM f GROUP BY page_id)"""
+
+
+def image_rects(spark, d):
     c = F.col
     x, y = ((c("l_partkey") * 3) % 40).cast("double"), ((c("l_suppkey") * 3) % 40).cast("double")
     origin = F.when(c("l_linenumber") % 2 == 0, "text_dict").otherwise("get_images")
-    rects = table(spark, d, "lineitem").select(c("l_orderkey").alias("page_id"), c("l_linenumber").alias("pos"), origin.alias("origin"), x.alias("x0"), y.alias("y0"), (x + 200).alias("x1"), (y + 150).alias("y1"))
-    return L.distinct_images(rects)
+    return table(spark, d, "lineitem").select(c("l_orderkey").alias("page_id"), c("l_linenumber").alias("pos"), origin.alias("origin"), x.alias("x0"), y.alias("y0"), (x + 200).alias("x1"), (y + 150).alias("y1"))
+
+
+@Q(KEPT_SQL + " SELECT page_id, CAST(unnest(kept).pos AS INT) AS pos FROM e")
+def image_dedupe(spark, d):
+    """An order-dependent fold."""
+    return L.distinct_images(image_rects(spark, d))
