@@ -23,6 +23,8 @@ BOOST, BOOST_MIN = 0.10, 0.15
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Scores are compared at this many decimals, so that the order of sums does not decide ranks.
 DECIMALS = 6
+#: Rows of a vocabulary that are no terms.
+CHUNKS, LENGTH = " chunks", " length"
 #: Folders of a stored index's postings.
 BUCKETS = 64
 #: Rows of (query, term) that are sent to all tasks; a larger batch meets the postings by a shuffle.
@@ -53,6 +55,14 @@ def corpus_statistics(chunks: DataFrame) -> DataFrame:
     return _tokenized(chunks).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def vocabulary(chunks: DataFrame) -> DataFrame:
+    """(term, df) from one pass; the row CHUNKS has their number, the row LENGTH their terms together."""
+    one = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("n"))
+    own = F.transform(F.array_distinct("_t"), lambda t: one(F.coalesce(t, F.lit("")), F.lit(1)))
+    rows = _tokenized(chunks).select(F.explode(F.concat(F.array(one(F.lit(CHUNKS), F.lit(1)), one(F.lit(LENGTH), F.col("dl"))), own)).alias("x"))
+    return rows.groupBy("x.term").agg(F.sum("x.n").alias("df"))
+
+
 def term_statistics(chunks: DataFrame, corpus: DataFrame) -> DataFrame:
     """(term, df, idf): negative idfs become EPSILON times the mean idf of the vocabulary.
 
@@ -63,8 +73,8 @@ def term_statistics(chunks: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def weights(terms: DataFrame, corpus: DataFrame) -> DataFrame:
     """(term, df, idf) of a vocabulary (term, df)."""
-    terms = terms.crossJoin(F.broadcast(corpus.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = terms.agg(F.avg("raw").alias("mean"))
+    terms = terms.crossJoin(F.broadcast(corpus.select("n"))).select("term", "df", (F.log(F.greatest(F.col("n") - F.col("df"), F.lit(0)) + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = terms.agg(F.avg(F.when(~F.col("term").isin(CHUNKS, LENGTH), F.col("raw"))).alias("mean"))
     return terms.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
@@ -129,8 +139,11 @@ def bm25(queries: DataFrame, chunks: DataFrame | Index, pool: int = POOL) -> Dat
         corpus, terms = chunks.corpus, chunks.terms.join(only, "term", "left_semi")
         postings = chunks.postings.where(F.col("bucket").isin([r[0] for r in asked.select(_bucket("term")).distinct().collect()])).join(only, "term", "left_semi")
     else:
-        corpus = corpus_statistics(chunks)
-        terms, postings = term_statistics(chunks, corpus).join(only, "term", "left_semi"), term_frequencies(chunks, only)
+        # One shuffle of the vocabulary serves statistics, mean and weights: all read the same plan.
+        words, postings = vocabulary(chunks), term_frequencies(chunks, only)
+        value = lambda name: F.max(F.when(F.col("term") == name, F.col("df")))
+        corpus = words.agg(value(CHUNKS).alias("n"), (value(LENGTH) / value(CHUNKS)).alias("avgdl"))
+        terms = weights(words, corpus)
     weighted = asked.join(terms.select("term", "idf"), "term").crossJoin(F.broadcast(corpus.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = postings.join(send(weighted), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
@@ -262,7 +275,10 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame | Index, vectors: DataFr
     else:
         legs = cosine(queries, vectors, pool), bm25(queries, indexed_text(chunks), pool)
     pairs = candidates(*legs)
-    pairs = pairs.join(queries.select("query_id", F.col("text").alias("question")), "query_id").join(chunks, "chunk_id")
+    # Two pools a query: few enough to go to the chunks, whose texts then stay where they are.
+    if queries.limit(BROADCAST_TERMS // (2 * pool) + 1).count() <= BROADCAST_TERMS // (2 * pool):
+        pairs = F.broadcast(pairs)
+    pairs = pairs.join(chunks, "chunk_id").join(queries.select("query_id", F.col("text").alias("question")), "query_id")
     scored = pairs.withColumn("raw", F.round(T.sigmoid(scorer("question", "text")), DECIMALS))
     result = threshold(collapse(boost(scored, F.col("source") == verified), min_score), top_k, min_score)
     return result.select("query_id", "rank", "chunk_id", "title", "text", F.round("score", DECIMALS).alias("score"))
