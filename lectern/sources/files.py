@@ -34,6 +34,15 @@ def scan(spark: SparkSession, folder: str, ext: str | None = None) -> DataFrame:
 
     With an extension other files are not opened. Raises FileNotFoundError where the folder is missing.
     """
+    return _named(spark, folder, ext).withColumn("ext", T.extension("source")).select("source", "ext", "content", "mtime")
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, size, mtime) of a folder's files, none of which is opened."""
+    return _named(spark, folder, None).select("source", F.col("length").alias("size"), "mtime")
+
+
+def _named(spark: SparkSession, folder: str, ext: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
     if ext:
         reader = reader.option("pathGlobFilter", "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext))
@@ -44,7 +53,7 @@ def scan(spark: SparkSession, folder: str, ext: str | None = None) -> DataFrame:
             raise FileNotFoundError(f"no folder at {folder}") from error
         raise
     name = F.url_decode(F.regexp_replace(F.regexp_extract(F.col("_metadata.file_name"), r"[^/]*\z", 0), r"\+", "%2B"))
-    return raw.select(name.alias("source"), "content", F.col("modificationTime").alias("mtime")).withColumn("ext", T.extension("source")).select("source", "ext", "content", "mtime")
+    return raw.select(name.alias("source"), "content", F.col("modificationTime").alias("mtime"), "length")
 
 
 def read_markdown(files: DataFrame) -> DataFrame:
