@@ -6,6 +6,9 @@ is one row and nothing but the gathering of its words shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,32 @@ def page_words(words: DataFrame) -> DataFrame:
     return words.where(F.trim("text") != "").groupBy("page_id").agg(F.array_sort(F.collect_list(own)).alias("words"))
 
 
+def extract_words(pages: DataFrame, extractor: Callable, item: str = "item") -> DataFrame:
+    """(page_id, word_pos, text, left, top, right) from what an OCR engine or a text layer gives for each page.
+
+    extractor(value of item) gives (text, left, top, width) for each word, in its own order; it is sent to
+    the executors, so an engine is best opened inside. Outer white space goes, and with it blank words; a null item has none.
+    """
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for page, value in zip(batch["page_id"], batch["item"], strict=True):
+                found = [] if value is None else extractor(value)
+                words = [(page, k, text.strip(), int(left), int(top), int(left + width)) for k, (text, left, top, width) in enumerate(found) if text and text.strip()]
+                if words:
+                    yield pd.DataFrame(words, columns=["page_id", "word_pos", "text", "left", "top", "right"])
+
+    return pages.select("page_id", F.col(item).alias("item")).mapInPandas(run, f"page_id {kind}, word_pos int, text string, left int, top int, right int")
+
+
+def ocr(pages: DataFrame, extractor: Callable, item: str = "item") -> DataFrame:
+    """(page_id, ocr_text, n_columns) of every page: its words in reading order; without words an empty text and no column."""
+    read = reading_order(extract_words(pages, extractor, item)).select(F.col("page_id").alias("_p"), "text", "column_count")
+    out = pages.select("page_id").distinct().join(read, F.col("page_id").eqNullSafe(F.col("_p")), "left")
+    return out.select("page_id", F.coalesce("text", F.lit("")).alias("ocr_text"), F.coalesce("column_count", F.lit(0)).alias("n_columns"))
+
+
 def boundaries(words: str = "words") -> Column:
     """Column boundaries of a page: middles of gaps of MIN_GAP pixels, with one before and one after all words."""
     left = F.array_min(F.transform(words, lambda w: w["left"]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import layout as L
@@ -24,6 +26,11 @@ grp AS (SELECT page_id, col, k, word_pos, lft, text, top, top AS anchor, 0 AS g
   FROM ord o JOIN grp g ON o.page_id = g.page_id AND o.col = g.col AND o.k = g.k + 1)"""
 
 
+def _listed_words(item: str) -> list[tuple]:
+    """Stands in for an OCR engine: a page is a list of its words."""
+    return [(w["text"], w["left"], w["top"], w["width"]) for w in json.loads(item)]
+
+
 def _words(spark, d):
     c = F.col
     left = (c("l_partkey") * 37) % 600
@@ -61,6 +68,16 @@ def reading_order(spark, d):
     return L.reading_order(_words(spark, d))
 
 
+@Q(f"""WITH RECURSIVE {_WORDS}, {_CUTS}, {_GROUPS}, ln AS (SELECT page_id, col, g, string_agg(text, ' ' ORDER BY lft, top, word_pos) AS line FROM grp GROUP BY ALL),
+cl AS (SELECT page_id, col, concat(string_agg(line, chr(10) ORDER BY g), chr(10)) AS t FROM ln GROUP BY ALL)
+SELECT page_id, regexp_replace(string_agg(t, chr(10) ORDER BY col), '^\\s+|\\s+$', '', 'g') AS text, CAST(count(*) AS INT) AS column_count FROM cl GROUP BY 1""")
+def ocr_reading_order(spark, d):
+    """reading_order of words that an extractor gives for each page."""
+    word = F.struct("text", "left", "top", (F.col("right") - F.col("left")).alias("width"))
+    pages = _words(spark, d).groupBy("page_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("word_pos", word.alias("w")))), lambda x: x["w"])).alias("item"))
+    return L.ocr(pages, _listed_words).select("page_id", F.col("ocr_text").alias("text"), F.col("n_columns").alias("column_count"))
+
+
 @Q("""WITH RECURSIVE v AS (SELECT l_orderkey AS page_id, CAST((l_partkey * 13) % 120 AS DOUBLE) AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_partkey * 13) % 120, l_linenumber) AS k FROM lineitem),
 c AS (SELECT page_id, k, x AS s, 1.0::DOUBLE AS n, 0 AS g FROM v WHERE k = 1
   UNION ALL SELECT v.page_id, v.k, CASE WHEN abs(v.x - c.s / c.n) <= 12 THEN c.s + v.x ELSE v.x END, CASE WHEN abs(v.x - c.s / c.n) <= 12 THEN c.n + 1 ELSE 1 END, CASE WHEN abs(v.x - c.s / c.n) <= 12 THEN c.g ELSE c.g + 1 END FROM v JOIN c ON v.page_id = c.page_id AND v.k = c.k + 1)

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import audit, conversations
+from lectern.operators import audit, conversations, layout
 from lectern.streaming import progress
 
 
@@ -58,3 +58,12 @@ def test_golden_question_list(spark):
     detect = lambda text: spark.createDataFrame([(text,)], "x string").select(T.is_faq("x").alias("y")).first().y
     assert detect("Intro\n\n1. A b?\n\nans\n\n2. C d?\nans\n") is True
     assert detect("Intro\n1. A b?\n") is False
+
+
+def test_words_of_an_engine(spark):
+    pages = spark.createDataFrame([(1, "x"), (2, None), (3, ""), (None, "x")], "page_id int, item string")
+    engine = lambda item: [(" right ", 300, 0, 40), ("  ", 10, 0, 5), ("left", 0, 2, 40), (None, 0, 0, 1), ("below", 5, 30, 30)] if item else []
+    words = layout.extract_words(pages, engine).where("page_id = 1").collect()
+    assert [(w.word_pos, w.text, w.left, w.top, w.right) for w in words] == [(0, "right", 300, 0, 340), (2, "left", 0, 2, 40), (4, "below", 5, 30, 35)]
+    got = {r.page_id: (r.ocr_text, r.n_columns) for r in layout.ocr(pages, engine).collect()}
+    assert got == {1: ("left\nbelow\n\nright", 2), 2: ("", 0), 3: ("", 0), None: ("left\nbelow\n\nright", 2)}
