@@ -733,3 +733,17 @@ def test_empty_tables(spark):
     ]
     for k, out in enumerate(outs):
         assert out.count() == 0, k
+
+
+def test_ids_are_the_librarys():
+    """Of all documents of sf0.01, whole texts: the ids written are those that the library gives."""
+    import pyarrow.parquet as pq
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    library = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    library.no_padding()
+    library.no_truncation()
+    expected = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert list(token_files.encoder(path("byte_bpe_50k.json")).encode(texts)) == expected

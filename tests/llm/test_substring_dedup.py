@@ -53,7 +53,7 @@ def check(spark, texts, **k):
     assert n
 
 
-@pytest.mark.parametrize("group", [0, 3, 10_000])
+@pytest.mark.parametrize("group", [0, 3])
 def test_against_brute_force(spark, group):
     check(spark, corpus(group, 60, 30, 25), length=40, context=6, widths=(7, 3, 1), group=group)
 
@@ -65,9 +65,8 @@ def test_whole_contract(spark):
 def test_many_holders(spark):
     rng = random.Random(2)
     passage = "".join(rng.choice("abcdefgh") for _ in range(60))
-    texts = ["".join(rng.choice("xyz") for _ in range(rng.randint(5, 30))) + passage + "".join(rng.choice("uvw") for _ in range(rng.randint(0, 12))) for _ in range(1200)]
-    for group in (100, 10_000):
-        check(spark, texts, length=56, context=8, widths=(12, 4, 1), group=group)
+    texts = ["".join(rng.choice("xyz") for _ in range(rng.randint(5, 30))) + passage + "".join(rng.choice("uvw") for _ in range(rng.randint(0, 12))) for _ in range(600)]
+    check(spark, texts, length=56, context=8, widths=(12, 4, 1), group=100)
 
 
 def test_chunks_of_a_long_text():
