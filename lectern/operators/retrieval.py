@@ -5,7 +5,8 @@ is a window rank that Spark cuts per partition before the shuffle.
 
 The lexical leg works on chunks as they are, or on a stored index: postings by term, the vocabulary
 with its weights, and one row of corpus statistics. Only postings of the batch's terms are grouped or
-joined; while these terms are few, they are sent to the postings, so that no term is a shuffle key.
+joined; while these terms are few, they are sent to the postings, so that no term is a shuffle key, and a
+task scores its chunks against all queries and keeps each query's pool, so that no row is made for every pair.
 """
 
 from __future__ import annotations
@@ -126,28 +127,92 @@ def _bucket(term: str) -> Column:
 
 
 def bm25(queries: DataFrame, chunks: DataFrame | Index, pool: int = POOL) -> DataFrame:
-    """(query_id, chunk_id, score, rank) of each query's pool, cut before scores of 0 are dropped.
+    """(query_id, chunk_id, score, rank) of each query's pool; scores of 0 and less are not in it.
 
     queries has query_id and text, chunks chunk_id and text, or is an index. Ties go to the smaller
     chunk_id.
     """
     asked = term_frequencies(queries.select(F.col("query_id").alias("chunk_id"), "text")).select(F.col("chunk_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
-    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    send = F.broadcast if few else (lambda x: x)
-    only = send(asked.select("term").distinct())
+    few = asked.limit(BROADCAST_TERMS + 1).toArrow()
+    numbers = None
+    if few.num_rows <= BROADCAST_TERMS:
+        few = few.append_column("no", few.column("term").combine_chunks().dictionary_encode().indices)
+        numbers = F.broadcast(queries.sparkSession.createDataFrame(few.select(["term", "no"]).group_by(["term", "no"]).aggregate([])))
+    only = numbers.select("term") if numbers is not None else asked.select("term").distinct()
     if isinstance(chunks, Index):
         corpus, terms = chunks.corpus, chunks.terms.join(only, "term", "left_semi")
-        postings = chunks.postings.where(F.col("bucket").isin([r[0] for r in asked.select(_bucket("term")).distinct().collect()])).join(only, "term", "left_semi")
+        postings = chunks.postings.where(F.col("bucket").isin([r[0] for r in asked.select(_bucket("term")).distinct().collect()]))
     else:
         # One shuffle of the vocabulary serves statistics, mean and weights: all read the same plan.
-        words, postings = vocabulary(chunks), term_frequencies(chunks, only)
+        words = vocabulary(chunks)
         value = lambda name: F.max(F.when(F.col("term") == name, F.col("df")))
         corpus = words.agg(value(CHUNKS).alias("n"), (value(LENGTH) / value(CHUNKS)).alias("avgdl"))
         terms = weights(words, corpus)
-    weighted = asked.join(terms.select("term", "idf"), "term").crossJoin(F.broadcast(corpus.select("avgdl")))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(send(weighted), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
-    return top(scored, pool).where("score > 0")
+        # With few terms, a chunk's occurrences are counted where it is scored.
+        postings = term_frequencies(chunks, only) if numbers is None else _tokenized(chunks).select("chunk_id", "dl", F.explode("_t").alias("term"), F.lit(1).cast("long").alias("tf"))
+    average = F.broadcast(corpus.select("avgdl"))
+    if numbers is None:
+        weighted = asked.join(terms.select("term", "idf"), "term").crossJoin(average)
+        part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        scored = postings.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
+        return top(scored, pool).where("score > 0")
+    weighted = terms.join(numbers, "term").crossJoin(average).select("term", "no", "idf", "avgdl")
+    held = postings.join(F.broadcast(weighted), "term").groupBy("chunk_id", "dl").agg(F.first("avgdl").alias("avgdl"), F.collect_list(F.struct("no", "idf", "tf")).alias("held"))
+    kinds = [f.dataType.simpleString() for f in (queries.schema["query_id"], chunks.chunks.schema["chunk_id"] if isinstance(chunks, Index) else chunks.schema["chunk_id"])]
+    return top(held.mapInArrow(_matching(few, pool), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"), pool)
+
+
+def _merged(held, ids, scores, pool: int):
+    """The ``pool`` best of the rows held and new ones; ties go to the smaller id."""
+    import numpy as np
+
+    if len(scores) > pool:  # ties at the edge stay until ids decide
+        at = np.flatnonzero(scores >= np.partition(scores, -pool)[-pool])
+        ids, scores = ids[at], scores[at]
+    ids, scores = np.concatenate([held[0], ids]), np.concatenate([held[1], scores])
+    order = np.lexsort((ids, -scores))[:pool]
+    return ids[order], scores[order]
+
+
+def _matching(asked, pool: int):
+    """A function over a task's chunks (chunk_id, dl, avgdl, held: terms' no, idf, tf): for each query of the Arrow table (query_id, no, qtf) its ``pool`` best scores above 0."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whose = asked.column("query_id").combine_chunks().dictionary_encode()
+        queries, no = whose.dictionary, asked.column("no").to_numpy()
+        order = np.argsort(no, kind="stable")
+        owner, qtf = whose.indices.to_numpy()[order], asked.column("qtf").to_numpy()[order]
+        first = np.searchsorted(no[order], np.arange(no.max() + 2 if len(no) else 1))
+        step = max(1, PRODUCTS // max(1, len(no)))
+        best, kind = {}, None
+        for batch in batches:
+            kind = batch.schema.field("chunk_id").type
+            for lo in range(0, batch.num_rows, step):
+                some = batch.slice(lo, step)
+                lists = some.column("held")
+                flat = lists.flatten()
+                term, idf, tf = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False) for k in range(3))
+                row = np.repeat(np.arange(some.num_rows), np.diff(lists.offsets.to_numpy()))
+                key, at, which = np.unique(row * len(first) + term, return_index=True, return_inverse=True)
+                row, term, idf, tf = row[at], term[at], idf[at], np.bincount(which, tf, len(key))
+                dl, average = (some.column(c).to_numpy().astype(np.float64)[row] for c in ("dl", "avgdl"))
+                part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
+                n = first[term + 1] - first[term]
+                asks = np.repeat(first[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                scores = np.bincount(owner[asks] * some.num_rows + np.repeat(row, n), qtf[asks] * np.repeat(part, n), len(queries) * some.num_rows)
+                scores = np.round(scores, DECIMALS).reshape(len(queries), -1)
+                ids = np.asarray(some.column("chunk_id").to_pylist())
+                for q in np.flatnonzero(scores.max(axis=1) > 0).tolist():
+                    at = np.flatnonzero(scores[q] > 0)
+                    best[q] = _merged(best.get(q, (ids[:0], scores[q, :0])), ids[at], scores[q, at], pool)
+        for q, (ids, scores) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([queries[q].as_py()] * len(ids), asked.schema.field("query_id").type), pa.array(ids.tolist(), kind), pa.array(scores, pa.float64())], names=["query_id", "chunk_id", "score"])
+
+    return run
 
 
 def top(scored: DataFrame, k: int, score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -209,14 +274,7 @@ def _nearest(asked, pool: int):
                 scores = np.round(mine @ there.T, DECIMALS) + 0.0
                 held = held or [(ids[:0], scores[0, :0])] * len(mine)
                 for q in range(len(mine)):
-                    score = scores[q]
-                    if len(score) > pool:  # ties at the edge stay until ids decide
-                        at = np.flatnonzero(score >= np.partition(score, -pool)[-pool])
-                    else:
-                        at = np.arange(len(score))
-                    all_ids, all_scores = np.concatenate([held[q][0], ids[at]]), np.concatenate([held[q][1], score[at]])
-                    order = np.lexsort((all_ids, -all_scores))[:pool]
-                    held[q] = all_ids[order], all_scores[order]
+                    held[q] = _merged(held[q], ids, scores[q], pool)
         for q, (ids, scores) in enumerate(held or []):
             query = asked.column("query_id")[q].as_py()
             yield pa.RecordBatch.from_arrays([pa.array([query] * len(ids), asked.schema.field("query_id").type), pa.array(ids.tolist(), kind), pa.array(scores, pa.float64())], names=["query_id", "chunk_id", "score"])
