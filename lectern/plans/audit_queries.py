@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit as A
 from . import layout_queries
-from .base import Queries, documents, table
+from .base import Queries, table, texts
 
 Q = Queries()
 
@@ -53,7 +53,7 @@ def _features(spark, d):
 
 @Q(f"WITH {_INFO} SELECT doc_id, char_count, line_count, short_line_count, round(short_line_ratio, 6) AS short_line_ratio, round(avg_line_length, 6) AS avg_line_length, block_count FROM info")
 def audit_text_stats(spark, d):
-    out = A.text_info(documents(spark, d))
+    out = A.text_info(texts(spark, d))
     counts = [F.col(c).cast("long").alias(c) for c in ("char_count", "line_count", "short_line_count", "block_count")]
     return out.select("doc_id", *counts, F.round("short_line_ratio", 6).alias("short_line_ratio"), F.round("avg_line_length", 6).alias("avg_line_length"))
 

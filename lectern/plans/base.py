@@ -34,7 +34,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def documents(spark: SparkSession, d: str) -> DataFrame:
+def texts(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents"))
 
 
@@ -62,7 +62,7 @@ def setting(spark: SparkSession, key: str, value: str):
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents as chunks: the title is the start of the first line."""
-    return documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "source", F.substring(F.split("text", "\n")[0], 1, 80).alias("title"), "text")
+    return texts(spark, d).select(F.col("doc_id").alias("chunk_id"), "source", F.substring(F.split("text", "\n")[0], 1, 80).alias("title"), "text")
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ def manual(spark: SparkSession, d: str) -> DataFrame:
         F.when(n % 3 == 0, F.lit("preface words here\n")).otherwise(F.lit("")), F.lit("<!-- Page 1 -->\n\n"), F.when(n % 2 == 0, F.lit("## ")).otherwise(F.lit("")), s(n % 9 + 1), F.lit("."), s(n % 5), F.lit(" Heading Of Part\n"),
         F.col("text"), F.lit("\n\n---\n\n<!-- Page 2 -->\n\nASSET RECORD FORM\n"), F.substring("text", 1, 200), F.lit("\n4.2 V (at a peak load of 6 A)\nGENERAL OFFICE\n**Note 7:** see below\n<!-- Page 3 -->\n"), F.substring("text", 50, 300), F.lit("\n6.6 Last Part\n"),
     )
-    return documents(spark, d).select("doc_id", "source", body.alias("text"))
+    return texts(spark, d).select("doc_id", "source", body.alias("text"))
 
 
 MANUAL_SQL = """manual AS (SELECT doc_id, source, concat(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..sources import documents, files
-from .base import BOILERPLATE, MANUAL_SQL, Queries, chunks, documents, heading_sql, manual, scratch, strip_sql, table
+from .base import BOILERPLATE, MANUAL_SQL, Queries, chunks, heading_sql, manual, scratch, strip_sql, table, texts
 
 Q = Queries()
 
@@ -39,7 +39,7 @@ parts AS (SELECT doc_id, source, section_pos, unnest(range(len(ps))) AS piece_po
 @Q("SELECT doc_id, regexp_replace(concat('a', CASE WHEN doc_id % 2 = 0 THEN '<think x>' || text || '</think >' ELSE '<THINK>' || text END, 'tail'), '(?is)<think\\b[^>]*>.*?(?:</think\\s*>|\\z)', '', 'g') AS cleaned FROM documents")
 def strip_thinking(spark, d):
     text = F.concat(F.lit("a"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think x>"), "text", F.lit("</think >"))).otherwise(F.concat(F.lit("<THINK>"), "text")), F.lit("tail"))
-    return documents(spark, d).select("doc_id", T.strip_thinking(text).alias("cleaned"))
+    return texts(spark, d).select("doc_id", T.strip_thinking(text).alias("cleaned"))
 
 
 def _halves():
@@ -52,7 +52,7 @@ def _halves():
 def strip_thinking_paged(spark, d):
     one, two = _halves()
     text = F.concat(F.lit("p <think>secret<!-- Page 2 -->"), one, F.lit("<think a>"), two, F.when(F.col("doc_id") % 2 == 0, F.lit("</think>")).otherwise(F.lit("")), F.lit("<!-- Page 3 -->"), "text")
-    return documents(spark, d).select("doc_id", T.strip_thinking_paged(text).alias("cleaned"))
+    return texts(spark, d).select("doc_id", T.strip_thinking_paged(text).alias("cleaned"))
 
 
 @Q(f"WITH {_LINES} SELECT doc_id, section_pos, section FROM sections")
@@ -71,7 +71,7 @@ def _faq(spark, d):
     """Question lists of whole texts: the first half asks and the second answers, then the other way round."""
     one, two = _halves()
     part = lambda k, ask, answer: F.concat(F.lit(f"\n\n{k}. What is "), ask, F.lit(" then?\n"), answer)
-    docs = documents(spark, d).withColumn("text", F.regexp_replace("text", r"[?\n]", " "))
+    docs = texts(spark, d).withColumn("text", F.regexp_replace("text", r"[?\n]", " "))
     return docs.select("doc_id", "source", F.concat(F.lit("Intro"), part(1, one, two), F.when(F.col("doc_id") % 2 == 0, part(2, two, one)).otherwise(F.lit("")), F.lit("\n3. no question here\nand more"), F.lit("\n4. Last one of these?\nyes")).alias("text"))
 
 
