@@ -1,5 +1,7 @@
 """Text expressions on small fixtures."""
 
+import base64
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,9 @@ def test_snippet_and_percentage(spark):
     assert one(spark, T.snippet("x", "absent"), text) is None
     for v in (0.0625, 0.5625, 0.333, 1.0, 0.0):
         assert one(spark, T.percentage(F.lit(v)), "") == f"{v * 100:.1f}%"
+
+
+def test_base64_is_one_line(spark):
+    text = "https://www.example.org/" + "ä" * 300
+    assert one(spark, T.base64_text("x"), text) == base64.b64encode(text.encode()).decode()
+    assert one(spark, T.text_of_base64(T.base64_text("x")), text) == text
