@@ -62,8 +62,7 @@ def tokenize_documents(spark, d):
 
 @Q(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_term_stats(spark, d):
-    docs = _indexed(spark, d)
-    return R.term_statistics(docs, R.corpus_statistics(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_statistics(R.vocabulary(_indexed(spark, d))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @Q(f"WITH {_BM25} SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM lex")
