@@ -62,7 +62,7 @@ class GrowingIndex:
         text = R.indexed_text(self._table(name, "chunks"))
         R.write_postings(R.term_frequencies(text), f"{self.path}/{name}/postings")
         R.lengths(text).write.parquet(f"{self.path}/{name}/lengths")
-        self._table(name, "postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{self.path}/{name}/terms")
+        R.only_terms(R.vocabulary(text)).write.parquet(f"{self.path}/{name}/terms")
         return name
 
     def _publish(self, segments: list[str], dead: DataFrame | None, expected: str | None, message: str) -> None:
@@ -77,8 +77,9 @@ class GrowingIndex:
         length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{stats}/corpus")
         terms = self._union(segments, "terms").select("term", "df")
         if dead is not None:
-            gone = self._union(segments, "postings").join(dead.select(F.col("segment").alias("_s"), F.col("chunk_id").alias("_c")), (F.col("_segment") == F.col("_s")) & (F.col("chunk_id") == F.col("_c")), "left_semi")
-            terms = terms.unionByName(gone.groupBy("term").agg((-F.count("*")).alias("df")))
+            # Counted from the texts of the dead: a join a chunk, none a posting.
+            gone = self._union(segments, "chunks").join(dead.select(F.col("segment").alias("_s"), F.col("chunk_id").alias("_c")), (F.col("_segment") == F.col("_s")) & (F.col("chunk_id") == F.col("_c")), "left_semi")
+            terms = terms.unionByName(R.only_terms(R.vocabulary(R.indexed_text(gone))).select("term", (-F.col("df")).alias("df")))
         df = terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         R.weights(df, self._table("stats", at["stats"], "corpus")).write.parquet(f"{stats}/terms")
         row = self.spark.createDataFrame([("manifest", bytearray(json.dumps(at).encode()), expected)], "path string, content binary, expected string")
@@ -124,5 +125,7 @@ class GrowingIndex:
         at, _ = self._manifest()
         if not at["segments"]:
             raise FileNotFoundError(f"nothing is indexed at {self.path}")
-        live = [self._live(self._union(at["segments"], name), self._dead(at)) for name in ("chunks", "vectors", "postings")]
-        return R.Index(*live, *[self._table("stats", at["stats"], name) for name in ("terms", "corpus")])
+        dead = self._dead(at)
+        live = [self._live(self._union(at["segments"], name), dead) for name in ("chunks", "vectors")]
+        stats = [self._table("stats", at["stats"], name) for name in ("terms", "corpus")]
+        return R.Index(*live, self._union(at["segments"], "postings"), *stats, dead=None if dead is None else dead.withColumnRenamed("segment", "_segment"))
