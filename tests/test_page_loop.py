@@ -5,6 +5,7 @@ import time
 import uuid
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -121,3 +122,31 @@ def test_stream_waits_by_timer(spark, tmp_path, log):
             query.stop()
     assert calls(log) == ["d2", "e1", "once", "once"]
     assert sorted((r.source, r.page_num, r.text) for r in spark.read.parquet(f"{folder}/out").collect()) == [("d", 1, "seen once"), ("d", 2, "seen d2"), ("e", 1, "seen e1")]
+
+
+def test_state_is_asked_by_source_not_by_page():
+    asked = []
+
+    class State:
+        def __init__(self):
+            self.value = []
+
+        def __getattr__(self, name):
+            asked.append(name)
+            return {"exists": lambda: bool(self.value), "get": lambda: self.value, "put": self._set, "update": self._set, "clear": lambda: self._set([])}[name]
+
+        def _set(self, value):
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+        getListState = getValueState
+
+    page = lambda n: Row(**dict(zip(PAGES.replace(" string", "").replace(" int", "").replace(" boolean", "").split(", "), row("s", n, f"x{n}", False), strict=True)), total_pages=90)
+    loop = S.PageLoop(lambda key, item: item, ["k"], L.Limits(3, 100), 1, 0, None, False)
+    loop.init(Handle())
+    loop.handleInitialState(("s",), Row(pages=[{"page_num": n, "text": "old", "tier": 1} for n in range(2, 90, 2)]), None)
+    out = [r.page_num for part in (range(3, 91), [1]) for r in loop.handleInputRows(("s",), [page(n) for n in part], None)]
+    assert out == list(range(1, 91)) and len(asked) < 25 and not loop.early.value and not loop.done.value
