@@ -14,6 +14,9 @@ TERM = "[a-z0-9]+"
 PAGE_MARKER = r"<!--\s*Page\s+\d+\s*-->"
 SECTION_LINE = r"^\d+\.\d+(?:\.\d+)?\s+[A-Z][a-z].{1,69}$"
 FORM_TITLE = r"^[A-Z][A-Z0-9 &/()',.\-]{7,}$"
+#: Lines that may be headings once white space and marks before them are gone: others are not looked at closely.
+MAY_HEAD = r"^\s*(?:#{1,4}\s+)?(?:\d+\.\d|[A-Z][A-Z0-9 &/()',.\-]{7})"
+MAY_OWN = r"""(?md)^(?:[^\S\n]|[*\-"])*+\d+\.\d[^\n]*"""
 FAQ_START = r"(?md)(?=^\s*\d+\.\s+.+\?\s*$)"
 FOLLOWUP_WORDS = ("it", "that", "this", "next", "then", "also", "too", "again", "and")
 THINK = r"(?is)<think\b[^>]*>.*?(?:</think\s*>|\z)"
@@ -70,7 +73,7 @@ def first_match(items: Column) -> Column:
 def own_heading(c) -> Column:
     """The first line that is a section heading as a whole, bare of bullets and quotes; else null."""
     bare = lambda x: strip(F.regexp_replace(strip(F.regexp_replace(strip(x), r"^[*\-]+", "")), r'^"+|"+\z', ""))
-    return first_match(F.filter(F.transform(F.split(col(c), "\n"), bare), lambda x: x.rlike(f"(?d){SECTION_LINE}")))
+    return first_match(F.filter(F.transform(F.regexp_extract_all(col(c), F.lit(MAY_OWN), F.lit(0)), bare), lambda x: x.rlike(f"(?d){SECTION_LINE}")))
 
 
 def _bold(x: Column) -> Column:

@@ -19,7 +19,7 @@ def heading_split(c, boilerplate=()) -> Column:
     """Sections of a text: each but the first begins at a heading line."""
     lines = F.split(T.col(c), "\n")
     bare = lambda x: T.without_hashes(T.strip(x))
-    marked = F.transform(lines, lambda x, i: F.when((i > 0) & (T.is_section_line(bare(x)) | T.is_form_title(bare(x), boilerplate)), F.concat(F.lit("\x01"), x)).otherwise(x))
+    marked = F.transform(lines, lambda x, i: F.when((i > 0) & x.rlike(T.MAY_HEAD) & (T.is_section_line(bare(x)) | T.is_form_title(bare(x), boilerplate)), F.concat(F.lit("\x01"), x)).otherwise(x))
     return F.split(F.array_join(marked, "\n"), "\n\x01")
 
 
@@ -34,8 +34,9 @@ def faq_split(c) -> Column:
 def page_refine(section: Column, max_chars: int = MAX_CHARS) -> Column:
     """A section's pages, unless it fits and has its own heading, or has one page only."""
     pages = nonblank(F.split(section, f"(?i){T.PAGE_MARKER}"))
-    whole = T.own_heading(section).isNotNull() & (F.length(section) <= max_chars)
-    return F.when(~whole & (F.size(pages) > 1), pages).otherwise(F.array(section))
+    whole = (F.length(section) <= max_chars) & T.own_heading(section).isNotNull()
+    # As the element of an array, the pages are split off once.
+    return F.when(whole, F.array(section)).otherwise(F.flatten(F.transform(F.array(pages), lambda p: F.when(F.size(p) > 1, p).otherwise(F.array(section)))))
 
 
 def _starts(size: Column, max_chars: int, overlap: int) -> Column:

@@ -75,3 +75,11 @@ def test_base64_is_one_line(spark):
     text = "https://www.example.org/" + "ä" * 300
     assert one(spark, T.base64_text("x"), text) == base64.b64encode(text.encode()).decode()
     assert one(spark, T.text_of_base64(T.base64_text("x")), text) == text
+
+
+def test_own_headings_look_at_few_lines(spark):
+    texts = ["\n \n<!-- Page 3 -->\n GENERAL OFFICE \r\n\tFirst line \nsecond", "a\n - \"4.2 Heading Of It\"\nb", "x\n**bold one**\n**bold 2:**\n", "<!-- Page\n1 -->\nz", " \n<!-- Page 1 -->\n", "## \n1.2.3 Some Part\n"]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "x string").coalesce(1).select(T.chunk_title("x", F.lit("src"), ("general office",)).alias("t")).collect()]
+    assert got == ["First line", "4.2 Heading Of It", "bold 2", "<!-- Page", "src", "1.2.3 Some Part"]
+    plan = spark.range(1).select(F.lit("x").alias("x")).select(T.own_heading("x").alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert "split(" not in plan  # no text is cut into all of its lines
