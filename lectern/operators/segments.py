@@ -2,8 +2,8 @@
 
 An upload becomes a segment of its own, with postings and lengths; nothing that is there is written
 again. A chunk that is deleted or replaced is named by a tombstone of its segment. Statistics that scores depend on
-(number and length of chunks, each term's documents) are added up from the segments' own, less what the
-tombstones take, so results are those of an index built anew. Which segments count is one small
+(number and length of chunks, each term's documents) are those of before with the new segment's own, less what the
+new tombstones take, so results are those of an index built anew. Which segments count is one small
 manifest, kept in a content store and replaced by compare-and-set: a reader sees a change whole or not at all.
 """
 
@@ -19,6 +19,10 @@ from ..sources.content_store import ContentStore
 from . import retrieval as R
 
 
+#: The manifest of an index that holds nothing.
+NOTHING = {"segments": [], "dead": None, "stats": None}
+
+
 class Changed(RuntimeError):
     """Another writer changed the index meanwhile."""
 
@@ -32,7 +36,7 @@ class GrowingIndex:
 
     def _manifest(self) -> tuple[dict, str | None]:
         row = self.store.read("index").where("path = 'manifest'").first()
-        return (json.loads(bytes(row.content)), row.sha) if row else ({"segments": [], "dead": None, "stats": None}, None)
+        return (json.loads(bytes(row.content)), row.sha) if row else (NOTHING, None)
 
     def _table(self, *names: str) -> DataFrame:
         return self.spark.read.parquet("/".join((self.path, *names)))
@@ -41,10 +45,15 @@ class GrowingIndex:
         """A table of all segments, with the segment."""
         out = None
         for s in segments:
-            part = self._table(s, name).withColumn("_segment", F.lit(s))
+            part = (self._postings(s) if name == "postings" else self._table(s, name)).withColumn("_segment", F.lit(s))
             out = part if out is None else out.unionByName(part)
         return out
 
+    def _postings(self, segment: str) -> DataFrame:
+        """A segment's pages; their blocks are named apart from those of others."""
+        pages = R.read_postings(self._table(segment, "chunks"), f"{self.path}/{segment}/postings")
+        return pages.withColumn("block", F.concat(F.lit(f"{segment}/"), F.col("block")))
+
     def _live(self, rows: DataFrame, dead: DataFrame | None) -> DataFrame:
         if dead is None:
             return rows.drop("_segment")
@@ -59,41 +68,47 @@ class GrowingIndex:
         name = f"segment-{uuid.uuid4().hex}"
         chunks.select("chunk_id", "source", "title", "text").write.parquet(f"{self.path}/{name}/chunks")
         vectors.select("chunk_id", "embedding").write.parquet(f"{self.path}/{name}/vectors")
-        text = R.indexed_text(self._table(name, "chunks"))
-        R.write_postings(R.term_frequencies(text), f"{self.path}/{name}/postings")
-        R.lengths(text).write.parquet(f"{self.path}/{name}/lengths")
-        R.only_terms(R.vocabulary(text)).write.parquet(f"{self.path}/{name}/terms")
+        postings = R.write_postings(R.indexed_text(self._table(name, "chunks")), f"{self.path}/{name}/postings")
+        R.posted_terms(postings).write.parquet(f"{self.path}/{name}/terms")
         return name
 
-    def _publish(self, segments: list[str], dead: DataFrame | None, expected: str | None, message: str) -> None:
-        """Write tombstones and statistics of these segments, and make them the index."""
-        at = {"segments": segments, "dead": None, "stats": uuid.uuid4().hex}
-        if dead is not None:
+    def _publish(self, was: dict, segments: list[str], fresh: list[str], gone: DataFrame | None, expected: str | None, message: str) -> None:
+        """Write tombstones and statistics of these segments, and make them the index.
+
+        was is the manifest of before, or one of nothing; fresh segments are new, gone are tombstones beyond its own.
+        """
+        at = {"segments": segments, "dead": was["dead"], "stats": uuid.uuid4().hex}
+        if gone is not None:
             at["dead"] = uuid.uuid4().hex
-            dead.write.parquet(f"{self.path}/dead/{at['dead']}")
-            dead = self._dead(at)
+            gone.write.parquet(f"{self.path}/dead/{at['dead']}-new")
+            gone, dead = self._table("dead", f"{at['dead']}-new"), self._dead(was)
+            (gone if dead is None else dead.unionByName(gone)).write.parquet(f"{self.path}/dead/{at['dead']}")
         stats = f"{self.path}/stats/{at['stats']}"
-        length = self._live(self._union(segments, "lengths"), dead)
-        length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{stats}/corpus")
-        terms = self._union(segments, "terms").select("term", "df")
-        if dead is not None:
+        R.measured(self._live(R.posted_chunks(self._union(segments, "postings")), self._dead(at))).write.parquet(f"{stats}/corpus")
+        parts = [self._table("stats", was["stats"], "terms")] if was["stats"] else []
+        parts += [self._table(s, "terms") for s in fresh]
+        if gone is not None:
             # Counted from the texts of the dead: a join a chunk, none a posting.
-            gone = self._union(segments, "chunks").join(dead.select(F.col("segment").alias("_s"), F.col("chunk_id").alias("_c")), (F.col("_segment") == F.col("_s")) & (F.col("chunk_id") == F.col("_c")), "left_semi")
-            terms = terms.unionByName(R.only_terms(R.vocabulary(R.indexed_text(gone))).select("term", (-F.col("df")).alias("df")))
-        df = terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-        R.weights(df, self._table("stats", at["stats"], "corpus")).write.parquet(f"{stats}/terms")
+            texts = self._union(segments, "chunks").join(gone.select(F.col("segment").alias("_s"), F.col("chunk_id").alias("_c")), (F.col("_segment") == F.col("_s")) & (F.col("chunk_id") == F.col("_c")), "left_semi")
+            parts.append(R.only_terms(R.vocabulary(R.indexed_text(texts))).withColumn("df", -F.col("df")))
+        terms = None
+        for part in parts:
+            part = part.select("term", "df")
+            terms = part if terms is None else terms.unionByName(part)
+        terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0").write.parquet(f"{stats}/words")
+        R.weights(self._table("stats", at["stats"], "words"), self._table("stats", at["stats"], "corpus")).write.parquet(f"{stats}/terms")
         row = self.spark.createDataFrame([("manifest", bytearray(json.dumps(at).encode()), expected)], "path string, content binary, expected string")
         if self.store.put("index", row, message).first().outcome not in ("created", "updated"):
             raise Changed(self.path)
 
-    def _tombstones(self, segments: list[str], dead: DataFrame | None, ids: DataFrame) -> DataFrame | None:
-        """dead and the live chunks of ids (chunk_id)."""
-        if not segments:
-            return dead
-        rows = self._union(segments, "lengths").select(F.col("_segment").alias("segment"), "chunk_id")
+    def _tombstones(self, at: dict, ids: DataFrame) -> DataFrame | None:
+        """The chunks of ids (chunk_id) that are live."""
+        if not at["segments"]:
+            return None
+        rows = R.posted_chunks(self._union(at["segments"], "postings")).select(F.col("_segment").alias("segment"), "chunk_id")
         more = rows.join(ids.select(F.col("chunk_id").alias("_i")).distinct(), F.col("chunk_id") == F.col("_i"), "left_semi")
-        out = more if dead is None else dead.unionByName(more)
-        return out.distinct()
+        dead = self._dead(at)
+        return more if dead is None else more.join(dead, ["segment", "chunk_id"], "left_anti")
 
     def add(self, chunks: DataFrame, vectors: DataFrame) -> None:
         """Make chunks and their vectors searchable; those whose chunk_id is there already replace it.
@@ -104,21 +119,21 @@ class GrowingIndex:
         at, sha = self._manifest()
         chunks = chunks.groupBy("chunk_id").agg(F.max(F.struct("text", "title", "source")).alias("_c")).select("chunk_id", "_c.source", "_c.title", "_c.text")
         segment = self._build(chunks, vectors.dropDuplicates(["chunk_id"]))
-        dead = self._tombstones(at["segments"], self._dead(at), self._table(segment, "chunks"))
-        self._publish([*at["segments"], segment], dead, sha, "add")
+        self._publish(at, [*at["segments"], segment], [segment], self._tombstones(at, self._table(segment, "chunks")), sha, "add")
 
     def delete(self, ids: DataFrame) -> None:
         """Take chunks (chunk_id) out; ids that are not there are passed over."""
         at, sha = self._manifest()
         if at["segments"]:
-            self._publish(at["segments"], self._tombstones(at["segments"], self._dead(at), ids), sha, "delete")
+            self._publish(at, at["segments"], [], self._tombstones(at, ids), sha, "delete")
 
     def merge(self) -> None:
         """Write all that is live as one segment; results stay as they are."""
         at, sha = self._manifest()
         if at["segments"]:
             index = self.open()
-            self._publish([self._build(index.chunks, index.vectors)], None, sha, "merge")
+            merged = [self._build(index.chunks, index.vectors)]
+            self._publish(NOTHING, merged, merged, None, sha, "merge")
 
     def open(self) -> R.Index:
         """The index as it is now, for retrieval.bm25 and retrieval.hybrid_search. Raises FileNotFoundError where nothing was added yet."""
