@@ -156,7 +156,7 @@ def _write_docx(folder: str):
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in text.split("\n"))
                 out = io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as package:
                     package.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{lines}</w:body></w:document>')
                 with store.open_output_stream(f"{path}/{doc_id}.docx") as file:
                     file.write(out.getvalue())
@@ -170,5 +170,5 @@ def docx_documents(spark, d):
     """Documents written as DOCX files, a paragraph a line, and read back through the documents source. Writes the files."""
     folder = scratch(spark, "docx")
     text = F.regexp_replace("text", "[\\x00-\\x08\\x0B-\\x1F]", "")
-    table(spark, d, "documents").where("text is not null").select("doc_id", text.alias("text")).mapInPandas(_write_docx(folder), "n long").agg(F.sum("n")).collect()
+    texts(spark, d).where("text is not null").select("doc_id", text.alias("text")).mapInPandas(_write_docx(folder), "n long").agg(F.sum("n")).collect()
     return files.docx_text(documents.read_documents(spark, folder).where("ext = '.docx'"))

@@ -22,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 SCHEMA = "source string, ext string, block_pos int, row_pos int, kind string, style string, text string, cells array<string>, ocr_text string, n_columns int, significant boolean, item string"
 #: Bytes and files of a partition, and pages of a range, where the options do not say.
 PART_BYTES, PART_FILES, RANGE_PAGES = 16 << 20, 200, 50
+#: Rows and characters of an Arrow batch that a reader gives at most, but for what its last row goes beyond them.
+BATCH_ROWS, BATCH_CHARS = 5000, 4 << 20
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -136,11 +138,33 @@ def page_reader(name: str):
 
 @dataclass
 class Part(InputPartition):
-    """Files, each with its pages from first to last (None: all of it)."""
+    """Files of a folder by name, each with its pages from first to last (None: all of it)."""
 
+    folder: str
     files: list[tuple[str, str, int | None, int | None]]
 
 
+def _batched(rows):
+    """Arrow batches of rows of SCHEMA: a row at a time would be converted value by value."""
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    fields = [(name, kinds[kind]) for name, kind in (x.split(" ") for x in SCHEMA.split(", "))]
+
+    def batch(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*held, strict=True), fields, strict=True)], names=[name for name, _ in fields])
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, str)) + sum(map(len, row[7] or ()))
+        if len(held) >= BATCH_ROWS or size >= BATCH_CHARS:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
 class DocumentReader(DataSourceReader):
     def __init__(self, options):
         path = options.get("path")
@@ -181,19 +205,21 @@ class DocumentReader(DataSourceReader):
                 continue
             if ext in self.paged and info.size > self.bytes:  # only a large file is asked for its pages here
                 n = page_reader(self.paged[ext]).count(self._open(info.path))
-                out += [Part([(info.path, ext, k, min(k + self.pages - 1, n))]) for k in range(1, n + 1, self.pages)]
+                out += [Part(self.folder, [(info.base_name, ext, k, min(k + self.pages - 1, n))]) for k in range(1, n + 1, self.pages)]
                 continue
             if held and (size + info.size > self.bytes or len(held) >= self.files):
-                out.append(Part(held))
+                out.append(Part(self.folder, held))
                 held, size = [], 0
-            held.append((info.path, ext, None, None))
+            held.append((info.base_name, ext, None, None))
             size += info.size
-        return [*out, Part(held)]
+        return [*out, Part(self.folder, held)]
 
     def read(self, partition: Part):
-        for path, ext, first, last in partition.files:
-            source = os.path.basename(path)
-            content = self._open(path)
+        return _batched(self._rows(partition))
+
+    def _rows(self, partition: Part):
+        for source, ext, first, last in partition.files:
+            content = self._open(f"{partition.folder.rstrip('/')}/{source}")
             try:
                 if ext == ".docx":
                     for row in docx_blocks(content):

@@ -143,9 +143,17 @@ def docx_text(blocks: DataFrame) -> DataFrame:
     table = F.col("kind") == "table"
     line = F.when(table, row).otherwise(F.concat(heads, F.col("text")))
     at = F.col("row_pos") if "row_pos" in blocks.columns else F.lit(0)
-    rows = blocks.where(table | (T.strip("text") != "")).select("source", table.alias("_t"), "block_pos", at.alias("_at"), line.alias("_line"))
-    whole = rows.groupBy("source", "_t", "block_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda x: x["_line"]), "\n").alias("_part"))
-    return whole.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "block_pos", "_part"))), lambda x: x["_part"]), "\n\n").alias("text"))
+    # Lines without text stand last in their block: one alone keeps the block's place.
+    rows = blocks.where(table | (T.strip("text") != "")).select("source", F.struct(table.alias("t"), F.col("block_pos").alias("b"), line.isNull().alias("none"), at.alias("at"), line.alias("line")).alias("_x"))
+    whole = rows.groupBy("source").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
+
+    def joined(x, i):
+        before = F.get("_xs", i - 1)
+        start = ~(before["t"].eqNullSafe(x["t"]) & before["b"].eqNullSafe(x["b"]))
+        mark = F.when(i == 0, "").when(start, "\n\n").when(x["none"], "").otherwise("\n")
+        return F.concat(mark, F.coalesce(x["line"], F.lit("")))
+
+    return whole.select("source", F.array_join(F.transform("_xs", joined), "").alias("text"))
 
 
 def read_docx(files: DataFrame) -> DataFrame:

@@ -89,3 +89,20 @@ def test_query_against_python(spark):
     expected = {(f"{r.doc_id}.docx", "\n\n".join(x for x in r.text.split("\n") if x.strip())) for r in spark.read.parquet(f"{d}/documents.parquet").collect() if r.text and r.text.strip()}
     got = entry.queries()["docx_documents"](spark, d).collect()
     assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+def test_rows_come_in_batches_and_lines_meet_once(spark, tmp_path):
+    (tmp_path / "One.DOCX").write_bytes(docx(BODY))
+    (tmp_path / "long.docx").write_bytes(docx("".join(p(f"line {n}") for n in range(D.BATCH_ROWS + 7)), None))
+    reader = D.DocumentReader({"path": str(tmp_path)})
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert [b.num_rows for b in batches] == [D.BATCH_ROWS, 17]
+    got = files.docx_text(D.read_documents(spark, str(tmp_path)))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {tuple(r) for r in got.collect()} == {("One.DOCX", TEXT), ("long.docx", "\n\n".join(f"line {n}" for n in range(D.BATCH_ROWS + 7)))}
+
+
+def test_lines_without_cells(spark):
+    rows = [("a", 2, 1, "table", None, None, ["x"]), ("a", 2, 0, "table", None, None, None), ("a", 2, 2, "table", None, None, ["y", "z"]), ("a", 3, 0, "table", None, None, None), ("a", 4, 0, "table", None, None, ["end"]), ("a", 9, 0, "paragraph", None, "first", None)]
+    blocks = spark.createDataFrame(rows, "source string, block_pos int, row_pos int, kind string, style string, text string, cells array<string>")
+    assert files.docx_text(blocks).collect() == [("a", "first\n\n| x |\n| y | z |\n\n\n\n| end |")]
