@@ -6,14 +6,15 @@ is one row and nothing but the gathering of its words shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
 BIN, MIN_GAP, LINE_TOLERANCE, DUPLICATE_SHARE = 5, 15, 12, 0.90
+#: Items are taken for an extractor so many at a time, and handed on once they have so many words.
+ITEMS, WORDS = 16, 100_000
 
 
 def page_words(words: DataFrame) -> DataFrame:
@@ -22,49 +23,76 @@ def page_words(words: DataFrame) -> DataFrame:
     return words.where(F.trim("text") != "").groupBy("page_id").agg(F.array_sort(F.collect_list(own)).alias("words"))
 
 
+def _found(pages: DataFrame, extractor: Callable, item: str) -> DataFrame:
+    """(page_id, words) of each row of pages: what the extractor gives, as an array; a row without words has an empty one."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        def rows(ids, ends, words):
+            columns = [*zip(*words, strict=True)] or [()] * 5
+            of = pa.StructArray.from_arrays([pa.array(c, pa.string() if k == 1 else pa.int32()) for k, c in enumerate(columns)], names=["word_pos", "text", "left", "top", "right"])
+            return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), of)], names=["page_id", "words"])
+
+        for batch in batches:
+            ids, items, first, ends, words = batch.column("page_id"), batch.column("item"), 0, [0], []
+            for lo in range(0, batch.num_rows, ITEMS):
+                for value in items.slice(lo, ITEMS).to_pylist():
+                    for k, (text, left, top, width) in enumerate([] if value is None else extractor(value)):
+                        text = text and text.strip()
+                        if text:
+                            words.append((k, text, int(left), int(top), int(left + width)))
+                    ends.append(len(words))
+                done = min(lo + ITEMS, batch.num_rows)
+                if len(words) >= WORDS or done == batch.num_rows:
+                    yield rows(ids.slice(first, done - first), ends, words)
+                    first, ends, words = done, [0], []
+
+    own = "array<struct<word_pos:int,text:string,left:int,top:int,right:int>>"
+    return pages.select("page_id", F.col(item).alias("item")).mapInArrow(run, f"page_id {kind}, words {own}")
+
+
 def extract_words(pages: DataFrame, extractor: Callable, item: str = "item") -> DataFrame:
     """(page_id, word_pos, text, left, top, right) from what an OCR engine or a text layer gives for each page.
 
-    extractor(value of item) gives (text, left, top, width) for each word, in its own order; it is sent to
+    extractor(value of item, as a Python value) gives (text, left, top, width) for each word, in its own order; it is sent to
     the executors, so an engine is best opened inside. Outer white space goes, and with it blank words; a null item has none.
     """
-    kind = pages.schema["page_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for page, value in zip(batch["page_id"], batch["item"], strict=True):
-                found = [] if value is None else extractor(value)
-                words = [(page, k, text.strip(), int(left), int(top), int(left + width)) for k, (text, left, top, width) in enumerate(found) if text and text.strip()]
-                if words:
-                    yield pd.DataFrame(words, columns=["page_id", "word_pos", "text", "left", "top", "right"])
-
-    return pages.select("page_id", F.col(item).alias("item")).mapInPandas(run, f"page_id {kind}, word_pos int, text string, left int, top int, right int")
+    return _found(pages, extractor, item).select("page_id", F.inline("words"))
 
 
 def ocr(pages: DataFrame, extractor: Callable, item: str = "item") -> DataFrame:
     """(page_id, ocr_text, n_columns) of every page: its words in reading order; without words an empty text and no column."""
-    read = reading_order(extract_words(pages, extractor, item)).select(F.col("page_id").alias("_p"), "text", "column_count")
-    out = pages.select("page_id").distinct().join(read, F.col("page_id").eqNullSafe(F.col("_p")), "left")
-    return out.select("page_id", F.coalesce("text", F.lit("")).alias("ocr_text"), F.coalesce("column_count", F.lit(0)).alias("n_columns"))
+    words = _found(pages, extractor, item).groupBy("page_id").agg(F.flatten(F.collect_list("words")).alias("words"))
+    return words.select("page_id", _read("words").alias("r")).select("page_id", F.col("r.text").alias("ocr_text"), F.col("r.columns").alias("n_columns"))
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once; a lambda inside body would compute it for each element."""
+    return F.transform(F.array(value), body)[0]
 
 
 def boundaries(words: str = "words") -> Column:
     """Column boundaries of a page: middles of gaps of MIN_GAP pixels, with one before and one after all words."""
-    left = F.array_min(F.transform(words, lambda w: w["left"]))
     right = F.array_max(F.transform(words, lambda w: w["right"]))
-    spans = F.array_sort(F.transform(words, lambda w: F.struct(F.floor((w["left"] - left) / BIN).cast("int").alias("a"), F.floor((w["right"] - left) / BIN).cast("int").alias("b"))))
-    # Spans in order of their start: a gap lies between the furthest end so far and the next start.
-    none = F.array().cast("array<int>")
-    fold = F.aggregate(
-        spans,
-        F.struct(F.lit(-1).alias("end"), none.alias("cuts")),
-        lambda s, w: F.struct(
-            F.greatest(s["end"], w["b"]).alias("end"),
-            F.when((s["end"] >= 0) & ((w["a"] - s["end"] - 1) * BIN >= MIN_GAP), F.concat(s["cuts"], F.array((F.floor((s["end"] + 1 + w["a"]) / 2) * BIN + left).cast("int")))).otherwise(s["cuts"]).alias("cuts"),
-        ),
-        lambda s: s["cuts"],
-    )
-    return F.concat(F.array((left - 1).cast("int")), fold, F.array((right + 1).cast("int")))
+
+    def cuts(left):
+        spans = F.array_sort(F.transform(words, lambda w: F.struct(F.floor((w["left"] - left) / BIN).cast("int").alias("a"), F.floor((w["right"] - left) / BIN).cast("int").alias("b"))))
+        # Spans in order of their start: a gap lies between the furthest end so far and the next start.
+        none = F.array().cast("array<int>")
+        fold = F.aggregate(
+            spans,
+            F.struct(F.lit(-1).alias("end"), none.alias("cuts")),
+            lambda s, w: F.struct(
+                F.greatest(s["end"], w["b"]).alias("end"),
+                F.when((s["end"] >= 0) & ((w["a"] - s["end"] - 1) * BIN >= MIN_GAP), F.concat(s["cuts"], F.array((F.floor((s["end"] + 1 + w["a"]) / 2) * BIN + left).cast("int")))).otherwise(s["cuts"]).alias("cuts"),
+            ),
+            lambda s: s["cuts"],
+        )
+        return F.concat(F.array((left - 1).cast("int")), fold, F.array((right + 1).cast("int")))
+
+    return _bind(F.array_min(F.transform(words, lambda w: w["left"])), cuts)
 
 
 def column_of(left: Column, cuts: Column) -> Column:
@@ -87,16 +115,37 @@ def line_groups(words: Column, key) -> Column:
     return F.aggregate(ordered, start, step, lambda s: s["out"])
 
 
+def _read(words: str) -> Column:
+    """(text, columns) of a page: its words in reading order, and how many columns have one.
+
+    Words are sorted by column and top; a fold over them finds where lines begin, so a line is a slice.
+    """
+    none = F.array().cast("array<struct<at:int,gap:string>>")
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("columns"), F.lit(None).cast("int").alias("col"), F.lit(None).cast("int").alias("anchor"), none.alias("lines"))
+
+    def step(s, w):
+        column = s["col"].eqNullSafe(w["col"])
+        after = lambda columns, anchor, lines: F.struct((s["n"] + 1).alias("n"), columns.alias("columns"), w["col"].alias("col"), anchor.cast("int").alias("anchor"), lines.alias("lines"))
+        begun = lambda gap: F.concat(s["lines"], F.array(F.struct(s["n"].alias("at"), F.lit(gap).alias("gap"))))
+        # Words without a top come first in a column and have a line each.
+        same_line = after(s["columns"], s["anchor"], s["lines"])
+        return F.when(column & (w["top"] - s["anchor"] < LINE_TOLERANCE), same_line).when(column, after(s["columns"], w["top"], begun("\n"))).otherwise(after(s["columns"] + 1, w["top"], begun("\n\n")))
+
+    def line(ordered, at, end):
+        own = F.transform(F.slice(ordered, at + 1, end - at), lambda w: F.struct(w["left"].cast("int").alias("left"), w["top"].cast("int").alias("top"), w["word_pos"].cast("int").alias("word_pos"), w["text"].alias("text")))
+        return F.array_join(F.transform(F.array_sort(own), lambda w: w["text"]), " ")
+
+    def page(ordered, s):
+        lines = F.transform(s["lines"], lambda x, k: F.concat(x["gap"], line(ordered, x["at"], F.coalesce(F.get(s["lines"], k + 1)["at"], s["n"]))))
+        return F.struct(F.regexp_replace(F.array_join(lines, ""), r"^\s+|\s+\z", "").alias("text"), s["columns"].alias("columns"))
+
+    placed = lambda cuts: F.array_sort(F.transform(words, lambda w: F.struct(column_of(w["left"], cuts).alias("col"), w["top"].alias("top"), w["word_pos"].alias("word_pos"), w["left"].alias("left"), w["text"].alias("text"))))
+    return _bind(boundaries(words), lambda cuts: _bind(placed(cuts), lambda ordered: _bind(F.aggregate(ordered, start, step), lambda s: page(ordered, s))))
+
+
 def reading_order(words: DataFrame) -> DataFrame:
     """(page_id, text, column_count): lines by column, top to bottom, an empty line after each column."""
-    pages = page_words(words).withColumn("cuts", boundaries("words"))
-    ones = pages.select("page_id", F.explode("words").alias("w"), "cuts").withColumn("col", column_of(F.col("w.left"), F.col("cuts")))
-    columns = ones.groupBy("page_id", "col").agg(F.collect_list("w").alias("ws"))
-    lines = columns.select("page_id", "col", F.explode(line_groups(F.col("ws"), None)).alias("g"))
-    text = lines.groupBy("page_id", "col", "g.group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g.left", "g.top", "g.word_pos", "g.text"))), lambda x: x["text"]), " ").alias("line"))
-    column = text.groupBy("page_id", "col").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "line"))), lambda x: x["line"]), "\n"), F.lit("\n")).alias("t"))
-    page = column.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "t"))), lambda x: x["t"]), "\n").alias("t"), F.count("*").cast("int").alias("column_count"))
-    return page.select("page_id", F.regexp_replace("t", r"^\s+|\s+\z", "").alias("text"), "column_count")
+    return page_words(words).select("page_id", _read("words").alias("r")).select("page_id", "r.text", F.col("r.columns").alias("column_count"))
 
 
 def clusters(values: Column, tolerance: float = 12.0) -> Column:

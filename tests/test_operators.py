@@ -1,5 +1,6 @@
 """Operators on small fixtures, against rules restated in plain Python where order matters."""
 
+import json
 import random
 
 import numpy as np
@@ -144,6 +145,27 @@ def test_reading_order(spark):
         assert (r.text, r.column_count) == _order(pages[r.page_id])
 
 
+def test_ocr_of_many_pages(spark, monkeypatch):
+    """Pages are read once and handed on together; their words meet in one exchange and no join."""
+    monkeypatch.setattr(layout, "WORDS", 50, raising=False)
+    rng, pages = random.Random(3), {}
+    for p in range(300):
+        size = 0 if p % 7 == 0 else 1500 if p == 100 else rng.randrange(1, 25)
+        pages[p] = [(f"w{k}", rng.randrange(300), rng.randrange(80), rng.randrange(5, 40)) for k in range(size)]
+    # A page in two rows is one page.
+    rows = [(p, json.dumps(words)) for p, words in pages.items()] + [(5, json.dumps(pages[6]))]
+    df = spark.createDataFrame(rows, "page_id int, item string")
+    out = layout.ocr(df, json.loads)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    words = lambda p: [{"word_pos": k, "text": t, "left": x, "top": y, "right": x + w} for k, (t, x, y, w) in enumerate(pages[p])]
+    got = {r.page_id: (r.ocr_text, r.n_columns) for r in out.collect()}
+    assert out.count() == 300 and set(got) == set(pages)
+    want = {p: words(p) for p in pages} | {5: sorted(words(5) + words(6), key=lambda w: w["word_pos"])}
+    for p in pages:
+        assert got[p] == _order(want[p])
+
+
 def test_clusters_and_images(spark):
     df = spark.createDataFrame([([0.0, 5.0, 14.0, 30.0],), ([],)], "v array<double>")
     got = [r.c for r in df.select(layout.clusters(F.col("v")).alias("c")).collect()]
